@@ -58,9 +58,13 @@ def drop_matching(spark, sf):
     return out
 
 
-@query("create_like_empty", f"select {ORDER_SQL} from orders where false")
+@query("create_like_empty", f"select {ORDER_SQL} from orders where o_orderstatus <> 'P'")
 def create_like_empty(spark, sf):
-    return K.create_like_empty(spark, K.work_table(spark, "empty"), table(spark, sf, "orders").select(*ORDER))
+    orders = table(spark, sf, "orders").select(*ORDER)
+    name = K.work_table(spark, "image")
+    empty = K.create_like_empty(spark, name, orders)
+    K.append(name, orders.where(F.col("o_orderstatus") != "P"))
+    return empty
 
 
 @query("ctas", "select o_custkey, count(*) as n from orders group by o_custkey")

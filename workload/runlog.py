@@ -1 +1 @@
-"""Not written yet."""
+"""placeholder"""

@@ -1 +1,39 @@
-"""placeholder"""
+"""Yearly extracts of orders arriving as files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans import tables as K
+from tidemark.session import new_folder
+from tidemark.sources import extracts as X
+from tidemark.streaming import landing as G
+from workload.base import IDS, query, table
+from workload.history import FOLD_SQL, empty_history, shown, yearly_snapshots
+from workload.stage import LOAD_SQL, ROW, load, yearly
+
+
+@query("stream_land", f"select {ROW}, {LOAD_SQL} as _load_id from orders")
+def stream_land(spark, sf):
+    rows, root = yearly(spark, sf), new_folder(spark, "arrivals")
+    name, checkpoint = K.work_table(spark, "landed"), new_folder(spark, "progress")
+    first = lambda y: rows.where(F.col("_load_id") == load(y)).drop("_load_id")
+    for year in range(1995, 1999):
+        X.write_extract(first(year), G.load_folder(root, load(year)))
+    G.stream_land(spark, root, checkpoint, name, rows.schema).awaitTermination()
+    for year in range(1999, 2002):  # the stream goes on where it stopped
+        X.write_extract(first(year), G.load_folder(root, load(year)))
+    G.stream_land(spark, root, checkpoint, name, rows.schema).awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_scd2", FOLD_SQL)
+def stream_scd2(spark, sf):
+    root, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "progress")
+    name = K.work_table(spark, "history")
+    K.create_history(spark, name, empty_history(spark).schema)
+    snapshots = yearly_snapshots(spark, sf)
+    for ts, image in snapshots:
+        X.write_extract(image, G.load_folder(root, load(int(ts[:4]))))
+    G.stream_scd2(spark, root, checkpoint, name, snapshots[0][1].schema, IDS).awaitTermination()
+    return shown(spark.table(name))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import GROUP_ROWS, row_number
 from tidemark.operators.projection import label_indented
 from tidemark.operators.reshape import render
-from tidemark.session import new_folder, settle
+from tidemark.session import new_folder, settle, slices
 
 # Node kinds.
 SEQUENCE, PARALLEL, ATOM = 0, 1, 2
@@ -34,21 +34,27 @@ def root_paths(
     """
     k = F.col(key) if isinstance(key, str) else key
     p = F.col(parent) if isinstance(parent, str) else parent
+    unfinished = F.col("__up").isNotNull()
     state = settle(nodes.select(k.alias("__k"), p.alias("__up"), F.array(step).alias(name)))
+    known = [state.where(~unfinished)]  # paths that begin at a root; written once, read from then on
     climbed = 1
-    while not state.where(F.col("__up").isNotNull()).isEmpty():
+    while not state.where(unfinished).isEmpty():
         if climbed > max_depth:
             raise ValueError(f"a path is longer than {max_depth} steps: the parents form a cycle or max_depth is too small")
-        done = state.where(F.col("__up").isNull())
-        low, high = state.where(F.col("__up").isNotNull()).alias("low"), state.alias("high")
-        joined = low.join(high, F.col("low.__up") == F.col("high.__k")).select(
-            F.col("low.__k").alias("__k"),
-            F.col("high.__up").alias("__up"),
-            F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
+        low = state.where(unfinished)
+        high = reduce(DataFrame.unionByName, known, low).alias("high")
+        low = low.alias("low")
+        state = settle(
+            low.join(high, F.col("low.__up") == F.col("high.__k")).select(
+                F.col("low.__k").alias("__k"),
+                F.col("high.__up").alias("__up"),
+                F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
+            )
         )
-        state = settle(done.unionByName(joined))
+        known.append(state.where(~unfinished))
         climbed *= 2
-    return state.select(F.col("__k").alias(key if isinstance(key, str) else "key"), name)
+    paths = reduce(DataFrame.unionByName, known)
+    return paths.select(F.col("__k").alias(key if isinstance(key, str) else "key"), name)
 
 
 def tree_paths(nodes: DataFrame, key: str, parent: str, position: str) -> DataFrame:
@@ -236,7 +242,9 @@ def by_depth(nodes: DataFrame, key: str, parent: str) -> tuple[DataFrame, list[i
     spark = nodes.sparkSession
     ids = root_paths(nodes, key, parent, F.lit(0), "__steps").select(key, (F.size("__steps") - 1).alias("depth"))
     path = new_folder(spark, "levels")
-    nodes.join(ids, key).write.partitionBy("depth").parquet(path)
+    # By range of depth and key: few files per level, and no level in one task.
+    leveled = nodes.join(ids, key).repartitionByRange(slices(spark), "depth", key)
+    leveled.write.partitionBy("depth").parquet(path)
     stored = spark.read.parquet(path)
     levels = sorted(r["depth"] for r in stored.select("depth").distinct().collect())
     return stored, levels
@@ -278,22 +286,18 @@ def inherit_attributes(nodes: DataFrame, key: str, parent: str, layers: Sequence
     stored, levels = by_depth(nodes, key, parent)
     empty = F.create_map().cast("map<string,string>")
 
-    def overridden(known: Column, layer: str) -> Column:
-        own = F.coalesce(F.col(layer), empty)
-        return merged_map(known, F.transform_values(own, lambda _, v: render(v, known)))
-
-    def effective(base: Column) -> Column:
-        return reduce(overridden, layers, base)
+    def overridden(level: DataFrame, layer: str) -> DataFrame:
+        own = F.transform_values(F.coalesce(F.col(layer), empty), lambda _, v: render(v, F.col(name)))
+        return level.withColumn("__own", own).withColumn(name, merged_map(F.col(name), F.col("__own")))
 
     done, above = [], None
     for depth in levels:
         level = stored.where(F.col("depth") == depth).select(*nodes.columns)
         if above is None:
-            level = level.withColumn(name, effective(empty))
+            level = level.withColumn(name, empty)
         else:
-            up = above.select(F.col(key).alias("__k"), F.col(name).alias("__base"))
-            level = level.join(up, F.col(parent) == F.col("__k"))
-            level = level.withColumn(name, effective(F.col("__base"))).drop("__k", "__base")
-        above = settle(level)
+            up = above.select(F.col(key).alias("__k"), name)
+            level = level.join(up, F.col(parent) == F.col("__k")).drop("__k")
+        above = settle(reduce(overridden, layers, level).drop("__own"))
         done.append(above)
     return reduce(DataFrame.unionByName, done)

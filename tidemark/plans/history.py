@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,6 @@ from tidemark.operators.ordered import dense_keys
 from tidemark.operators.predicates import (
     OPEN_END,
     all_of,
-    as_ts,
     changed,
     comparable,
     keys_match,
@@ -124,10 +124,10 @@ def scd1_apply(target: DataFrame, new: DataFrame, ids: Sequence[str]) -> DataFra
 
 
 def load_increment(target: DataFrame, feed: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
-    """Append rows newer than the last loaded sequence; repeats within the feed collapse."""
+    """Append rows newer than the last loaded sequence; of repeats in the feed the last stays."""
     mark = target.agg(F.max(seq).alias("m")).first()["m"]
     fresh = feed if mark is None else feed.where(F.col(seq) > F.lit(mark))
-    return target.unionByName(fresh.dropDuplicates(list(ids)))
+    return target.unionByName(last_operation(fresh, ids, seq).select(*target.columns))
 
 
 def last_operation(feed: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
@@ -228,10 +228,17 @@ def reload_from(
 def fold_snapshots(
     target: DataFrame, snapshots: Sequence[tuple[str, DataFrame]], ids: Sequence[str], max_ts: str = OPEN_END, hist=HIST
 ) -> DataFrame:
-    """Apply snapshots one after another; each step is settled so plans stay short."""
+    """Apply snapshots one after another.
+
+    Versions that ended before a snapshot can no longer change: they leave the fold,
+    so that a step costs what is open plus one image, however long the history is.
+    """
+    end, ended, live = hist[1], [], target
     for ts, image in sorted(snapshots, key=lambda s: s[0]):
-        target = settle(scd2_apply(target, image, ids, ts, max_ts, hist))
-    return target
+        over = F.coalesce(F.col(end) <= ntz(ts), F.lit(False))
+        ended.append(live.where(over))
+        live = settle(scd2_apply(live.where(~over), image, ids, ts, max_ts, hist))
+    return reduce(DataFrame.unionByName, ended, live)
 
 
 def load_by_method(

@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.predicates import OPEN_END, ntz, similar_to, valid_at
-from tidemark.plans.history import HIST, _versions, classify_changes
-from tidemark.session import new_folder, settle
+from tidemark.operators.predicates import OPEN_END, ntz, similar_to
+from tidemark.plans.history import HIST, scd2_apply
+from tidemark.session import new_folder
 
 WORK = "tidemark_work"
 
@@ -155,14 +155,18 @@ def create_history(spark: SparkSession, name: str, schema: T.StructType) -> None
 
 
 def apply_to_history(spark: SparkSession, name: str, image: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> None:
-    """Bring a stored history up to date with a new image at ``ts``."""
+    """Bring a stored history up to date with a new image at ``ts``.
+
+    A dynamic overwrite stages its files and moves them once the job is done, so it
+    may read the open partition it replaces.
+    """
     load_id = int("".join(ch for ch in ts if ch.isdigit()))
     stored = spark.table(name).where(F.col(CLOSED) == 0).drop(CLOSED)
-    current = valid_at(stored, ts, *hist)
-    versions = settle(_versions(stored, classify_changes(current, image, ids, ts, hist), ts, OPEN_END, hist))
     is_open = F.col(hist[1]) == ntz(OPEN_END)
+    versions = scd2_apply(stored, image, ids, ts, OPEN_END, hist)
     out = versions.withColumn(CLOSED, F.when(is_open, 0).otherwise(load_id).cast("bigint"))
-    if out.where(F.col(CLOSED) == 0).isEmpty():
-        # Nothing stays open: a dynamic overwrite would leave the old open partition.
+    seen = Observation()
+    overwrite_partitions(name, out.observe(seen, F.count_if(F.col(CLOSED) == 0).alias("n_open")))
+    if not seen.get["n_open"]:
+        # Nothing stayed open, and an overwrite by partition leaves absent partitions alone.
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({CLOSED}=0)")
-    overwrite_partitions(name, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
@@ -421,13 +422,12 @@ def bool_connective(spark, sf):
 
 @query(
     "ordered_string_agg",
-    """select o_custkey, string_agg(o_orderpriority, ',' order by o_orderdate, o_orderkey) as priorities
-       from orders group by o_custkey""",
+    """with f as (select o_custkey, o_orderpriority, min(o_orderdate) as first from orders group by 1, 2)
+       select o_custkey, string_agg(o_orderpriority, ',' order by first, o_orderpriority) as priorities from f group by 1""",
 )
 def ordered_string_agg(spark, sf):
-    return A.ordered_string_agg(
-        table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderpriority", "priorities"
-    )
+    first = table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderdate").alias("first"))
+    return A.ordered_string_agg(first, ["o_custkey"], ["first", "o_orderpriority"], "o_orderpriority", "priorities")
 
 
 @query("distinct_rows", "select distinct l_partkey, l_suppkey from lineitem")
@@ -495,7 +495,7 @@ def dense_rank(spark, sf):
     qualify row_number() over (partition by cust_id order by size_class asc nulls first, priority) = 1""",
 )
 def row_number_first(spark, sf):
-    w = O.Window.partitionBy("cust_id").orderBy(F.col("size_class").asc_nulls_first(), "priority")
+    w = Window.partitionBy("cust_id").orderBy(F.col("size_class").asc_nulls_first(), "priority")
     # The rank limit is applied before the shuffle too, so a hot key sends one row per task.
     return history_image(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
@@ -519,7 +519,7 @@ def running_sum(spark, sf):
        where r <= 2""",
 )
 def top_n_per_group(spark, sf):
-    w = O.Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc())
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc())
     ranked = table(spark, sf, "orders").withColumn("r", F.rank().over(w)).where("r <= 2")
     return ranked.select("o_custkey", "o_orderkey", F.col("r").cast("bigint").alias("r"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import hierarchy as T
 from tidemark.operators import predicates as P
 from tidemark.operators import runlog as L
+from tidemark.session import settle
 from workload.base import query, stamp, table, text
 from workload.trees import TREE_CTE, part_tree
 
@@ -115,14 +116,12 @@ def eval_boolean_tree(spark, sf):
 
 @query(
     "rollup_parallel",
-    f"""with {LOG_CTE}, g as (select user_id, count(*) as n, list(distinct status) as s from daily group by user_id
-                              union all select -day(d), count(*), list(distinct status) from daily where value_of_day(d) group by d)
-    select user_id from g""".replace("where value_of_day(d) ", "")
-    .replace("select user_id from g", """select user_id as caller,
-       case when list_contains(s, 'running') or (list_contains(s, 'submitted') and len(s) > 1) then 'running'
-            when list_contains(s, 'submitted') then 'submitted' when list_contains(s, 'failed') then 'failed'
-            when list_contains(s, 'suspended') then 'suspended' when list_contains(s, 'succeeded') then 'succeeded'
-            else 'skipped' end as status from g"""),
+    f"""with {LOG_CTE}, g as (select user_id as caller, list(distinct status) as s from daily group by user_id
+                              union all select -day(d), list(distinct status) from daily group by d)
+    select caller, case when list_contains(s, 'running') or (list_contains(s, 'submitted') and len(s) > 1) then 'running'
+                        when list_contains(s, 'submitted') then 'submitted' when list_contains(s, 'failed') then 'failed'
+                        when list_contains(s, 'suspended') then 'suspended' when list_contains(s, 'succeeded') then 'succeeded'
+                        else 'skipped' end as status from g""",
 )
 def rollup_parallel(spark, sf):
     daily = latest(run_log(spark, sf), ["user_id", "d"])
@@ -243,9 +242,9 @@ def prefix_gate(spark, sf):
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     slot = F.trunc("o_orderdate", "MM").cast("timestamp_ntz").alias("slot")
-    runs = joined.groupBy("l_suppkey", slot, "l_linenumber").agg(
+    runs = settle(joined.groupBy("l_suppkey", slot, "l_linenumber").agg(
         F.min("o_orderdate").alias("started"), F.max("l_shipdate").alias("ended")
-    )
+    ))
     early = L.prefix_gate(runs, ["l_suppkey"], "slot", "l_linenumber", "started", "ended")
     return early.select("l_suppkey", text("slot").alias("slot"), "l_linenumber", text("started").alias("started"),
                         text("gate").alias("gate"))

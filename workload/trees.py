@@ -252,13 +252,14 @@ def inherit_attributes(spark, sf):
 
 @query(
     "fan_out_list",
-    """with l as (select o_custkey, list(o_orderkey order by o_orderkey) as ks from orders group by o_custkey),
-    g as (select o_custkey, ks, unnest(range(0, (len(ks) + 2) // 3)) as i from l)
-    select o_custkey, i + 1 as iteration, ks[3 * i + 1] as first, ks[3 * i + 2] as second, ks[3 * i + 3] as third from g""",
+    """with l as (select p_partkey, string_split(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size, ' ') as l from part),
+    g as (select p_partkey, l, unnest(range(0, (len(l) + 2) // 3)) as i from l)
+    select p_partkey, i + 1 as iteration, l[3 * i + 1] as first, l[3 * i + 2] as second, l[3 * i + 3] as third from g""",
 )
 def fan_out_list(spark, sf):
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ks"))
-    return R.fan_out_list(lists, ["o_custkey"], "ks", ["first", "second", "third"])
+    words = F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size"), " ")
+    lists = table(spark, sf, "part").select("p_partkey", words.alias("l"))
+    return R.fan_out_list(lists, ["p_partkey"], "l", ["first", "second", "third"])
 
 
 @query(

@@ -26,9 +26,12 @@ def max_by_group(df: DataFrame, keys: Sequence[str], column: str, name: str) ->
 
 
 def connective(kind: Column, value: Column) -> Column:
-    """and / or / not over the children of a group; the group's kind is constant."""
+    """and / or / not over the children of a group; the group's kind is constant.
+
+    The kind is carried as two flags: text in an aggregation buffer would force a sort.
+    """
     every, some = F.every(value), F.some(value)
-    return F.when(F.max(kind) == "or", some).when(F.max(kind) == "not", ~every).otherwise(every)
+    return F.when(F.some(kind == "or"), some).when(F.some(kind == "not"), ~every).otherwise(every)
 
 
 def _joined(order: Sequence[str], value: str, sep: str) -> Column:

@@ -25,6 +25,7 @@ FIELDS = [
     ("wdays", 1, 7),
 ]
 HORIZON = 1466  # dates looked at before a lookup gives up
+NEAR = 40  # dates looked at first
 
 
 def _field_set(text: Column, low: int, high: int) -> Column:
@@ -153,16 +154,22 @@ def nearest_run(
     lookup; use ``align_to_schedule`` for fact tables.
     """
     d, at = F.to_date(ts), F.col(ts).cast("timestamp_ntz")
-    dates = F.filter(F.sequence(d, F.date_add(d, direction * (horizon - 1))), lambda x: _on_schedule(F.col("alts"), x))
-    two = F.slice(dates, 1, 2)
+
+    def scheduled(dates: int) -> Column:
+        seq = F.sequence(d, F.date_add(d, direction * (dates - 1)))
+        return F.slice(F.filter(seq, lambda x: _on_schedule(F.col("alts"), x)), 1, 2)
+
+    # Most schedules fire within weeks; only the others pay for the whole horizon.
+    df = df.withColumn("__near", scheduled(min(NEAR, horizon)))
+    two = F.when(F.size("__near") == 2, F.col("__near")).otherwise(scheduled(horizon))
     slots = F.flatten(
         F.transform(two, lambda x: F.transform(_minutes_of_day(F.col("alts"), x), lambda m: _at(x, m)))
     )
     if direction > 0:
         right_side = F.filter(slots, lambda s: (s >= at) if same_allowed else (s > at))
-        return df.withColumn(name, F.array_min(right_side))
+        return df.withColumn(name, F.array_min(right_side)).drop("__near")
     right_side = F.filter(slots, lambda s: (s <= at) if same_allowed else (s < at))
-    return df.withColumn(name, F.array_max(right_side))
+    return df.withColumn(name, F.array_max(right_side)).drop("__near")
 
 
 def next_run(df: DataFrame, ts: str, name: str = "next_run", same_allowed: bool = False) -> DataFrame:
@@ -173,37 +180,42 @@ def prev_run(df: DataFrame, ts: str, name: str = "prev_run", same_allowed: bool
     return nearest_run(df, ts, name, -1, same_allowed)
 
 
-def slot_days(schedules: DataFrame, key: str, start: str, end: str, pad: int = HORIZON) -> DataFrame:
+def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int = HORIZON) -> DataFrame:
     """Per schedule and date: the day's slots, and the nearest slots of other days.
 
     The window runs over the dates of one schedule, whose number is set by the
-    calendar and not by the facts.
+    calendar and not by the facts.  What lies before the first and after the last
+    date is looked up once per schedule.
     """
     first, last = F.to_date(start), F.to_date(end)
-    padded = F.sequence(F.date_sub(first, pad), F.date_add(last, pad))
-    days = schedules.select(key, "alts", first.alias("__a"), last.alias("__b"), F.explode(padded).alias("date"))
+    edges = schedules.select(
+        key, "alts", first.alias("__a"), last.alias("__b"),
+        first.cast("timestamp_ntz").alias("__from"), F.date_add(last, 1).cast("timestamp_ntz").alias("__to"),
+    )
+    edges = nearest_run(edges, "__from", "__before", -1, horizon=horizon)
+    edges = nearest_run(edges, "__to", "__after", +1, same_allowed=True, horizon=horizon)
+    days = edges.select(key, "alts", "__before", "__after", F.explode(F.sequence("__a", "__b")).alias("date"))
     minutes = _minutes_of_day(F.col("alts"), F.col("date"))
-    days = days.select(key, "__a", "__b", "date", F.transform(minutes, lambda m: _at(F.col("date"), m)).alias("slots"))
+    slots = F.transform(minutes, lambda m: _at(F.col("date"), m)).alias("slots")
+    days = days.select(key, "date", "__before", "__after", slots)
     some = F.size("slots") > 0
     order = Window.partitionBy(key).orderBy("date")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    days = days.withColumns(
-        {
-            "prev_day_slot": F.last(F.when(some, F.element_at("slots", -1)), ignorenulls=True).over(before),
-            "next_day_slot": F.first(F.when(some, F.element_at("slots", 1)), ignorenulls=True).over(after),
-        }
+    before = F.last(F.when(some, F.element_at("slots", -1)), ignorenulls=True)
+    after = F.first(F.when(some, F.element_at("slots", 1)), ignorenulls=True)
+    return days.select(
+        key, "date", "slots",
+        F.coalesce(before.over(order.rowsBetween(Window.unboundedPreceding, -1)), "__before").alias("prev_day_slot"),
+        F.coalesce(after.over(order.rowsBetween(1, Window.unboundedFollowing)), "__after").alias("next_day_slot"),
     )
-    return days.where(F.col("date").between(F.col("__a"), F.col("__b"))).drop("__a", "__b")
 
 
-def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, pad: int = HORIZON) -> DataFrame:
+def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, horizon: int = HORIZON) -> DataFrame:
     """Previous (at or before) and next (after) slot for every row of a fact table.
 
     One equi join on (schedule, date).  ``schedules`` has ``key``, ``alts`` and the
     range ``first_ts`` .. ``last_ts`` the facts of that schedule lie in.
     """
-    dim = slot_days(schedules, key, "first_ts", "last_ts", pad).withColumnRenamed(key, "__key")
+    dim = slot_days(schedules, key, "first_ts", "last_ts", horizon).withColumnRenamed(key, "__key")
     at = F.col(ts)
     joined = facts.join(dim, (F.col(key) == F.col("__key")) & (F.to_date(ts) == F.col("date")), "left")
     done = F.filter("slots", lambda s: s <= at)

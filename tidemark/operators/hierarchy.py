@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import GROUP_ROWS, row_number
 from tidemark.operators.projection import label_indented
 from tidemark.operators.reshape import render
-from tidemark.session import new_folder, settle, slices
+from tidemark.session import new_folder, settle, settle_any, slices
 
 # Node kinds.
 SEQUENCE, PARALLEL, ATOM = 0, 1, 2
@@ -35,22 +35,21 @@ def root_paths(
     k = F.col(key) if isinstance(key, str) else key
     p = F.col(parent) if isinstance(parent, str) else parent
     unfinished = F.col("__up").isNotNull()
-    state = settle(nodes.select(k.alias("__k"), p.alias("__up"), F.array(step).alias(name)))
+    state, more = settle_any(nodes.select(k.alias("__k"), p.alias("__up"), F.array(step).alias(name)), unfinished)
     known = [state.where(~unfinished)]  # paths that begin at a root; written once, read from then on
     climbed = 1
-    while not state.where(unfinished).isEmpty():
+    while more:
         if climbed > max_depth:
             raise ValueError(f"a path is longer than {max_depth} steps: the parents form a cycle or max_depth is too small")
         low = state.where(unfinished)
         high = reduce(DataFrame.unionByName, known, low).alias("high")
         low = low.alias("low")
-        state = settle(
-            low.join(high, F.col("low.__up") == F.col("high.__k")).select(
-                F.col("low.__k").alias("__k"),
-                F.col("high.__up").alias("__up"),
-                F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
-            )
+        longer = low.join(high, F.col("low.__up") == F.col("high.__k")).select(
+            F.col("low.__k").alias("__k"),
+            F.col("high.__up").alias("__up"),
+            F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
         )
+        state, more = settle_any(longer, unfinished)
         known.append(state.where(~unfinished))
         climbed *= 2
     paths = reduce(DataFrame.unionByName, known)
@@ -176,15 +175,15 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_round
 
     Breadth first: each round joins only the nodes found by the one before.
     """
-    found = settle(starts.distinct().withColumn("distance", F.lit(0)))
     name = starts.columns[0]
-    front = found
+    front = settle(starts.distinct().withColumn("distance", F.lit(0)))
+    found = front
     for distance in range(1, max_rounds + 1):
         nxt = front.join(edges, F.col(name) == F.col(src)).select(F.col(dst).alias(name)).distinct()
-        front = settle(nxt.join(found, name, "left_anti").withColumn("distance", F.lit(distance)))
-        if front.isEmpty():
+        front, more = settle_any(nxt.join(found, name, "left_anti").withColumn("distance", F.lit(distance)), F.lit(True))
+        if not more:
             return found.where(F.col("distance") > 0)
-        found = settle(found.unionByName(front))
+        found = found.unionByName(front)
     raise ValueError(f"more than {max_rounds} rounds")
 
 
@@ -286,9 +285,11 @@ def inherit_attributes(nodes: DataFrame, key: str, parent: str, layers: Sequence
     stored, levels = by_depth(nodes, key, parent)
     empty = F.create_map().cast("map<string,string>")
 
-    def overridden(level: DataFrame, layer: str) -> DataFrame:
-        own = F.transform_values(F.coalesce(F.col(layer), empty), lambda _, v: render(v, F.col(name)))
-        return level.withColumn("__own", own).withColumn(name, merged_map(F.col(name), F.col("__own")))
+    own = [F.transform_values(F.coalesce(F.col(x), empty), lambda _, v: render(v, F.col(name))) for x in layers]
+    merged = merged_map(F.col(name), F.col("__own"))
+
+    def overridden(level: DataFrame, values: Column) -> DataFrame:
+        return level.withColumn("__own", values).withColumn(name, merged)
 
     done, above = [], None
     for depth in levels:
@@ -298,6 +299,6 @@ def inherit_attributes(nodes: DataFrame, key: str, parent: str, layers: Sequence
         else:
             up = above.select(F.col(key).alias("__k"), name)
             level = level.join(up, F.col(parent) == F.col("__k")).drop("__k")
-        above = settle(reduce(overridden, layers, level).drop("__own"))
+        above = settle(reduce(overridden, own, level).drop("__own"))
         done.append(above)
     return reduce(DataFrame.unionByName, done)

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
@@ -58,6 +59,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_any(df: DataFrame, condition: Column) -> tuple[DataFrame, bool]:
+    """``settle``, and whether any row meets ``condition``; seen while writing, at no extra pass."""
+    seen = Observation()
+    out = settle(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"] > 0
+
+
 def slices(spark: SparkSession) -> int:
     """Number of slices for an explicit range partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,6 +8,8 @@ from conftest import rows
 from tidemark.operators import aggregates as A
 from tidemark.operators import joins as J
 from tidemark.operators import ordered as O
+from tidemark.operators import reshape as R
+from tidemark.operators.skew import lookup
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +96,23 @@ def test_dense_keys(spark, skewed):
     assert rows(got, "id", "n") == rows(spark.range(3000).select("id", F.col("id") + 11))
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_with_hot_keys(skewed, how):
+    right = skewed.where("o < 400").groupBy("k", "v").agg(F.max("id").alias("top"))
+    plain = lookup(skewed, right, {"k": "k", "v": "v"}, ["top"], how)
+    salted = lookup(skewed, right, {"k": "k", "v": "v"}, ["top"], how, hot_rows=40)
+    assert "__salt" in salted._jdf.queryExecution().toString()
+    assert rows(salted, "id", "k", "o", "v", "top") == rows(plain, "id", "k", "o", "v", "top")
+
+
+def test_minutes_in_a_row(spark):
+    df = spark.createDataFrame([("2024-01-01 00:14:30",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    got = R.nth_minute(df, "t", 60, 2, lambda m: F.minute(m).isin(0, 15, 45), "n").first()["n"]
+    assert str(got) == "2024-01-01 00:45:00"
+    series = R.minute_series(df, [], "t", 2, "m").select("m").collect()
+    assert [str(r[0])[11:16] for r in series] == ["00:14", "00:15", "00:16"]
+
+
 def test_groups_of_one_task_need_no_slices(skewed):
     assert O.largest_group(skewed, ["k"]) >= 1000
     plan = O.running_sum(skewed, ["k"], ["id"], "v", "s")._jdf.queryExecution().toString()

@@ -29,6 +29,8 @@ def test_every_query_has_sql():
 def test_query(spark, db, sf, name):
     df = entry.queries()[name](spark, sf)
     got = [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     cur = db.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import GROUP_ROWS, row_number
 from tidemark.operators.projection import label_indented
 from tidemark.operators.reshape import render
+from tidemark.operators.skew import lookup
 from tidemark.session import new_folder, settle, settle_any, slices
 
 # Node kinds.
@@ -160,14 +161,16 @@ def downstream_set(nodes: DataFrame, starts: DataFrame, key: str, parent: str, p
     """All leaves that come after the given leaves: what a reload of those has to redo.
 
     A leaf comes after a start when the two part below a sequence, the start earlier.
-    Only the earliest start position per sequence counts, so the join is one to many.
+    Only the earliest start position per sequence counts, so each leaf meets one row.
     """
     leaves = settle(precedence_steps(nodes, key, parent, position, kind).where(F.size("steps") > 1))
     edges = leaves.select(key, F.explode(_edges_down()).alias("e")).where(F.col("e.ordered"))
     edges = edges.select(key, F.col("e.id").alias("__seq"), F.col("e.position").alias("__at"))
     given = edges.join(starts.select(key).distinct(), key, "left_semi")
     first = given.groupBy("__seq").agg(F.min("__at").alias("__from"))
-    return edges.join(first, "__seq").where(F.col("__at") > F.col("__from")).select(key).distinct()
+    # A sequence near the root has most leaves below it: a hot key.
+    after = lookup(edges, first, {"__seq": "__seq"}, ["__from"], "inner").where(F.col("__at") > F.col("__from"))
+    return after.select(key).distinct()
 
 
 def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_rounds: int = MAX_DEPTH) -> DataFrame:
@@ -184,6 +187,8 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_round
         if not more:
             return found.where(F.col("distance") > 0)
         found = found.unionByName(front)
+        if distance % 16 == 0:
+            found = settle(found)  # keeps the plan short
     raise ValueError(f"more than {max_rounds} rounds")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import GROUP_ROWS, last_known
 from tidemark.operators.predicates import all_of, require_keys
+from tidemark.operators.skew import lookup
 
 
 def _on(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
@@ -26,8 +27,8 @@ def inner(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> DataFrame
 
 def left_lookup(rows: DataFrame, history: DataFrame, on: dict[str, str], columns: Sequence[str]) -> DataFrame:
     """Left join to the distinct projection of a history: versions do not multiply rows."""
-    found = history.select(*on.values(), *columns).distinct()
-    return rows.join(found, _on(rows, found, on), "left").select(*[rows[c] for c in rows.columns], *columns)
+    found = history.where(all_of(F.col(c).isNotNull() for c in on.values())).select(*on.values(), *columns).distinct()
+    return lookup(rows, found, on, columns)
 
 
 def anti_not_in(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -141,8 +142,9 @@ def eav_pivot(df: DataFrame, keys: Sequence[str], name: str, value: str, names:
 
 def at_group_max(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Rows holding the greatest value of their group (a correlated max)."""
-    top = df.groupBy(*keys).agg(F.max(column).alias("__top"))
-    return df.join(top, list(keys)).where(F.col(column) == F.col("__top")).drop("__top")
+    known = df.where(all_of(F.col(k).isNotNull() for k in keys))
+    top = known.groupBy(*keys).agg(F.max(column).alias("__top"))
+    return lookup(df, top, {k: k for k in keys}, ["__top"], "inner").where(F.col(column) == F.col("__top")).drop("__top")
 
 
 def date_parts_join(rows: DataFrame, calendar: DataFrame, date: str, start: str, end: str) -> DataFrame:

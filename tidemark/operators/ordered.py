@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import lookup, same_keys
 from tidemark.session import settle, slices
 
 GROUP_ROWS = 4_000_000
@@ -54,10 +54,6 @@ def fits_one_task(df: DataFrame, keys: Sequence[str], group_rows: int) -> bool:
     return bool(keys) and largest_group(df, keys) <= group_rows
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
-
-
 def slice_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[By]) -> DataFrame:
     """Range partition by key and order, with the slice number as a column.
 
@@ -86,7 +82,7 @@ def _carry_in(sliced: DataFrame, keys: Sequence[str], total: Column, fold) -> Da
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = (rows[_SLICE] == carry[_SLICE]) & same_keys(rows, carry, keys)
+    on = (rows[_SLICE] == carry[_SLICE]) & same_keys(rows, carry, {k: k for k in keys})
     return rows.join(F.broadcast(carry), on, "left").select(*[rows[c] for c in rows.columns], carry[_CARRY])
 
 
@@ -147,8 +143,7 @@ def rank(
     step = F.lit(1).cast("bigint") if dense else F.col("__n")
     ranked = running_sum(peers.withColumn("__step", step), keys, order, "__step", "__upto", group_rows=0)
     ranked = ranked.select(*cols, (F.col("__upto") - F.col("__step") + 1).alias("__rank"))
-    out = df.join(ranked, same_keys(df, ranked, cols), "left")
-    return out.select(*[df[c] for c in df.columns], ranked["__rank"].alias(name))
+    return lookup(df, ranked, {c: c for c in cols}, ["__rank"]).withColumnRenamed("__rank", name)
 
 
 def shift(

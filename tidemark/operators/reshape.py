@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +61,13 @@ def minute_series(df: DataFrame, keys: Sequence[str], start: str, minutes: int,
     return df.select(*keys, F.posexplode(F.sequence(s, stop, F.expr("interval 1 minute"))).alias("seq", name))
 
 
+def nth_minute(df: DataFrame, start: str, minutes: int, n: int, match: Callable[[Column], Column], name: str) -> DataFrame:
+    """The n-th matching minute from the minute of ``start`` on, looked for inside the row."""
+    s = F.date_trunc("minute", start).cast("timestamp_ntz")
+    seq = F.sequence(s, s + F.make_dt_interval(mins=F.lit(minutes)), F.expr("interval 1 minute"))
+    return df.withColumn(name, F.get(F.filter(seq, match), F.lit(n - 1)))
+
+
 def render(template: str | Column, features: str | Column) -> Column:
     """Replace ``${name}`` by the value of a map; unknown names become empty.
 

@@ -12,6 +12,7 @@ from tidemark.operators.aggregates import latest_per_key
 from tidemark.operators.hierarchy import bottom_up_fold
 from tidemark.operators.ordered import GROUP_ROWS, By, row_number, running_sum, shift
 from tidemark.operators.predicates import all_of
+from tidemark.operators.skew import lookup
 
 # Run statuses in the order of the tables below.
 STATUSES = ["submitted", "running", "failed", "suspended", "succeeded", "skipped"]
@@ -168,18 +169,18 @@ def admit_by_capacity(
     A load that is not given counts 1 and a missing capacity means no limit.  ``used``
     has the load already running per resource.
     """
-    loaded = waiting.withColumn("__load", F.coalesce(F.col(load), F.lit(1)).cast("bigint"))
-    order = [By(importance, desc=True), By(load, nulls_first=True), By(run)]
-    summed = running_sum(loaded, [resource], order, "__load", "load_sum", group_rows)
     free = capacity.select(F.col(resource).alias("__r"), F.col(limit).alias("__free"))
     if used is not None:
         taken = used.groupBy(F.col(resource).alias("__u")).agg(F.sum(load).alias("__taken"))
         free = free.join(taken, F.col("__r") == F.col("__u"), "left").select(
             "__r", (F.col("__free") - F.coalesce("__taken", F.lit(0))).alias("__free")
         )
-    joined = summed.join(free, F.col(resource) == F.col("__r"))
+    known = lookup(waiting, free, {resource: "__r"}, ["__free"], "inner")
+    loaded = known.withColumn("__load", F.coalesce(F.col(load), F.lit(1)).cast("bigint"))
+    order = [By(importance, desc=True), By(load, nulls_first=True), By(run)]
+    summed = running_sum(loaded, [resource], order, "__load", "load_sum", group_rows)
     fits = F.col("__free").isNull() | (F.col("load_sum") <= F.col("__free"))
-    return joined.where(fits).select(*waiting.columns, "load_sum")
+    return summed.where(fits).select(*waiting.columns, "load_sum")
 
 
 def overdue(current: DataFrame, limits: DataFrame, status: str, since: str, as_of: Column) -> DataFrame:

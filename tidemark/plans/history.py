@@ -20,6 +20,7 @@ from tidemark.operators.predicates import (
     valid,
     valid_at,
 )
+from tidemark.operators.skew import lookup
 from tidemark.session import settle
 
 HIST = ("start_ts", "end_ts")
@@ -156,7 +157,7 @@ def assign_surrogate(rows: DataFrame, known: DataFrame, natural: Sequence[str],
     unseen = rows.select(*natural).distinct().join(known, list(natural), "left_anti")
     fresh = dense_keys(unseen, natural, key, int(top))
     mapping = known.unionByName(fresh.withColumn(key, F.col(key).cast(known.schema[key].dataType)))
-    return rows.join(mapping, list(natural), "left")
+    return lookup(rows, mapping, {c: c for c in natural}, [key])
 
 
 def load_reference_entity(
@@ -193,7 +194,10 @@ def join_as_of_version(
 def join_version_range(
     rows: DataFrame, versions: DataFrame, on: dict[str, str], at: str, how: str = "left", hist=HIST
 ) -> DataFrame:
-    """Equi join to the version valid at each row's own timestamp."""
+    """Equi join to the version valid at each row's own timestamp.
+
+    A key has at most one version per load, so the range test sees few candidates.
+    """
     start, end = hist
     cond = all_of(rows[a] == versions[b] for a, b in on.items())
     return rows.join(versions, cond & (rows[at] >= versions[start]) & (rows[at] < versions[end]), how)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.predicates import OPEN_END, ntz, similar_to
-from tidemark.plans.history import HIST, scd2_apply
+from tidemark.plans.history import HIST, one_row_per_key, scd2_apply
 from tidemark.session import new_folder
 
 WORK = "tidemark_work"
@@ -79,7 +79,7 @@ def upsert(target: DataFrame, feed: DataFrame, natural: Sequence[str]) -> DataFr
     """Update matching rows, add missing ones, keep the rest; ``op`` says which."""
     rest = [c for c in target.columns if c not in natural]
     old_side = target.select(*natural, F.struct(*rest).alias("old"))
-    new_side = feed.select(*natural, F.struct(*rest).alias("new"))
+    new_side = one_row_per_key(feed, natural).select(*natural, F.struct(*rest).alias("new"))
     op = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").otherwise("updated")
     joined = old_side.join(new_side, list(natural), "full_outer")
     return joined.select(*natural, F.coalesce("new", "old").alias("row"), op.alias("op")).select(*natural, "row.*", "op")
@@ -87,15 +87,14 @@ def upsert(target: DataFrame, feed: DataFrame, natural: Sequence[str]) -> DataFr
 
 def reload_by_key(target: DataFrame, feed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace all rows of every key that occurs in the feed."""
-    touched = feed.select(*keys).distinct()
-    return target.join(touched, list(keys), "left_anti").unionByName(feed)
+    return target.join(feed.select(*keys), list(keys), "left_anti").unionByName(feed)
 
 
 def flag_active(target: DataFrame, current: DataFrame, natural: Sequence[str], flag: str = "active") -> DataFrame:
     """Mark rows whose key is in the new set, add unseen keys; nothing is deleted."""
     rest = [c for c in target.columns if c not in natural and c != flag]
     old_side = target.select(*natural, F.struct(*rest).alias("old"))
-    new_side = current.select(*natural, F.struct(*rest).alias("new"))
+    new_side = one_row_per_key(current, natural).select(*natural, F.struct(*rest).alias("new"))
     joined = old_side.join(new_side, list(natural), "full_outer")
     return joined.select(
         *natural, F.coalesce("old", "new").alias("row"), F.col("new").isNotNull().alias(flag)

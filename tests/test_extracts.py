@@ -135,6 +135,25 @@ def test_an_extract_broken_half_way_is_replaced_by_the_last_one(spark, tmp_path)
     assert S.scan_snapshot(spark, name, 20200102000000).count() == 3
 
 
+def test_refresh_retries_carries_and_prunes(spark):
+    name = stage(spark)
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            return spark.read.parquet("/nowhere")
+        return spark.createDataFrame([(1, "x")], "id int, v string")
+
+    assert S.refresh_stage(spark, name, 20200101000000, flaky, retention=2, wait=0) == "loaded"
+    assert len(calls) == 3
+    missing = lambda: spark.read.parquet("/nowhere")
+    for day in (2, 3):
+        assert S.refresh_stage(spark, name, 20200100000000 + day * 1000000, missing, retention=2, wait=0) == "carried"
+    assert rows(S.list_snapshots(spark, name)) == [(20200102000000, 2), (20200103000000, 1)]
+    assert S.scan_all_snapshots(spark, name).count() == 2
+
+
 def test_scan_reads_one_partition(spark):
     name = stage(spark)
     put(spark, name, 20200101000000, [1])

@@ -221,6 +221,19 @@ def test_render(spark, template, want):
     assert spark.range(1).select(R.render(template, features).alias("t")).first()["t"] == want
 
 
+def test_empty_inputs(spark):
+    nothing = spark.createDataFrame([], "id int, up int, position int, kind int")
+    assert T.tree_paths(nothing, "id", "up", "position").isEmpty()
+    assert T.tree_paths(nothing.where("false"), "id", "up", "position").isEmpty()
+    assert T.tree_flatten(nothing, "id", "up", "position", "kind").isEmpty()
+    assert T.dependency_edges(nothing, "id", "up", "position", "kind").isEmpty()
+    assert T.bottom_up_fold(nothing, "id", "up", "kind", {"s": F.sum("kind")}, F.col("s")).isEmpty()
+    maps = nothing.withColumn("m", F.create_map(F.lit("a"), F.lit("b")))
+    assert T.inherit_attributes(maps, "id", "up", ["m"], "f").isEmpty()
+    edges = spark.createDataFrame([], "a int, b int")
+    assert T.reachable(edges, spark.createDataFrame([(1,)], "n int"), "a", "b").isEmpty()
+
+
 def test_fan_out(spark):
     df = spark.createDataFrame([(1, list("abcde")), (2, []), (3, None)], "k int, l array<string>")
     assert rows(R.fan_out_list(df, ["k"], "l", ["p", "q"])) == [

@@ -100,7 +100,7 @@ def test_reload_from(spark, folded, day):
 
 
 def test_diffs_agree_with_the_fused_form(spark, folded):
-    images, history = folded
+    _, history = folded
     new = image(spark, snapshots([1], seed=9)[1])
     ops = H.classify_changes(history, new, IDS, ts(8)).select(*IDS, "op").collect()
     by = lambda op: sorted((r["a"], r["b"]) for r in ops if r["op"] == op)

@@ -105,6 +105,14 @@ def test_lookup_with_hot_keys(skewed, how):
     assert rows(salted, "id", "k", "o", "v", "top") == rows(plain, "id", "k", "o", "v", "top")
 
 
+def test_empty_groups(skewed):
+    none = skewed.where("false")
+    assert O.running_sum(none, ["k"], ORDER, "v", "s", group_rows=0).isEmpty()
+    assert O.rank(none, ["k"], ORDER, "r", group_rows=0).isEmpty()
+    assert O.shift(none, ["k"], ORDER, {"p": "id"}, group_rows=0).isEmpty()
+    assert O.dense_keys(none, ["id"], "n").isEmpty()
+
+
 def test_minutes_in_a_row(spark):
     df = spark.createDataFrame([("2024-01-01 00:14:30",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     got = R.nth_minute(df, "t", 60, 2, lambda m: F.minute(m).isin(0, 15, 45), "n").first()["n"]

@@ -8,7 +8,7 @@ questions (flattening, precedence, subtrees) are then answered inside the row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -249,7 +249,7 @@ def by_depth(nodes: DataFrame, key: str, parent: str) -> tuple[DataFrame, list[i
     # By range of depth and key: few files per level, and no level in one task.
     leveled = nodes.join(ids, key).repartitionByRange(slices(spark), "depth", key)
     leveled.write.partitionBy("depth").parquet(path)
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(leveled.schema).parquet(path)
     levels = sorted(r["depth"] for r in stored.select("depth").distinct().collect())
     return stored, levels
 
@@ -274,7 +274,7 @@ def bottom_up_fold(
             level = joined.withColumn(value, F.when(F.col("__p").isNotNull(), finish).otherwise(F.col(value))).select(*columns)
         below = settle(level)
         done.append(below)
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done, nodes.limit(0))
 
 
 def merged_map(base: Column, over: Column) -> Column:
@@ -306,4 +306,4 @@ def inherit_attributes(nodes: DataFrame, key: str, parent: str, layers: Sequence
             level = level.join(up, F.col(parent) == F.col("__k")).drop("__k")
         above = settle(reduce(overridden, own, level).drop("__own"))
         done.append(above)
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done, nodes.withColumn(name, empty).limit(0))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +74,40 @@ def carry_forward(spark: SparkSession, name: str, load_id: int) -> int | None:
     return before
 
 
-def load_or_carry(spark: SparkSession, name: str, load_id: int, read) -> str:
-    """Land what ``read()`` returns, or carry the last snapshot forward if it cannot be read."""
-    try:
-        land_snapshot(spark, name, read(), load_id)
-        return "loaded"
-    except Exception as error:  # any read failure means: extract not available
-        log.warning("extract for %s %s not loaded: %s", name, load_id, error)
-        return "skipped" if carry_forward(spark, name, load_id) is None else "carried"
+def load_or_carry(
+    spark: SparkSession, name: str, load_id: int, read: Callable[[], DataFrame], attempts: int = 1, wait: float = 0
+) -> str:
+    """Land what ``read()`` returns, or carry the last snapshot forward if it cannot be read.
+
+    Returns "loaded", "carried", or "skipped" when there is nothing to carry either.
+    """
+    for attempt in range(1, attempts + 1):
+        try:
+            land_snapshot(spark, name, read(), load_id)
+            return "loaded"
+        except Exception as error:  # any failure to read means: extract not available
+            log.warning("extract for %s %s not loaded, attempt %s: %s", name, load_id, attempt, error)
+            if attempt < attempts:
+                time.sleep(wait)
+    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({LOAD}={int(load_id)})")
+    return "skipped" if carry_forward(spark, name, load_id) is None else "carried"
+
+
+def refresh_stage(
+    spark: SparkSession,
+    name: str,
+    load_id: int,
+    read: Callable[[], DataFrame],
+    retention: int = 14,
+    attempts: int = 3,
+    wait: float = 300,
+) -> str:
+    """The whole stage load: land or carry, refresh the new snapshot's statistics, prune."""
+    outcome = load_or_carry(spark, name, load_id, read, attempts, wait)
+    if outcome != "skipped":
+        spark.sql(f"ANALYZE TABLE {name} PARTITION ({LOAD}={int(load_id)}) COMPUTE STATISTICS")
+    prune_snapshots(spark, name, retention)
+    return outcome
 
 
 def prune_snapshots(spark: SparkSession, name: str, retention: int) -> list[int]:

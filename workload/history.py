@@ -14,7 +14,6 @@ from workload.base import (
     day,
     history_image,
     history_target,
-    money,
     order_state,
     query,
     stamp,

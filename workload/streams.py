@@ -8,7 +8,7 @@ from tidemark.plans import tables as K
 from tidemark.session import new_folder
 from tidemark.sources import extracts as X
 from tidemark.streaming import landing as G
-from workload.base import IDS, query, table
+from workload.base import IDS, query
 from workload.history import FOLD_SQL, empty_history, shown, yearly_snapshots
 from workload.stage import LOAD_SQL, ROW, load, yearly
 

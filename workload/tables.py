@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import predicates as P
-from tidemark.plans import history as H
 from tidemark.plans import tables as K
 from workload.base import (
     CUT_NEW,
     HISTORY_CTE,
     IDS,
-    QUERIES,
     history_image,
     history_target,
-    money,
     query,
     table,
-    text,
 )
 from workload.history import FOLD_SQL, empty_history, shown, yearly_snapshots
 

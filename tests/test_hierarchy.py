@@ -125,7 +125,7 @@ def test_edges_through_gates_are_the_direct_pairs(spark, n, seed, hot):
     assert len(edges) <= 2 * sum(1 for i in tree if not kids[i])
 
 
-@pytest.mark.parametrize("n, seed, hot", TREES[1:])
+@pytest.mark.parametrize("n, seed, hot", [(60, 2, False), (50, 3, True)])
 def test_downstream_is_reachable(spark, n, seed, hot):
     tree = random_tree(n, seed, hot)
     df = frame(spark, tree)

@@ -48,6 +48,8 @@ def test_classification_joins_once_without_extra_shuffles(spark, sf):
         plan = plan_of(H.classify_changes(target, image, IDS, CUT_NEW))
         assert len(re.findall(r"SortMergeJoin.*FullOuter|ShuffledHashJoin.*FullOuter", plan)) == 1
         assert plan.count("Exchange hashpartitioning") == images
+        sorts = sum(plan_of(df).count(" Sort [") for df in (P.valid_at(target, CUT_NEW), image))
+        assert plan.count(" Sort [") == sorts
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 

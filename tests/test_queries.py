@@ -13,6 +13,9 @@ import __spark_entry__ as entry
 from tools.check import canonical
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.fixture(scope="module")
 def db(sf):
     con = duckdb.connect()
@@ -34,4 +37,6 @@ def test_query(spark, db, sf, name):
     cur = db.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
+    given = {d[0]: str(d[1]) for d in cur.description}
+    assert given == {c: TYPES[t] for c, t in df.dtypes}
     assert canonical(df.columns, got) == canonical(cols, cur.fetchall())

@@ -74,7 +74,7 @@ def descendants(nodes: DataFrame, key: str, parent: str, of: int) -> DataFrame:
     """The subtree below one node, with the distance to it."""
     ids = root_paths(nodes, key, parent, F.col(key), "ids")
     at = F.array_position("ids", F.lit(of))
-    return ids.where((at > 0) & (F.col(key) != of)).select(key, (F.size("ids") - at).alias("distance"))
+    return ids.where((at > 0) & (F.col(key) != of)).select(key, (F.size("ids") - at).cast("int").alias("distance"))
 
 
 def tree_flatten(nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -176,9 +176,11 @@ def downstream_set(nodes: DataFrame, starts: DataFrame, key: str, parent: str, p
 def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_rounds: int = MAX_DEPTH) -> DataFrame:
     """Nodes reached from the starts along directed edges, with the number of steps.
 
-    Breadth first: each round joins only the nodes found by the one before.
+    Breadth first: each round joins only the nodes found by the one before.  The edges
+    are read in every round, so they are derived once.
     """
     name = starts.columns[0]
+    edges = settle(edges.select(src, dst).distinct())
     front = settle(starts.distinct().withColumn("distance", F.lit(0)))
     found = front
     for distance in range(1, max_rounds + 1):

@@ -36,7 +36,7 @@ def set_sql(field: int, low: int, high: int) -> str:
     "expand_cron",
     f"""with t as ({CRON_SQL}),
     a as (select c_custkey, unnest(string_split(spec, '|')) as alt,
-                 generate_subscripts(string_split(spec, '|'), 1) - 1 as position from t),
+                 (generate_subscripts(string_split(spec, '|'), 1) - 1)::int as position from t),
     s as (select c_custkey, position, string_split(replace(alt, ' ', ''), '&') as f from a)
     select c_custkey, position, """
     + ", ".join(f"{set_sql(i, lo, hi)} as {name}" for i, (name, lo, hi) in enumerate(C.FIELDS, start=1))
@@ -102,9 +102,9 @@ def event_schedules(spark, sf):
     """with b as (select min(l_shipdate) as a, max(l_shipdate) as z from lineitem),
     cal as (select cast(unnest(generate_series(a, z, interval 1 day)) as date) as d from b),
     n as (select cast(l_shipdate as date) as s, count(*) as n from lineitem group by 1)
-    select strftime(d, '%Y-%m-%d') as date, year(d) as year, month(d) as month, day(d) as day_of_month,
-           date_diff('day', d, date_trunc('month', d + interval 1 month)) as day_of_month_reverse,
-           isodow(d) as day_of_week, coalesce(n, 0) as n_lines
+    select strftime(d, '%Y-%m-%d') as date, year(d)::int as year, month(d)::int as month, day(d)::int as day_of_month,
+           date_diff('day', d, date_trunc('month', d + interval 1 month))::int as day_of_month_reverse,
+           isodow(d)::int as day_of_week, coalesce(n, 0) as n_lines
     from cal left join n on s = d""",
 )
 def calendar_dim(spark, sf):
@@ -120,8 +120,8 @@ def calendar_dim(spark, sf):
     "candidate_dates",
     """with l as (select o_custkey, max(o_orderdate) as a from orders group by o_custkey),
     x as (select o_custkey, s as seq, cast(a - to_days(cast(s as integer)) as date) as d from l, range(0, 40) r(s))
-    select o_custkey, seq, strftime(d, '%Y-%m-%d') as date, isodow(d) as day_of_week,
-           date_diff('day', d, date_trunc('month', d + interval 1 month)) as day_of_month_reverse from x""",
+    select o_custkey, seq::int as seq, strftime(d, '%Y-%m-%d') as date, isodow(d)::int as day_of_week,
+           date_diff('day', d, date_trunc('month', d + interval 1 month))::int as day_of_month_reverse from x""",
 )
 def candidate_dates(spark, sf):
     last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("a"))

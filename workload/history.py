@@ -213,7 +213,7 @@ def load_reference_entity(spark, sf):
     words as (select distinct unnest(string_split(p_name, ' ')) as w from part),
     activity as (select w as source_id, row_number() over (order by w) as activity_id from words),
     items as (select p_partkey, unnest(string_split(p_name, ' ')) as w,
-                     generate_subscripts(string_split(p_name, ' '), 1) as order_num from part)
+                     cast(generate_subscripts(string_split(p_name, ' '), 1) as int) as order_num from part)
     select party_id, order_num, activity_id, '2001-07-01 00:00:00' as start_ts, '9999-12-31 23:59:59' as end_ts
     from items join party on party.source_id = p_partkey
          and timestamp '2001-07-01' >= party.start_ts and timestamp '2001-07-01' < party.end_ts

@@ -502,8 +502,8 @@ def row_number_first(spark, sf):
 
 @query(
     "running_sum",
-    """select o_orderkey, sum(o_orderkey) over (partition by o_orderpriority
-         order by nullif(o_orderstatus, 'O') desc nulls last, o_orderkey rows between unbounded preceding and current row) as total
+    """select o_orderkey, cast(sum(o_orderkey) over (partition by o_orderpriority
+         order by nullif(o_orderstatus, 'O') desc nulls last, o_orderkey rows between unbounded preceding and current row) as bigint) as total
        from orders""",
 )
 def running_sum(spark, sf):

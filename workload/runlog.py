@@ -137,7 +137,7 @@ SEQ_TABLE = "[" + ", ".join(
 
 @query(
     "rollup_sequence",
-    f"""with m as (select o_custkey, year(o_orderdate) as y, o_orderkey,
+    f"""with m as (select o_custkey, year(o_orderdate)::int as y, o_orderkey,
                           case o_orderstatus when 'F' then case when o_orderpriority = '5-LOW' then 6 else 5 end
                                when 'P' then 2 else 1 end as s from orders),
     l as (select o_custkey, y, list(s order by case s when 5 then 0 when 6 then 0 when 2 then 1 else 2 end, o_orderkey) as s

@@ -72,8 +72,8 @@ def fn_array(spark, sf):
 
 @query(
     "fn_date_parts",
-    """select event_id, year(ts) as y, month(ts) as m, day(ts) as d, hour(ts) as h, minute(ts) as mi,
-              extract(dow from ts) as dow, extract(isodow from ts) as isodow from events""",
+    """select event_id, year(ts)::int as y, month(ts)::int as m, day(ts)::int as d, hour(ts)::int as h, minute(ts)::int as mi,
+              extract(dow from ts)::int as dow, extract(isodow from ts)::int as isodow from events""",
 )
 def fn_date_parts(spark, sf):
     return table(spark, sf, "events").select(

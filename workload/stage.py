@@ -98,7 +98,7 @@ def scan_all_snapshots(spark, sf):
 
 @query(
     "list_snapshots",
-    f"select _load_id, rank() over (order by _load_id desc) as recency from (select distinct {LOAD_SQL} as _load_id from orders)",
+    f"select _load_id, cast(rank() over (order by _load_id desc) as int) as recency from (select distinct {LOAD_SQL} as _load_id from orders)",
 )
 def list_snapshots(spark, sf):
     return S.list_snapshots(spark, staged(spark, sf))
@@ -106,7 +106,7 @@ def list_snapshots(spark, sf):
 
 @query(
     "rank_recency",
-    """select d as load_day, rank() over (order by d desc) as recency
+    """select d as load_day, cast(rank() over (order by d desc) as int) as recency
        from (select distinct strftime(l_shipdate, '%Y-%m-%d') as d from lineitem)""",
 )
 def rank_recency(spark, sf):

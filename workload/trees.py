@@ -39,7 +39,7 @@ def listed(c):
 
 @query(
     "split_ordered",
-    """select p_partkey, generate_subscripts(string_split(p_name, ' '), 1) as order_num, unnest(string_split(p_name, ' ')) as word
+    """select p_partkey, generate_subscripts(string_split(p_name, ' '), 1)::int as order_num, unnest(string_split(p_name, ' ')) as word
        from part where p_name is not null and p_name <> ''""",
 )
 def split_ordered(spark, sf):
@@ -254,7 +254,7 @@ def inherit_attributes(spark, sf):
     "fan_out_list",
     """with l as (select p_partkey, string_split(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size, ' ') as l from part),
     g as (select p_partkey, l, unnest(range(0, (len(l) + 2) // 3)) as i from l)
-    select p_partkey, i + 1 as iteration, l[3 * i + 1] as first, l[3 * i + 2] as second, l[3 * i + 3] as third from g""",
+    select p_partkey, (i + 1)::int as iteration, l[3 * i + 1] as first, l[3 * i + 2] as second, l[3 * i + 3] as third from g""",
 )
 def fan_out_list(spark, sf):
     words = F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size"), " ")
@@ -272,7 +272,7 @@ def number_series(spark, sf):
 
 @query(
     "date_series",
-    """select c_custkey, s as seq, strftime(a - to_days(cast(s as integer)), '%Y-%m-%d') as d
+    """select c_custkey, s::int as seq, strftime(a - to_days(cast(s as integer)), '%Y-%m-%d') as d
        from (select o_custkey as c_custkey, min(o_orderdate) as a from orders group by 1), range(0, 10) r(s)""",
 )
 def date_series(spark, sf):

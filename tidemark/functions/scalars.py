@@ -35,8 +35,9 @@ def month_reverse_day(date: str | Column) -> Column:
 
 
 def load_number(ts: str | Column) -> Column:
-    """Timestamp as the number yyyyMMddHHmmss."""
-    return F.date_format(_c(ts), "yyyyMMddHHmmss").cast("bigint")
+    """Timestamp as the number yyyyMMddHHmmss, without a detour through the session's time zone."""
+    shown = F.substring(_c(ts).cast("timestamp_ntz").cast("string"), 1, 19)
+    return F.regexp_replace(shown, "[^0-9]", "").cast("bigint")
 
 
 def load_time(number: str | Column) -> Column:

@@ -54,16 +54,22 @@ def date_series(df: DataFrame, keys: Sequence[str], start: str | Column, days: i
     return df.select(*keys, F.posexplode(seq).alias("seq", name))
 
 
+def minute_floor(ts: str | Column) -> Column:
+    """Start of the minute; built from parts because truncation would go through the session's time zone."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.to_date(c).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(c), mins=F.minute(c))
+
+
 def minute_series(df: DataFrame, keys: Sequence[str], start: str, minutes: int, name: str) -> DataFrame:
     """Every minute from the minute of ``start`` on."""
-    s = F.date_trunc("minute", start).cast("timestamp_ntz")
+    s = minute_floor(start)
     stop = s + F.make_dt_interval(mins=F.lit(minutes))
     return df.select(*keys, F.posexplode(F.sequence(s, stop, F.expr("interval 1 minute"))).alias("seq", name))
 
 
 def nth_minute(df: DataFrame, start: str, minutes: int, n: int, match: Callable[[Column], Column], name: str) -> DataFrame:
     """The n-th matching minute from the minute of ``start`` on, looked for inside the row."""
-    s = F.date_trunc("minute", start).cast("timestamp_ntz")
+    s = minute_floor(start)
     seq = F.sequence(s, s + F.make_dt_interval(mins=F.lit(minutes)), F.expr("interval 1 minute"))
     return df.withColumn(name, F.get(F.filter(seq, match), F.lit(n - 1)))
 

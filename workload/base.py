@@ -37,11 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def text(c: str | Column) -> Column:
     """Second-precision text of a timestamp, so that both engines hash the same value."""
-    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss")
+    return F.substring((F.col(c) if isinstance(c, str) else c).cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def day(c: str | Column) -> Column:
-    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd")
+    return F.to_date(c).cast("string")
 
 
 def money(c: str | Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language, packing, toxicity
+from tidemark.llm import chat, language, lattice, packing, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,41 @@ def language_id(spark, sf):
     model = language.train(docs.where(~held_out("doc_id", 4, 2)))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op3_embedding_near_dedup", """
+with recursive good as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+  where len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, l.y from reach r join links l on r.y = l.x),
+parts as (select x, min(y) as component_id from reach group by x),
+n as (select x, count(*) as n_links from links group by x)
+select e.vec_id, coalesce(n.n_links, 0) as n_links, p.component_id, e.vec_id = p.component_id as kept
+from embeddings e join parts p on p.x = e.vec_id left join n on n.x = e.vec_id""")
+def embedding_near_dedup(spark, sf):
+    found = lattice.near_vectors(table(spark, sf, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op7_substring_dedup", r"""
+with split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select doc_id, generate_subscripts(ws, 1) as p, unnest(ws) as w, len(ws) as n from split),
+win as (
+  select *, case when p + 12 <= n then string_agg(w, ' ') over (
+           partition by doc_id order by p rows between current row and 12 following) end as t from w),
+low as (select t, min(doc_id) as m from win where t is not null group by t),
+hit as (select win.doc_id, win.p, win.w, coalesce(low.m < win.doc_id, false) as h from win left join low using (t)),
+gone as (
+  select *, max(h) over (partition by doc_id order by p rows between 12 preceding and current row) as g from hit)
+select d.doc_id, cast(count(g.p) as bigint) as n_words, cast(count(*) filter (where g.g) as bigint) as n_removed,
+       sha256(coalesce(string_agg(g.w, ' ' order by g.p) filter (where not g.g), '')) as kept_sha256
+from documents d left join gone g on g.doc_id = d.doc_id group by d.doc_id""")
+def substring_dedup(spark, sf):
+    found = windows.dedup_windows(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

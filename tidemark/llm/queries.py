@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language, lattice, packing, toxicity, windows
+from tidemark.llm import chat, jaccard, language, lattice, packing, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,26 @@ from documents d left join gone g on g.doc_id = d.doc_id group by d.doc_id""")
 def substring_dedup(spark, sf):
     found = windows.dedup_windows(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_ngram_jaccard_join", r"""
+with recursive split as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+grams as (
+  select distinct doc_id, g from (
+    select doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) as g
+    from split where len(ws) >= 5
+    union all select doc_id, array_to_string(ws, ' ') from split where len(ws) between 1 and 4)),
+size as (select doc_id, count(*) as n from grams group by doc_id),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by x, y),
+links as (
+  select x, y from common join size sx on sx.doc_id = x join size sy on sy.doc_id = y where 10 * c >= 8 * (sx.n + sy.n - c)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, l.y from reach r join links l on r.y = l.x),
+parts as (select x, min(y) as class_id from reach group by x),
+n as (select x, count(*) as n_links from links group by x)
+select p.x as doc_id, coalesce(n.n_links, 0) as n_links, p.class_id, p.x = p.class_id as kept
+from parts p left join n on n.x = p.x""")
+def ngram_jaccard_join(spark, sf):
+    found = jaccard.near_texts(table(spark, sf, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
+from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +54,14 @@ def held_out(key: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def per_process(name: str, make):
+    """What ``make()`` returned when this worker process first asked for ``name``; later tasks find it again."""
+    kept = sys.modules.setdefault("tidemark_llm_process", ModuleType("tidemark_llm_process")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def annotate(df: DataFrame, text: str, fields: str, make) -> DataFrame:
     """``df`` with new columns computed from the bytes of its ``text`` column.
 
@@ -74,3 +85,46 @@ def annotate(df: DataFrame, text: str, fields: str, make) -> DataFrame:
                     [batch.column(i) for i in keep] + new, names=[f.name for f in kept] + added.names)
 
     return df.mapInArrow(run, StructType([*kept, *added]))
+
+
+#: Counters are summed in this many slices, so no task adds up all of them.
+SLICES = 64
+
+
+def hashed_counts(df: DataFrame, column: str, size: int, count) -> np.ndarray:
+    """Counts in ``size`` hashed places over all rows, on the driver: 8 ``size`` bytes whatever the input.
+
+    ``count(values)`` yields arrays of the places met in an Arrow column. Tasks add up their own and send what is not
+    zero; slices are then summed as they stream by.
+    """
+    width = size // SLICES
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in count(batch.column(0)):
+                total += np.bincount(at, minlength=size)
+        for i in range(SLICES):
+            mine = total[i * width : (i + 1) * width]
+            at = np.flatnonzero(mine)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([mine[at].tobytes()], pa.binary())], names=["slice", "at", "n"])
+
+    def add(batches):
+        now, total = None, np.zeros(width, np.int64)
+        for batch in batches:
+            for i, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and i != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n"])
+                    total[:] = 0
+                now = i
+                total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n"])
+
+    parts = df.select(column).mapInArrow(run, "slice int, at binary, n binary")
+    summed = parts.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, n binary").toArrow()
+    out = np.zeros(size, np.int64)
+    for i, n in zip(summed["slice"].to_pylist(), summed["n"].to_pylist(), strict=True):
+        out[i * width : (i + 1) * width] = np.frombuffer(n, np.int64)
+    return out

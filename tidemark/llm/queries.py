@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, language, lattice, packing, toxicity, windows
+from tidemark.llm import chat, jaccard, language, lattice, lines, packing, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,34 @@ from parts p left join n on n.x = p.x""")
 def ngram_jaccard_join(spark, sf):
     found = jaccard.near_texts(table(spark, sf, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query("op4_line_dedup", r"""
+with lines as (
+  select doc_id, generate_subscripts(ls, 1) - 1 as line, unnest(ls) as t
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents)),
+sets as (
+  select doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) as s from lines),
+classes as (
+  select s, len(s) as n, row_number() over (order by min(struct_pack(d := doc_id, l := line))) as k
+  from sets where len(s) > 0 group by s),
+w as (select k, n, unnest(s) as w from classes),
+df as (select w, count(*) as f from w group by w),
+ranked as (select k, n, w, row_number() over (partition by k order by f, w) as p from w join df using (w)),
+prefix as (select k, n, w from ranked where p <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs as (
+  select distinct a.k as x, b.k as y from prefix a join prefix b on a.w = b.w and a.k < b.k and 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+late as (
+  select distinct y from pairs join classes a on a.k = x join classes b on b.k = y
+  where 18 * len(list_intersect(a.s, b.s)) >= 8 * (a.n + b.n)),
+firsts as (select s, min(struct_pack(d := doc_id, l := line)) as f from sets where len(s) > 0 group by s),
+verdict as (
+  select sets.doc_id, sets.line,
+         len(sets.s) > 0 and (late.y is not null or struct_pack(d := sets.doc_id, l := sets.line) > firsts.f) as gone
+  from sets left join classes using (s) left join late on late.y = classes.k left join firsts using (s))
+select doc_id, count(*) as n_lines, cast(count(*) filter (where gone) as bigint) as n_removed,
+       coalesce(string_agg(cast(line as varchar), ',' order by line) filter (where gone), '') as removed
+from verdict group by doc_id""")
+def line_dedup(spark, sf):
+    found = lines.removed_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))

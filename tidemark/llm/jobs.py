@@ -62,15 +62,15 @@ def per_process(name: str, make):
     return kept[name]
 
 
-def annotate(df: DataFrame, text: str, fields: str, make) -> DataFrame:
-    """``df`` with new columns computed from the bytes of its ``text`` column.
+def annotate(df: DataFrame, text: str, fields: str, make, carry: bool = True) -> DataFrame:
+    """``df`` with new columns computed from the bytes of its ``text`` column, which itself stays if ``carry``.
 
     ``make()`` runs once per task and returns a function from (bytes, row offsets) to one Arrow array per
     field. A column of ``df`` that has the name of a field is replaced. A null text counts as empty.
     """
     added = StructType.fromDDL(fields)
     names = {f.name.lower() for f in added}
-    kept = [f for f in df.schema if f.name.lower() not in names]
+    kept = [f for f in df.schema if f.name.lower() not in names and (carry or f.name != text)]
     at = df.columns.index(text)
     keep = [df.columns.index(f.name) for f in kept]
 

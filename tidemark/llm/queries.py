@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, language, lattice, lines, packing, toxicity, windows
+from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, packing, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,11 @@ from verdict group by doc_id""")
 def line_dedup(spark, sf):
     found = lines.removed_lines(table(spark, sf, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
+@query("op6_benchmark_decontamination")
+def benchmark_decontamination(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = contamination.find_items(docs, table(spark, sf, "benchmark"), carry=False)
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", "m.item_id", "m.cosine", "m.covered", "m.answered", "m.first_word", "m.end_word")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing
+from tidemark.llm import contamination, jaccard, language, lines, packing
 from tidemark.session import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,6 +18,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(~language.rejected()).select(*COLUMNS)
 
 
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line matches; a document without lines left is empty, but stays."""
+    return lines.dedup_lines(docs.select(*COLUMNS))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 on word 5-grams join, the one with the smallest id; of equal rows, one."""
+    docs = docs.select(*COLUMNS)
+    later = jaccard.near_texts(docs).where("doc_id > class_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination.find_items(docs.select(*COLUMNS), benchmark).where(F.size("matches") == 0).select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of a document lies in the training sequences."""
     pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), carry_ids=False)
@@ -26,6 +44,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", known_language),
+    ("lines", distinct_lines),
+    ("near", one_of_each_group),
+    ("benchmark", without_benchmark),
     ("pack", packed),
 ]
 

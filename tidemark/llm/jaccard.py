@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.jobs import components
+from tidemark.llm.jobs import components, stored
 from tidemark.llm.lattice import roots
 from tidemark.session import settle
 
@@ -186,7 +186,7 @@ def near_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
                     pa.ListArray.from_arrays(pa.array(cells_at), pa.array(cell.ravel())),
                 ], names=["doc_id", "one", "two", "size", "cells"])
 
-    signed = settle(plain.mapInArrow(sign, "doc_id long, one long, two long, size long, cells array<long>"))
+    signed = stored(plain.mapInArrow(sign, "doc_id long, one long, two long, size long, cells array<long>"))
     same = ["one", "two", "size"]
     sound = signed.where("size > 0 and doc_id is not null")
     classes = settle(sound.groupBy(*same).agg(F.min(F.struct("doc_id", "cells")).alias("first"), F.count("*").alias("copies"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import words
-from tidemark.session import settle
+from tidemark.session import new_folder, settle
 
 
 def blocks(df: DataFrame, key: str, text: str, size: int = 8 << 20) -> tuple[DataFrame, int]:
@@ -26,6 +26,13 @@ def blocks(df: DataFrame, key: str, text: str, size: int = 8 << 20) -> tuple[Dat
     return df.withColumn("block", F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")), n
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: columns are compressed, and unread ones skipped."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b long); root is the smallest node reachable.
 

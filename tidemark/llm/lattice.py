@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.jobs import components
+from tidemark.llm.jobs import components, stored
 from tidemark.session import settle
 
 LEAST = 0.98
@@ -177,7 +177,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0),
         F.lit(False))
     marked = plain.withColumn("_sound", sound)
-    classes = settle(
+    classes = stored(
         marked.where("_sound").groupBy(F.col(label).alias("label"), e.alias("embedding"))
         .agg(F.min(key).cast("long").alias("class"), F.count("*").alias("copies")))
 
@@ -203,7 +203,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     kind = next(f.dataType.simpleString() for f in classes.schema if f.name == "label")
     entries = classes.select("class", "label", "embedding").mapInArrow(enter, f"class long, label {kind}, size int, table int, cell long, home boolean")
     at = ["label", "size", "table", "cell"]
-    entries = settle(entries)
+    entries = stored(entries)
     # Only cells with somebody at home and somebody else matter
     crowded = entries.groupBy(*at).agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("n > 1 and lived").drop("lived")
     tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.jaccard import overlaps
-from tidemark.llm.jobs import components, hashed_counts
+from tidemark.llm.jobs import components, hashed_counts, stored
 from tidemark.llm.lattice import roots
 from tidemark.session import settle
 
@@ -223,7 +223,7 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
                 ], names=["row", "doc_id", "mark", "line", "one", "two", "size", "seen", "entries"])
                 row += hi - lo
 
-    every = settle(plain.withColumn("mark", F.xxhash64("text")).mapInArrow(
+    every = stored(plain.withColumn("mark", F.xxhash64("text")).mapInArrow(
         split, "row long, doc_id long, mark long, line long, one long, two long, size int, seen long, entries array<struct<word:long,place:int>>"))
     listed = every.where(F.size("entries") > 0)
     length = spark.sparkContext.broadcast(hashed_counts(listed, "entries", RARITY, _first_places))
@@ -275,7 +275,7 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 
     same = ["one", "two", "size"]
     firsts = every.where("size > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    firsts = settle(firsts.select(*same, F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")))
+    firsts = stored(firsts.select(*same, F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line")))
     counted = groups.groupBy("root").agg(F.count("*").alias("members"))
     tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
     dealt = groups.join(counted, "root").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, packing, toxicity, windows
+from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,9 @@ def benchmark_decontamination(spark, sf):
     found = contamination.find_items(docs, table(spark, sf, "benchmark"), carry=False)
     return found.select("doc_id", F.explode("matches").alias("m")).select(
         "doc_id", "m.item_id", "m.cosine", "m.covered", "m.answered", "m.first_word", "m.end_word")
+
+
+@query("op1_context_mixing")
+def context_mixing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", held_out("doc_id", 5, 1).alias("held_out"))
+    return mixing.score(docs, mixing.train(docs.where(~F.col("held_out"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,64 +13,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.session import settle
+from tidemark.llm.jobs import per_process, stored
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts again when that many are reached.
 CACHE = 600_000
 #: Documents packed by one task.
 GROUP = 40_000
+#: Bytes of texts that are tokenised at once.
+PIECE = 1 << 21
 #: Bytes of one text that are tokenised at once; a longer text is cut at white space.
 STRETCH = 4 << 20
 
 
+#: Bytes after which a word may be cut if a letter stands before: no tokenizer here joins a letter and these.
+_MARK = np.zeros(256, bool)
+_MARK[[33, 44, 46, 58, 59, 63]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: Second bytes of the letters U+00C0 to U+00FF.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+
+
 class WordTokenizer:
     """Token ids of whole texts, word by word.
 
-    For tokenizers that drop white space and never join words across it, so that a text's ids are those of
-    its words; the ids of a word come from the tokenizer itself and are remembered.
+    For tokenizers that drop white space, never join words across it, and part letters from the marks behind
+    them: a text's ids are then those of its words, without the marks, and of the marks. The ids of a word come
+    from the tokenizer itself and are remembered. Words of one piece of text are told apart by 64-bit hashes,
+    those of different pieces by their bytes.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A special token between words keeps their ids apart, at a third of the time that single words take
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.between, self.fence = special[-1] if special else (None, "")
         self.cache = cache
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
         self.table, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def ids_of(self, new: list[bytes]) -> list[np.ndarray]:
+        if self.between is None or any(b"<|" in x for x in new):
+            return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(new), 2000):
+            text = self.fence.join(w.decode() for w in new[lo : lo + 2000])
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(ids == self.between)
+            out += [x[1:] if i else x for i, x in enumerate(np.split(ids, at))]
+        return out
+
     def learn(self, new: list[bytes]) -> None:
-        got = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        got = self.ids_of(new)
         self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         size = np.array([len(x) for x in got], np.int64)
         start = len(self.table) + np.cumsum(size) - size
         self.table = np.concatenate([self.table, *got])
         self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
 
-    def encode(self, text_words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the offsets of the texts in them."""
-        flat = list(chain.from_iterable(text_words))
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        raw = buf.tobytes()
+        if b"<|" not in raw:  # capitals only make more different words, but can keep a text from naming a special token
+            buf = words.LOWER[buf]
+            raw = buf.tobytes()
+        letter = np.zeros(len(buf), bool)
+        letter[1:] = _LETTER[buf[:-1]]
+        letter[2:] |= _SECOND[buf[1:-1]] & (buf[:-2] == 0xC3)
+        start, end, first = words.spans(~words.SPACE[buf], offsets, np.flatnonzero(_MARK[buf] & letter))
+        name = words.span_hashes(words.prefix(buf), start, end)
+        _, one, which = np.unique(name, return_index=True, return_inverse=True)
+        different = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        at = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
         if (at < 0).any():
-            new = list({flat[i] for i in np.flatnonzero(at < 0)})
-            if len(self.known) and len(self.known) + len(new) > self.cache:
+            if self.known and len(self.known) + int((at < 0).sum()) > self.cache:
                 self.clear()
-                return self.encode(text_words)
-            self.learn(new)
-            at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+                at[:] = -1
+            self.learn([different[i] for i in np.flatnonzero(at < 0)])
+            at = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        at = at[which]
         ids, id_at = words.gather(self.table, self.start[at], self.size[at])
-        text_at = np.zeros(len(text_words) + 1, np.int64)
-        np.cumsum([len(x) for x in text_words], out=text_at[1:])
-        return ids, id_at[text_at]
-
-
-def split_words(text: bytes, special: bool) -> list[bytes]:
-    # Capital letters only make more different words, unless they keep a text from naming a special token
-    return text.split() if special else text.lower().split()
+        return ids, id_at[first]
 
 
 def stretches(text: bytes):
@@ -94,13 +125,13 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     fields = f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * carry_ids
 
     def run(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = per_process(f"words {path}", lambda: WordTokenizer(path))
         row = TaskContext.get().partitionId() << 33
         last = np.array([ends], np.int32)
         for batch in batches:
             ids_of, column = batch.column(0), batch.column(1)
             buf, offsets = words.texts(column)
-            for lo, hi, b, o in words.pieces(buf, offsets):
+            for lo, hi, b, o in words.pieces(buf, offsets, PIECE):
                 out: list[tuple] = []
 
                 def cut(which: int, number: int, piece: int, start: int, ids: np.ndarray, whole: bool):
@@ -112,16 +143,14 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                         piece, at = piece + 1, at + len(data) // 4
                     return piece, start + at, ids[at:]
 
-                raw = b.tobytes()
-                special = b"<|" in raw
-                if hi - lo == 1 and len(raw) > STRETCH:
+                if hi - lo == 1 and len(b) > STRETCH:
                     piece, start, rest = 0, 0, np.zeros(0, np.int32)
-                    for part in stretches(raw):
-                        ids, _ = tokenizer.encode([split_words(part, special)])
+                    for part in stretches(b.tobytes()):
+                        ids, _ = tokenizer.encode(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
                         piece, start, rest = cut(lo, row, piece, start, np.concatenate([rest, ids]), False)
                     cut(lo, row, piece, start, np.concatenate([rest, last]), True)
                 else:
-                    ids, at = tokenizer.encode([split_words(raw[o[i] : o[i + 1]], special) for i in range(hi - lo)])
+                    ids, at = tokenizer.encode(b, o)
                     for i in range(hi - lo):
                         cut(lo + i, row + i, 0, 0, np.concatenate([ids[at[i] : at[i + 1]], last]), True)
                 row += hi - lo
@@ -174,7 +203,7 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY) -> DataFra
     task. Sequence numbers only tell sequences apart.
     """
     groups = max(1, math.ceil(documents / GROUP))
-    pieces = settle(pieces)  # read twice, and row numbers must not change
+    pieces = stored(pieces)  # read twice, and row numbers must not change
     names = pieces.columns
     full, short = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
     alone = full.select("*", (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -71,13 +71,15 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, most: int = PIECE):
         lo = hi
 
 
-def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of ``inside`` (bool per byte) and the first run of every row; no run crosses a row."""
+def spans(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside`` (bool per byte) and the first run of every row; no run crosses a row or one of ``cuts``."""
     n = len(inside)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]

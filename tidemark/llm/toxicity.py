@@ -24,8 +24,8 @@ SAMPLE = 6000
 #: Longer documents are left out of the fit (never out of scoring): bytes.
 LONGEST = 32_000
 #: Features of fewer sampled documents get no weight.
-FEW = 8
-EPOCHS, BATCH, STEP, DECAY = 14, 128, 0.3, 2e-5
+FEW = 5
+EPOCHS, BATCH, STEP, DECAY = 14, 128, 1.0, 2e-5
 
 #: Bytes inside a word: letters, digits and all bytes of other scripts.
 _INNER = np.zeros(256, bool)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def fit(label: np.ndarray, found: np.ndarray, found_at: np.ndarray, sizes: np.ndarray, sizes_at: np.ndarray) -> Model:
     """Adaptive gradient steps on the noisy-or likelihood of the bags, each class with half the weight."""
-    weights, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-3)
+    weights, squares = np.zeros(FEATURES), np.full(FEATURES, 0.3)
     bias, bias_square = -4.0, 1e-3
     share = label.mean()
     if share in (0.0, 1.0):

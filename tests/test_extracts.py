@@ -124,15 +124,27 @@ def test_carry_forward_and_retention(spark):
     assert S.prune_snapshots(spark, name, 3) == []
 
 
-def test_an_extract_broken_half_way_is_replaced_by_the_last_one(spark, tmp_path):
+def test_an_extract_broken_half_way_fails_and_a_missing_one_is_carried(spark, tmp_path):
     name = K.work_table(spark, "stage")
     S.create_stage(spark, name, CODES)
     good = write(tmp_path, BODY)
     S.land_snapshot(spark, name, X.read_extract(spark, good, CODES), 20200101000000)
     broken = tmp_path / "broken.csv"
     broken.write_text(BODY.rstrip("\n") + "\n\"03\";x\n")
-    assert S.load_or_carry(spark, name, 20200102000000, lambda: X.read_extract(spark, str(broken), CODES)) == "carried"
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.load_or_carry(spark, name, 20200102000000, lambda: X.read_extract(spark, str(broken), CODES))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.land_snapshot(spark, name, X.read_extract(spark, str(broken), CODES), 20200101000000)
+    assert S.scan_snapshot(spark, name, 20200101000000).count() == 3
+    gone = str(tmp_path / "gone.csv")
+    assert S.load_or_carry(spark, name, 20200102000000, lambda: X.read_extract(spark, gone, CODES)) == "carried"
     assert S.scan_snapshot(spark, name, 20200102000000).count() == 3
+    # A snapshot may be rewritten from itself, and become empty
+    S.land_snapshot(spark, name, S.scan_snapshot(spark, name, 20200102000000).limit(2), 20200102000000)
+    assert S.scan_snapshot(spark, name, 20200102000000).count() == 2
+    S.land_snapshot(spark, name, S.scan_snapshot(spark, name, 20200102000000).limit(0), 20200102000000)
+    assert S.scan_snapshot(spark, name, 20200102000000).count() == 0
+    assert S.list_snapshots(spark, name).count() == 2
 
 
 def test_refresh_retries_carries_and_prunes(spark):
@@ -198,7 +210,15 @@ def test_stream_history_skips_applied_loads(spark):
     G.stream_scd2(spark, root, new_folder(spark, "p"), name, schema, ["id"]).awaitTermination()
     want = rows(spark.table(name).select("id", "v", F.year("end_ts").alias("y")))
     assert want == [(1, "a", 2020), (1, "b", 9999), (2, "a", 9999)]
-    put_(20191231000000, [(9, "late")])
+    history = lambda: rows(spark.table(name).select("id", "v", F.year("end_ts").alias("y")))
+    G.stream_scd2(spark, root, new_folder(spark, "p"), name, schema, ["id"]).awaitTermination()
+    assert history() == want  # both loads seen again
+    spark.createDataFrame([(3, "late")], schema).coalesce(1).write.mode("append").option("sep", ";").option("header", True).csv(
+        G.load_folder(root, 20200102000000))
     G.stream_scd2(spark, root, new_folder(spark, "p"), name, schema, ["id"]).awaitTermination()
-    assert rows(spark.table(name).select("id", "v", F.year("end_ts").alias("y"))) == want
+    assert history() == [*want, (3, "late", 9999)]  # another piece of the last load
+    put_(20191231000000, [(9, "late")])
+    with pytest.raises(Exception, match="came after"):
+        G.stream_scd2(spark, root, new_folder(spark, "p"), name, schema, ["id"]).awaitTermination()
+    assert history() == [*want, (3, "late", 9999)]
     assert G.last_load(spark, name) == 20200102000000

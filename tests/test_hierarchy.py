@@ -73,7 +73,7 @@ def test_orphans_are_left_out_and_cycles_raise(spark):
     assert rows(T.tree_paths(df, "id", "up", "position"), "id") == [(1,), (2,)]
     loop = spark.createDataFrame([(1, None, 0), (2, 3, 0), (3, 2, 0)], "id int, up int, position int")
     with pytest.raises(ValueError, match="cycle"):
-        T.root_paths(loop, "id", "up", F.col("position"), max_depth=64)
+        T.root_paths(loop, "id", "up", F.col("position"))
 
 
 @pytest.mark.parametrize("n, seed, hot", TREES)

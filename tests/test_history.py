@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import rows
 from tidemark.operators import predicates as P
@@ -168,3 +169,63 @@ def test_lists(spark):
     assert rows(R.split_ordered(df, ["k"], "t", " ", "w")) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (4, 1, "z")]
     with pytest.raises(ValueError):
         R.chunk_list(["CRM", "SCD2"], ["Source", "Method", "IdList"])
+
+
+def stored_history(spark):
+    name = K.work_table(spark, "history")
+    K.create_history(spark, name, T._parse_datatype_string("id int, v string, start_ts timestamp_ntz, end_ts timestamp_ntz"))
+    image = lambda *r: spark.createDataFrame(list(r), "id int, v string")
+    seen = lambda: rows(spark.table(name).select("id", "v", F.year("start_ts").alias("a"), F.year("end_ts").alias("b")))
+    return name, image, seen
+
+
+def test_a_load_may_run_again(spark):
+    name, image, seen = stored_history(spark)
+    K.apply_to_history(spark, name, image((1, "a"), (2, "a")), ["id"], "2020-01-01 00:00:00")
+    K.apply_to_history(spark, name, image((1, "b"), (2, "a")), ["id"], "2021-01-01 00:00:00")
+    want = [(1, "a", 2020, 2021), (1, "b", 2021, 9999), (2, "a", 2020, 9999)]
+    assert seen() == want
+    K.apply_to_history(spark, name, image((1, "b"), (2, "a")), ["id"], "2021-01-01 00:00:00")
+    assert seen() == want
+    K.apply_to_history(spark, name, image((1, "b"), (2, "c")), ["id"], "2021-01-01 00:00:00")
+    assert seen() == [(1, "a", 2020, 2021), (1, "b", 2021, 9999), (2, "a", 2020, 2021), (2, "c", 2021, 9999)]
+    K.apply_to_history(spark, name, image((1, "a"), (2, "a")), ["id"], "2021-01-01 00:00:00")
+    assert seen() == [(1, "a", 2020, 9999), (2, "a", 2020, 9999)]
+    K.apply_to_history(spark, name, image((1, "b")), ["id"], "2022-01-01 00:00:00")
+    before = seen()
+    with pytest.raises(ValueError, match="older"):
+        K.apply_to_history(spark, name, image((1, "x")), ["id"], "2021-06-01 00:00:00")
+    assert seen() == before
+
+
+def test_a_late_snapshot_fails(spark):
+    target = spark.createDataFrame([(1, "a", "2020-01-01", "9999-12-31 23:59:59")], "id int, v string, start_ts string, end_ts string")
+    target = target.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
+    with pytest.raises(Exception, match="versions start after"):
+        H.scd2_apply(target, spark.createDataFrame([(1, "b")], "id int, v string"), ["id"], "2019-01-01 00:00:00").collect()
+
+
+def test_unnamed_sources_stay(spark):
+    span = "start_ts timestamp_ntz, end_ts timestamp_ntz"
+    target = spark.createDataFrame([(1, "a", "x", None, None), (2, "b", "y", None, None), (3, "c", None, None, None)], f"id int, v string, source string, {span}")
+    assert H.load_by_method(target, {}, [], "2020-01-01 00:00:00").count() == 3
+    with pytest.raises(ValueError, match="twice"):
+        H.load_by_method(target, {}, [{"Source": "x"}, {"Source": "x"}], "2020-01-01 00:00:00")
+    plain = target.drop("start_ts", "end_ts")
+    out = H.load_by_method(plain, {"x": spark.createDataFrame([(1, "z")], "id int, v string")}, [{"Source": "x", "Method": "SCD1", "IdList": "id"}], "2020-01-01 00:00:00")
+    assert rows(out, "id", "v") == [(1, "z"), (2, "b"), (3, "c")]
+
+
+def test_bad_feeds_fail(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, v string")
+    feed = lambda *r: spark.createDataFrame(list(r), "id int, v string, op string, seq int")
+    for bad in ((1, "b", "UPDATE", None), (1, "b", "delete", 1), (1, "b", None, 1)):
+        with pytest.raises(Exception, match="NULL in seq|unknown operation"):
+            H.load_delta(target, feed(bad), ["id"], "op", "seq").collect()
+    with pytest.raises(Exception, match="NULL in seq"):
+        H.load_increment(target.withColumn("seq", F.lit(1)), feed((2, "b", "x", None)), ["id"], "seq").collect()
+    history = target.withColumns({"start_ts": F.lit("2020-01-01").cast("timestamp_ntz"), "end_ts": F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")})
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (5, "x"), (5, "y")], "id int, v string")
+    for diff in (H.diff_inserts, H.diff_updates):
+        with pytest.raises(Exception, match="more than once"):
+            diff(history, twice, ["id"], "2021-01-01 00:00:00").collect()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import GROUP_ROWS, as_order, fits_one_task, slice_by_range
+from tidemark.operators.ordered import GROUP_ROWS, By, fits_one_task, slice_by_range
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -49,13 +49,13 @@ def ordered_string_agg(
     sep: str = ",",
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Values of a group joined in order.
+    """Values of a group joined in order, NULL order keys first.
 
     Large groups are joined slice by slice first, so that only one piece per slice,
     not every row, meets in the final step.
     """
     if fits_one_task(df, keys, group_rows):
         return df.groupBy(*keys).agg(_joined(order, value, sep).alias(name))
-    sliced = slice_by_range(df, keys, as_order(order))
+    sliced = slice_by_range(df, keys, [By(o, nulls_first=True) for o in order])
     pieces = sliced.groupBy("__slice", *keys).agg(_joined(order, value, sep).alias("__piece"))
     return pieces.groupBy(*keys).agg(_joined(["__slice"], "__piece", sep).alias(name))

@@ -24,18 +24,21 @@ FIELDS = [
     ("months", 1, 12),
     ("wdays", 1, 7),
 ]
-HORIZON = 1466  # dates looked at before a lookup gives up
-NEAR = 40  # dates looked at first
+HORIZON = 1466  # dates of a candidate list: four years and some days
+STEPS = (40, 1466, 146_097)  # dates a lookup looks at, one after the other; the calendar repeats after 400 years
 
 
 def _field_set(text: Column, low: int, high: int) -> Column:
-    """``1-3,9`` or ``*`` as a sorted set of numbers."""
+    """``1-3,9`` or ``*`` as a sorted set of numbers; a backward range is empty, and any other text fails the job."""
 
     def item(part: Column) -> Column:
         ends = F.split(part, "-")
         first, last = F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.size(ends) - 1).try_cast("int")
         numbers = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.when(part == "*", F.sequence(F.lit(low), F.lit(high))).otherwise(numbers)
+        fits = first.between(low, high) & last.between(low, high) & (F.size(ends) <= 2)
+        wrong = F.raise_error(F.concat(F.lit(f"not in {low}-{high}: "), part)).cast("array<int>")
+        checked = F.when(F.coalesce(fits, F.lit(False)), numbers).otherwise(wrong)
+        return F.when(part == "*", F.sequence(F.lit(low), F.lit(high))).otherwise(checked)
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, ","), item))))
 
@@ -44,12 +47,14 @@ def expand_cron(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per alternative with a set per field.
 
     Fields are separated by ``&`` or blanks and alternatives by ``|``.  A five-field
-    alternative is classic cron, which has no reverse day: any will do.
+    alternative is classic cron, which has no reverse day: any will do. Any other number of
+    fields fails the job.
     """
     one = df.select(*keys, F.posexplode(F.split(text, r"\|")).alias("position", "__alt"))
     tidy = F.regexp_replace(F.regexp_replace(F.trim("__alt"), r"\s*([,-])\s*", "$1"), r"\s*&\s*|\s+", " ")
     parts = F.split(tidy, " ")
-    parts = F.when(F.size(parts) == 5, F.flatten(F.array(F.slice(parts, 1, 3), F.array(F.lit("*")), F.slice(parts, 4, 2)))).otherwise(parts)
+    parts = F.when(F.size(parts) == 5, F.flatten(F.array(F.slice(parts, 1, 3), F.array(F.lit("*")), F.slice(parts, 4, 2))))\
+        .when(F.size(parts) == 6, parts).otherwise(F.raise_error(F.concat(F.lit("fields not in 5 or 6: "), F.col("__alt"))).cast("array<string>"))
     split = one.select(*keys, "position", parts.alias("__parts"))
     sets = [_field_set(F.get("__parts", F.lit(i)), lo, hi).alias(name) for i, (name, lo, hi) in enumerate(FIELDS)]
     return split.select(*keys, "position", *sets)
@@ -105,6 +110,8 @@ def _fits(alt: Column, d: Column) -> Column:
         & F.array_contains(alt["rdays"], reverse_day(d))
         & F.array_contains(alt["months"], F.month(d))
         & F.array_contains(alt["wdays"], iso_weekday(d))
+        & (F.size(alt["hours"]) > 0)
+        & (F.size(alt["minutes"]) > 0)
     )
 
 
@@ -145,12 +152,13 @@ def nearest_run(
     name: str,
     direction: int,
     same_allowed: bool = False,
-    horizon: int = HORIZON,
+    horizon: int = STEPS[-1],
 ) -> DataFrame:
     """Nearest scheduled timestamp after (+1) or before (-1) each row's ``ts``.
 
     Rows carry their schedule in ``alts``.  The first two scheduled dates suffice:
-    the slots of the first may all lie on the wrong side.  Meant for a row per
+    the slots of the first may all lie on the wrong side.  At most ``horizon`` dates are
+    looked at; by default all of a whole cycle, so NULL means never.  Meant for a row per
     lookup; use ``align_to_schedule`` for fact tables.
     """
     d, at = F.to_date(ts), F.col(ts).cast("timestamp_ntz")
@@ -159,9 +167,11 @@ def nearest_run(
         seq = F.sequence(d, F.date_add(d, direction * (dates - 1)))
         return F.slice(F.filter(seq, lambda x: _on_schedule(F.col("alts"), x)), 1, 2)
 
-    # Most schedules fire within weeks; only the others pay for the whole horizon.
-    df = df.withColumn("__near", scheduled(min(NEAR, horizon)))
-    two = F.when(F.size("__near") == 2, F.col("__near")).otherwise(scheduled(horizon))
+    # Most schedules fire within weeks; only the others pay for more.
+    two = F.array().cast("array<date>")
+    for n in [s for s in STEPS if s < horizon] + [horizon]:
+        df = df.withColumn("__near", F.when(F.size(two) == 2, two).otherwise(scheduled(n)))
+        two = F.col("__near")
     slots = F.flatten(
         F.transform(two, lambda x: F.transform(_minutes_of_day(F.col("alts"), x), lambda m: _at(x, m)))
     )
@@ -172,15 +182,15 @@ def nearest_run(
     return df.withColumn(name, F.array_max(right_side)).drop("__near")
 
 
-def next_run(df: DataFrame, ts: str, name: str = "next_run", same_allowed: bool = False) -> DataFrame:
-    return nearest_run(df, ts, name, +1, same_allowed)
+def next_run(df: DataFrame, ts: str, name: str = "next_run", same_allowed: bool = False, horizon: int = STEPS[-1]) -> DataFrame:
+    return nearest_run(df, ts, name, +1, same_allowed, horizon)
 
 
-def prev_run(df: DataFrame, ts: str, name: str = "prev_run", same_allowed: bool = False) -> DataFrame:
-    return nearest_run(df, ts, name, -1, same_allowed)
+def prev_run(df: DataFrame, ts: str, name: str = "prev_run", same_allowed: bool = False, horizon: int = STEPS[-1]) -> DataFrame:
+    return nearest_run(df, ts, name, -1, same_allowed, horizon)
 
 
-def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int = HORIZON) -> DataFrame:
+def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int = STEPS[-1]) -> DataFrame:
     """Per schedule and date: the day's slots, and the nearest slots of other days.
 
     The window runs over the dates of one schedule, whose number is set by the
@@ -209,7 +219,7 @@ def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int
     )
 
 
-def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, horizon: int = HORIZON) -> DataFrame:
+def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, horizon: int = STEPS[-1]) -> DataFrame:
     """Previous (at or before) and next (after) slot for every row of a fact table.
 
     One equi join on (schedule, date).  ``schedules`` has ``key``, ``alts`` and the

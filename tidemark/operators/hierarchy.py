@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,25 +24,21 @@ from tidemark.session import new_folder, settle, settle_any, slices
 # Node kinds.
 SEQUENCE, PARALLEL, ATOM = 0, 1, 2
 
-MAX_DEPTH = 10_000
-
-
 def root_paths(
-    nodes: DataFrame, key: str | Column, parent: str | Column, step: Column, name: str = "steps", max_depth: int = MAX_DEPTH
+    nodes: DataFrame, key: str | Column, parent: str | Column, step: Column, name: str = "steps"
 ) -> DataFrame:
     """(key, array of ``step`` from the root down to the node).
 
-    Nodes that no root reaches are left out.  A cycle never ends and raises.
+    Nodes whose chain of parents breaks off are left out.  A round finishes or drops at least
+    one node of every forest, however deep; one that does neither has only cycles left, and raises.
     """
     k = F.col(key) if isinstance(key, str) else key
     p = F.col(parent) if isinstance(parent, str) else parent
     unfinished = F.col("__up").isNotNull()
     state, more = settle_any(nodes.select(k.alias("__k"), p.alias("__up"), F.array(step).alias(name)), unfinished)
     known = [state.where(~unfinished)]  # paths that begin at a root; written once, read from then on
-    climbed = 1
     while more:
-        if climbed > max_depth:
-            raise ValueError(f"a path is longer than {max_depth} steps: the parents form a cycle or max_depth is too small")
+        before = more
         low = state.where(unfinished)
         high = reduce(DataFrame.unionByName, known, low).alias("high")
         low = low.alias("low")
@@ -51,8 +48,9 @@ def root_paths(
             F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
         )
         state, more = settle_any(longer, unfinished)
+        if more == before:
+            raise ValueError("the parents form a cycle")
         known.append(state.where(~unfinished))
-        climbed *= 2
     paths = reduce(DataFrame.unionByName, known)
     return paths.select(F.col("__k").alias(key if isinstance(key, str) else "key"), name)
 
@@ -173,17 +171,17 @@ def downstream_set(nodes: DataFrame, starts: DataFrame, key: str, parent: str, p
     return after.select(key).distinct()
 
 
-def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_rounds: int = MAX_DEPTH) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str) -> DataFrame:
     """Nodes reached from the starts along directed edges, with the number of steps.
 
-    Breadth first: each round joins only the nodes found by the one before.  The edges
-    are read in every round, so they are derived once.
+    Breadth first: each round joins only the nodes found by the one before, and ends when it
+    finds none, cycles or not.  The edges are read in every round, so they are derived once.
     """
     name = starts.columns[0]
     edges = settle(edges.select(src, dst).distinct())
     front = settle(starts.distinct().withColumn("distance", F.lit(0)))
     found = front
-    for distance in range(1, max_rounds + 1):
+    for distance in count(1):
         nxt = front.join(edges, F.col(name) == F.col(src)).select(F.col(dst).alias(name)).distinct()
         front, more = settle_any(nxt.join(found, name, "left_anti").withColumn("distance", F.lit(distance)), F.lit(True))
         if not more:
@@ -191,7 +189,6 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_round
         found = found.unionByName(front)
         if distance % 16 == 0:
             found = settle(found)  # keeps the plan short
-    raise ValueError(f"more than {max_rounds} rounds")
 
 
 def tree_two_level(

@@ -17,6 +17,9 @@ from tidemark.operators.predicates import all_of, require_keys
 from tidemark.operators.skew import lookup
 
 
+MOST_CODES = 100_000
+
+
 def _on(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     return all_of(left[a] == right[b] for a, b in pairs.items())
 
@@ -69,12 +72,17 @@ def full_outer_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], val
 def code_grid(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Every combination of the code values that occur in the columns.
 
-    The values are gathered into sorted arrays and exploded, so no join is made;
-    meant for code columns, whose number of values does not grow with the rows.
+    NULL is a code like any other.  The values are gathered into arrays and exploded, so no
+    join is made; meant for code columns, and refused for one with over ``MOST_CODES`` values.
     """
-    sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])
+    few = F.struct(*[F.count_distinct(F.struct(c)).alias(c) for c in columns]).alias("n")
+    counted = df.agg(few).first()["n"].asDict()
+    many = [c for c, n in counted.items() if n > MOST_CODES]
+    if many:
+        raise ValueError(f"not code columns, more than {MOST_CODES} values: {many}")
+    sets = df.agg(*[F.sort_array(F.collect_set(F.struct(c))).alias(c) for c in columns])
     for c in columns:
-        sets = sets.withColumn(c, F.explode(c))
+        sets = sets.withColumn(c, F.explode(c)).withColumn(c, F.col(c).getField(c))
     return sets
 
 
@@ -121,8 +129,11 @@ def as_of_latest(
     """Each row with the newest log entry of its key at or before its time.
 
     Both inputs have ``keys``, ``at`` and ``tie``; ``values`` maps new names to log
-    columns.  Rows and log are merged into one ordered pass per key.
+    columns.  Rows and log are merged into one ordered pass per key.  As in any
+    comparison, a NULL key or time matches nothing.
     """
+    known = all_of(F.col(c).isNotNull() for c in [*keys, at])
+    log = log.where(known)
     entry = F.struct(*[F.col(src).alias(new) for new, src in values.items()]).alias("__entry")
     row = F.struct(*rows.columns)
     row_type = rows.select(row.alias("s")).schema["s"].dataType
@@ -131,7 +142,7 @@ def as_of_latest(
     b = log.select(*keys, at, *tie, F.lit(0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), entry)
     merged = last_known(a.unionByName(b), keys, [at, "__side", *tie], "__entry", "__found", group_rows)
     found = merged.where(F.col("__side") == 1)
-    return found.select("__row.*", *[F.col(f"__found.{new}").alias(new) for new in values])
+    return found.select("__row.*", *[F.when(known, F.col(f"__found.{new}")).alias(new) for new in values])
 
 
 def eav_pivot(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:

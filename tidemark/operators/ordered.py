@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.skew import lookup, same_keys
 from tidemark.session import settle, slices
 
+#: Both ways give the same rows, types and order of NULLs; this only chooses the plan.
 GROUP_ROWS = 4_000_000
+SLICE_ROWS = 2_000_000
 
 _SLICE = "__slice"
 _CARRY = "__carry"
@@ -50,6 +52,11 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(top["n"] or 0)
 
 
+def slice_count(df: DataFrame) -> int:
+    """As many slices as keep each at ``SLICE_ROWS`` rows, and no fewer than the session shuffles into."""
+    return max(slices(df.sparkSession), -(-df.count() // SLICE_ROWS))
+
+
 def fits_one_task(df: DataFrame, keys: Sequence[str], group_rows: int) -> bool:
     return bool(keys) and largest_group(df, keys) <= group_rows
 
@@ -61,7 +68,7 @@ def slice_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[By]) -> D
     rows differently.
     """
     cut = df.repartitionByRange(
-        slices(df.sparkSession), *[F.col(k).asc_nulls_first() for k in keys], *[o.column() for o in order]
+        slice_count(df), *[F.col(k).asc_nulls_first() for k in keys], *[o.column() for o in order]
     )
     return settle(cut.withColumn(_SLICE, F.spark_partition_id()))
 
@@ -109,7 +116,8 @@ def running_sum(
     carry = _carry_in(sliced, keys, F.sum(value), F.sum)
     out = _with_carry(rows, carry, keys)
     total = F.when(F.col(_CARRY).isNull(), F.col(name)).otherwise(F.coalesce(F.col(name), F.lit(0)) + F.col(_CARRY))
-    return out.withColumn(name, total).drop(_SLICE, _CARRY)
+    # The type that one sum over the group has, not that of a sum of sums
+    return out.withColumn(name, total.cast(df.select(F.sum(value).alias("s")).schema["s"].dataType)).drop(_SLICE, _CARRY)
 
 
 def row_number(
@@ -183,13 +191,13 @@ def last_known(
     name: str,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Latest non-null ``value`` up to and including the current row, ascending order."""
+    """Latest non-null ``value`` up to and including the current row, ascending order, NULLs first."""
     keys, order = list(keys), list(order)
     frame = (Window.unboundedPreceding, Window.currentRow)
     if fits_one_task(df, keys, group_rows):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    sliced = slice_by_range(df, keys, as_order(order))
+    sliced = slice_by_range(df, keys, [By(o, nulls_first=True) for o in order])
     local = Window.partitionBy(_SLICE, *keys).orderBy(*order).rowsBetween(*frame)
     rows = sliced.withColumn(name, F.last(value, ignorenulls=True).over(local))
     newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))

@@ -75,7 +75,7 @@ def non_empty(column: str) -> Column:
 def similar_to(column: str | Column, pattern: str) -> Column:
     """Whole-string match of a regular expression."""
     c = F.col(column) if isinstance(column, str) else column
-    return c.rlike(f"^(?:{pattern})$")
+    return c.rlike(rf"\A(?:{pattern})\z")
 
 
 def contained_in(inner: str | Column, outer: str | Column) -> Column:

@@ -175,8 +175,8 @@ def admit_by_capacity(
         free = free.join(taken, F.col("__r") == F.col("__u"), "left").select(
             "__r", (F.col("__free") - F.coalesce("__taken", F.lit(0))).alias("__free")
         )
-    known = lookup(waiting, free, {resource: "__r"}, ["__free"], "inner")
-    loaded = known.withColumn("__load", F.coalesce(F.col(load), F.lit(1)).cast("bigint"))
+    known = lookup(waiting, free, {resource: "__r"}, ["__free"])
+    loaded = known.withColumn("__load", F.coalesce(F.col(load), F.lit(1)))
     order = [By(importance, desc=True), By(load, nulls_first=True), By(run)]
     summed = running_sum(loaded, [resource], order, "__load", "load_sum", group_rows)
     fits = F.col("__free").isNull() | (F.col("load_sum") <= F.col("__free"))
@@ -188,19 +188,22 @@ def overdue(current: DataFrame, limits: DataFrame, status: str, since: str, as_o
     bound = limits.select(F.col("status").alias("__s"), F.col("minutes").alias("limit_minutes"))
     joined = current.join(bound, F.col(status) == F.col("__s")).drop("__s")
     lasted = F.timestamp_diff("SECOND", F.col(since), as_of)
-    return joined.withColumn("seconds", lasted).where(F.col("seconds") > F.col("limit_minutes") * 60)
+    over = F.timestamp_diff("MICROSECOND", F.col(since), as_of) > F.col("limit_minutes") * 60_000_000
+    return joined.withColumn("seconds", lasted).where(over)
 
 
 def illegal_transitions(
     log: DataFrame, run: Sequence[str], order: Sequence[str], status: str, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Log entries that do not follow from the entry before them."""
-    stepped = shift(log, run, order, {"previous": status}, 1, group_rows)
+    """Log entries that do not follow from the entry before them; a NULL status never does, and nothing follows from it."""
+    entry = F.struct(F.col(status).alias("s"))
+    stepped = shift(log.withColumn("__entry", entry), run, order, {"__before": "__entry"}, 1, group_rows)
+    first, previous = F.col("__before").isNull(), F.col("__before.s")
     ok = F.lit(False)
     for before, after in TRANSITIONS:
-        left = F.col("previous").isNull() if before is None else F.col("previous") == before
-        ok = ok | (F.coalesce(left, F.lit(False)) & (F.col(status) == after))
-    return stepped.where(~ok)
+        left = first if before is None else previous == before
+        ok = ok | (F.coalesce(left, F.lit(False)) & F.coalesce(F.col(status) == after, F.lit(False)))
+    return stepped.where(~ok).withColumn("previous", previous).drop("__entry", "__before")
 
 
 @dataclass(frozen=True)
@@ -241,10 +244,14 @@ def retry_state(
 def prefix_gate(
     runs: DataFrame, sequence: Sequence[str], slot: str, member: str, start: str, end: str, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Runs that started before the last member of their sequence had finished the slot before."""
-    last = runs.groupBy(*sequence, slot).agg(F.max_by(end, member).alias("__end"))
-    gates = shift(last, sequence, [slot], {"gate": "__end"}, 1, group_rows).drop("__end")
-    return runs.join(gates, [*sequence, slot]).where(F.col(start) < F.col("gate"))
+    """Runs that started before the last member of their sequence had finished the slot before.
+
+    A last member without an end has not finished: every run of the next slot is too early, and its ``gate`` is NULL.
+    """
+    last = runs.groupBy(*sequence, slot).agg(F.max_by(F.struct(F.col(end).alias("e")), member).alias("__end"))
+    gates = shift(last, sequence, [slot], {"__gate": "__end"}, 1, group_rows).drop("__end")
+    gated = runs.join(gates.where(F.col("__gate").isNotNull()), [*sequence, slot]).withColumn("gate", F.col("__gate.e")).drop("__gate")
+    return gated.where(F.col("gate").isNull() | (F.col(start) < F.col("gate")))
 
 
 def eval_pattern_condition(instances: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -259,10 +266,8 @@ def eval_pattern_condition(instances: DataFrame, conditions: DataFrame) -> DataF
     counts = instances.groupBy("name", "identifier", "status").agg(F.count("*").alias("n"))
     shape = F.transform("pattern", lambda p: p == "*")
     # One shape per arrangement of stars that anyone wrote: a handful, whatever the data.
-    shapes = [r["s"] for r in conditions.select(shape.alias("s")).distinct().collect()]
-    literal = F.array(*[F.array(*[F.lit(bool(x)) for x in s]) for s in shapes])
-    usable = F.filter(literal, lambda s: F.size(s) == F.size("identifier"))
-    offered = counts.withColumn("__shape", F.explode(usable))
+    shapes = conditions.select(shape.alias("__shape"), F.size("pattern").alias("__size")).distinct()
+    offered = counts.join(shapes, F.size("identifier") == F.col("__size")).drop("__size")
     masked = F.zip_with("identifier", "__shape", lambda e, star: F.when(star, F.lit("*")).otherwise(e))
     grouped = offered.groupBy(F.col("name").alias("i_name"), masked.alias("i_pattern"), F.col("status").alias("i_status"))
     offered = grouped.agg(F.sum("n").alias("n"))

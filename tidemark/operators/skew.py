@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-HOT_KEYS = 1000  # the most frequent keys are salted; any others are joined as they are
 SALTS = 64
 
 
@@ -29,7 +28,8 @@ def lookup(
     """``left`` with ``columns`` of the one ``right`` row that has its key, NULL keys included.
 
     Keys with more than ``hot_rows`` rows are spread over ``SALTS`` partitions each, the
-    matching right rows copied as often.  At most ``HOT_KEYS`` keys are broadcast.
+    matching right rows copied as often.  There are at most rows / ``hot_rows`` such keys,
+    and only they are broadcast.  Rows are dealt by position, so equal rows part as well.
     """
     keys = list(on)
     narrow = right.select(
@@ -37,7 +37,7 @@ def lookup(
     )
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)], F.lit(True))
     out = [*left.columns, *[F.col(f"__v_{c}").alias(c) for c in columns]]
-    hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), *keys).limit(HOT_KEYS)
+    hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows)
     found = hot.select(*keys).collect()
     if not found:
         return left.join(narrow, match, how).select(*out)
@@ -49,7 +49,7 @@ def lookup(
         pairs = [F.col(n).eqNullSafe(F.col(f"__h_{k}")) for n, k in zip(names, keys, strict=True)]
         return df.join(marked, reduce(lambda a, b: a & b, pairs), "left")
 
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     salted = flagged(left, keys).withColumn("__salt", F.when(is_hot, spread).otherwise(0)).select(*left.columns, "__salt")
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copied = flagged(narrow, [f"__r{i}" for i in range(len(keys))]).withColumn("__copy", F.explode(copies))

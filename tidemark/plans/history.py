@@ -16,6 +16,7 @@ from tidemark.operators.predicates import (
     comparable,
     keys_match,
     ntz,
+    require,
     require_keys,
     valid,
     valid_at,
@@ -45,14 +46,15 @@ def diff_deletes(target: DataFrame, new: DataFrame, ids: Sequence[str], ts: str,
 
 def diff_inserts(target: DataFrame, new: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> DataFrame:
     """Rows of the new image whose key is not valid in the target."""
-    return new.join(require_keys(valid_at(target, ts, *hist).select(*ids), ids), list(ids), "left_anti")
+    known = require_keys(valid_at(target, ts, *hist).select(*ids), ids)
+    return one_row_per_key(new, ids).join(known, list(ids), "left_anti")
 
 
 def diff_updates(target: DataFrame, new: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> DataFrame:
     """Rows of the new image whose key is valid and any compared column differs."""
     old = valid_at(target, ts, *hist).alias("old")
     differs = changed("old", "new", comparable(new, ids, hist))
-    return old.join(new.alias("new"), keys_match("old", "new", ids)).where(differs).select("new.*")
+    return old.join(one_row_per_key(new, ids).alias("new"), keys_match("old", "new", ids)).where(differs).select("new.*")
 
 
 def classify_changes(target: DataFrame, new: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> DataFrame:
@@ -99,8 +101,14 @@ def scd2_apply(
 ) -> DataFrame:
     """Close deleted and changed versions at ``ts`` and open inserted and changed ones.
 
-    Versions not valid at ``ts`` pass through without a shuffle.
+    A load that was applied before is undone first: what started at ``ts`` goes, what ended there is open again.
+    A version that starts later fails the job; reload from there instead.  Versions not valid at ``ts`` pass
+    through without a shuffle.
     """
+    start, end = hist
+    target = require(target, F.col(start).isNull() | (F.col(start) <= ntz(ts)), f"versions start after {ts}")
+    target = target.where(F.coalesce(F.col(start) < ntz(ts), F.lit(True)))
+    target = target.withColumn(end, F.when(F.col(end) == ntz(ts), ntz(max_ts)).otherwise(F.col(end)))
     rest = target.where(~F.coalesce(valid(ts, *hist), F.lit(False)))
     changes = classify_changes(target, new, ids, ts, hist)
     return rest.unionByName(_versions(target, changes, ts, max_ts, hist))
@@ -125,9 +133,16 @@ def scd1_apply(target: DataFrame, new: DataFrame, ids: Sequence[str]) -> DataFra
 
 
 def load_increment(target: DataFrame, feed: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
-    """Append rows newer than the last loaded sequence; of repeats in the feed the last stays."""
+    """Append rows newer than the last loaded sequence; of repeats in the feed the last stays.
+
+    Rows at the mark count as loaded, also with a new key: a sequence number is handed out once. A row without
+    one fails the job.
+    """
     mark = target.agg(F.max(seq).alias("m")).first()["m"]
-    fresh = feed if mark is None else feed.where(F.col(seq) > F.lit(mark))
+    newer = F.lit(True) if mark is None else F.col(seq) > F.lit(mark)
+    # One expression: of two filters the optimiser may run the comparison first
+    missing = F.raise_error(F.lit(f"NULL in {seq}")).cast("boolean")
+    fresh = feed.where(F.when(F.col(seq).isNull(), missing).otherwise(newer))
     return target.unionByName(last_operation(fresh, ids, seq).select(*target.columns))
 
 
@@ -139,7 +154,9 @@ def last_operation(feed: DataFrame, ids: Sequence[str], seq: str) -> DataFrame:
 
 
 def load_delta(target: DataFrame, feed: DataFrame, ids: Sequence[str], op: str, seq: str) -> DataFrame:
-    """Apply ordered INSERT, UPDATE and DELETE rows to a keyed table."""
+    """Apply ordered INSERT, UPDATE and DELETE rows to a keyed table; a row without sequence, or with another operation, fails the job."""
+    feed = require(feed, F.col(seq).isNotNull(), f"NULL in {seq}")
+    feed = require(feed, F.col(op).isin("INSERT", "UPDATE", "DELETE"), f"unknown operation in {op}")
     rest = [c for c in target.columns if c not in ids]
     last = last_operation(feed, ids, seq)
     old_side = target.select(*ids, F.struct(*rest).alias("old"))
@@ -251,16 +268,20 @@ def load_by_method(
     """Run the load method each control row names over the history of its own source.
 
     A control row has Source, Method and IdList.  SCD1 keeps one open version per key.
+    A source that no row names keeps its history as it is; one named twice is an error.
     """
+    named = [row["Source"] for row in control]
+    if len(set(named)) < len(named):
+        raise ValueError(f"a source is named twice: {sorted(named)}")
     methods: dict[str, Callable[..., DataFrame]] = {
         "SCD2": lambda t, n, ids: scd2_apply(t, n, ids, ts),
         "SCD1": lambda t, n, ids: scd1_apply(t, n.select(*t.columns), ids),
     }
-    loaded = None
+    loaded = target.where(~F.coalesce(F.col("source").isin(named), F.lit(False))) if named else target
     for row in control:
         source = row["Source"]
         ids = [c for c in row["IdList"].split(",") if c not in HIST]
         mine = target.where(F.col("source") == source).drop("source")
         out = methods[row["Method"]](mine, sources[source], ids).withColumn("source", F.lit(source))
-        loaded = out if loaded is None else loaded.unionByName(out)
+        loaded = loaded.unionByName(out)
     return loaded

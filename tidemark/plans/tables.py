@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.predicates import OPEN_END, ntz, similar_to
 from tidemark.plans.history import HIST, one_row_per_key, scd2_apply
-from tidemark.session import new_folder
+from tidemark.session import new_folder, overwrite_partitions
 
 WORK = "tidemark_work"
 
@@ -33,7 +33,7 @@ def drop_if_exists(spark: SparkSession, name: str) -> None:
 
 def drop_matching(spark: SparkSession, database: str, name: str) -> list[str]:
     """Drop the temporary work tables ``<name>_T01`` and so on."""
-    tables = spark.sql(f"SHOW TABLES IN {database}").where(similar_to("tableName", f"{name}_[Tt][0-9]{{2}}"))
+    tables = spark.sql(f"SHOW TABLES IN {database}").where(similar_to("tableName", f"\\Q{name}\\E_[Tt][0-9]{{2}}"))
     dropped = [r["tableName"] for r in tables.collect()]
     for t in dropped:
         drop_if_exists(spark, f"{database}.{t}")
@@ -61,20 +61,6 @@ def full_reload(name: str, rows: DataFrame) -> None:
     rows.select(*rows.sparkSession.table(name).columns).write.insertInto(name, overwrite=True)
 
 
-def overwrite_partitions(name: str, rows: DataFrame) -> None:
-    """Replace only the partitions that occur in ``rows``.
-
-    ``insertInto`` takes the mode from the session alone; it writes before it returns.
-    """
-    spark, mode = rows.sparkSession, "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")
-    try:
-        rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(mode, before)
-
-
 def upsert(target: DataFrame, feed: DataFrame, natural: Sequence[str]) -> DataFrame:
     """Update matching rows, add missing ones, keep the rest; ``op`` says which."""
     rest = [c for c in target.columns if c not in natural]
@@ -109,12 +95,13 @@ def relink_parent(instances: DataFrame, feed: DataFrame, natural: Sequence[str])
     """
     child, parent = feed.alias("c"), feed.alias("p")
     named = child.join(parent, F.col("c.parent_id") == F.col("p.id"), "left").select(
-        *[F.col(f"c.{k}").alias(f"c_{k}") for k in natural], *[F.col(f"p.{k}").alias(f"p_{k}") for k in natural]
+        *[F.col(f"c.{k}").alias(f"c_{k}") for k in natural], *[F.col(f"p.{k}").alias(f"p_{k}") for k in natural],
+        F.col("p.id").isNotNull().alias("has_parent"),
     )
     permanent = instances.select(F.col("id").alias("new_parent"), *[F.col(k).alias(f"q_{k}") for k in natural])
-    found = named.join(permanent, [F.col(f"p_{k}") == F.col(f"q_{k}") for k in natural], "left")
+    found = named.join(permanent, [F.col("has_parent"), *[F.col(f"p_{k}").eqNullSafe(F.col(f"q_{k}")) for k in natural]], "left")
     links = found.select(*[F.col(f"c_{k}").alias(f"l_{k}") for k in natural], "new_parent", F.lit(True).alias("fed"))
-    joined = instances.join(links, [F.col(k) == F.col(f"l_{k}") for k in natural], "left")
+    joined = instances.join(links, [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in natural], "left")
     parent_id = F.when(F.col("fed"), F.col("new_parent")).otherwise(F.col("parent_id"))
     return joined.select(*[parent_id.alias(c) if c == "parent_id" else F.col(c) for c in instances.columns])
 
@@ -156,16 +143,24 @@ def create_history(spark: SparkSession, name: str, schema: T.StructType) -> None
 def apply_to_history(spark: SparkSession, name: str, image: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> None:
     """Bring a stored history up to date with a new image at ``ts``.
 
+    The same load may run again, with the same image or a corrected one: what it closed is read next to
+    the open versions and the load is undone before it is applied.  A load older than the newest is refused.
     A dynamic overwrite stages its files and moves them once the job is done, so it
-    may read the open partition it replaces.
+    may read the partitions it replaces.
     """
     load_id = int("".join(ch for ch in ts if ch.isdigit()))
-    stored = spark.table(name).where(F.col(CLOSED) == 0).drop(CLOSED)
+    closed = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", rf"{CLOSED}=(\d+)", 1).cast("bigint").alias("p"))
+    newest = closed.agg(F.max("p").alias("p")).first()["p"] or 0
+    if newest > load_id:
+        raise ValueError(f"load {load_id} is older than load {newest}; reload the history from there on")
+    stored = spark.table(name).where(F.col(CLOSED).isin(0, load_id)).drop(CLOSED)
     is_open = F.col(hist[1]) == ntz(OPEN_END)
     versions = scd2_apply(stored, image, ids, ts, OPEN_END, hist)
     out = versions.withColumn(CLOSED, F.when(is_open, 0).otherwise(load_id).cast("bigint"))
     seen = Observation()
-    overwrite_partitions(name, out.observe(seen, F.count_if(F.col(CLOSED) == 0).alias("n_open")))
-    if not seen.get["n_open"]:
-        # Nothing stayed open, and an overwrite by partition leaves absent partitions alone.
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({CLOSED}=0)")
+    is_stored = F.col(CLOSED) == 0
+    overwrite_partitions(name, out.observe(seen, F.count_if(is_stored).alias("open"), F.count_if(~is_stored).alias("closed")))
+    # An overwrite by partition leaves absent partitions alone.
+    for part, kind in ((0, "open"), (load_id, "closed")):
+        if not seen.get[kind]:
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({CLOSED}={part})")

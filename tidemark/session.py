@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -59,13 +60,32 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle_any(df: DataFrame, condition: Column) -> tuple[DataFrame, bool]:
-    """``settle``, and whether any row meets ``condition``; seen while writing, at no extra pass."""
+def settle_any(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``settle``, and how many rows meet ``condition``; seen while writing, at no extra pass."""
     seen = Observation()
     out = settle(df.observe(seen, F.count_if(condition).alias("n")))
-    return out, seen.get["n"] > 0
+    return out, seen.get["n"]
 
 
 def slices(spark: SparkSession) -> int:
     """Number of slices for an explicit range partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_MODE = threading.Lock()
+
+
+def overwrite_partitions(name: str, rows: DataFrame) -> None:
+    """Replace only the partitions that occur in ``rows``.
+
+    ``insertInto`` takes the mode from the session alone and writes before it returns; the
+    lock keeps two writers of one process from setting it under each other.
+    """
+    spark, mode = rows.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    with _MODE:
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            rows.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+        finally:
+            spark.conf.set(mode, before)

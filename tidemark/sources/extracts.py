@@ -32,6 +32,20 @@ def data_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != "_load_id"])
 
 
+def _read_by_spark(encoding: str) -> bool:
+    """Whether Spark reads the encoding itself; other code pages must have one byte per letter."""
+    name = encoding.upper().replace("_", "-")
+    if name in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ISO-8859-1"):
+        return True
+    for lead in range(128, 256):
+        if not bytes([lead]).decode(encoding, "ignore") and any(
+            len(bytes([lead, after]).decode(encoding, "ignore")) == 1 and bytes([lead, after]).decode(encoding, "ignore") != bytes([after]).decode(encoding, "ignore")
+            for after in (0x41, 0xA1, 0xB0)
+        ):
+            raise ValueError(f"{encoding} has letters of several bytes; write the extract in UTF-8")
+    return False
+
+
 def read_extract(
     spark: SparkSession,
     path: str | list[str],
@@ -50,7 +64,7 @@ def read_extract(
 
     ``multi_line`` is needed only for line ends inside quotes and stops files from being split.
     """
-    single_byte = not encoding.upper().startswith(("UTF", "US-ASCII", "ISO-8859-1"))
+    single_byte = not _read_by_spark(encoding)
     df = (
         spark.read.schema(data_schema(schema))
         .options(**_options(sep, quote, escape, header, date_format, timestamp_format))
@@ -80,7 +94,7 @@ def write_extract(
     escape: str = '"',
 ) -> None:
     """The writing side of ``read_extract``."""
-    single_byte = not encoding.upper().startswith(("UTF", "US-ASCII", "ISO-8859-1"))
+    single_byte = not _read_by_spark(encoding)
     if single_byte:
         df = df.withColumns({c: encoded(F.col(c), encoding) for c in _strings(df)})
     (

@@ -6,10 +6,12 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import overwrite_partitions
 from tidemark.sources.extracts import data_schema
 
 LOAD = "_load_id"
@@ -24,11 +26,18 @@ def create_stage(spark: SparkSession, name: str, schema: T.StructType) -> None:
 
 
 def land_snapshot(spark: SparkSession, name: str, rows: DataFrame, load_id: int) -> None:
-    """Replace one snapshot.  An empty extract leaves an empty snapshot, not a missing one."""
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({LOAD}={int(load_id)})")
-    spark.sql(f"ALTER TABLE {name} ADD PARTITION ({LOAD}={int(load_id)})")
+    """Replace one snapshot.  An empty extract leaves an empty snapshot, not a missing one.
+
+    New files are moved in when all are written, so a load that fails leaves the snapshot as it
+    was, and ``rows`` may come from that very snapshot.
+    """
     columns = [c for c in spark.table(name).columns if c != LOAD]
-    rows.select(*columns, F.lit(int(load_id)).cast("bigint").alias(LOAD)).write.insertInto(name)
+    seen = Observation()
+    landed = rows.select(*columns, F.lit(int(load_id)).cast("bigint").alias(LOAD))
+    overwrite_partitions(name, landed.observe(seen, F.count("*").alias("n")))
+    if not seen.get["n"]:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({LOAD}={int(load_id)})")
+    spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({LOAD}={int(load_id)})")
 
 
 def scan_snapshot(spark: SparkSession, name: str, load_id: int) -> DataFrame:
@@ -85,11 +94,12 @@ def load_or_carry(
         try:
             land_snapshot(spark, name, read(), load_id)
             return "loaded"
-        except Exception as error:  # any failure to read means: extract not available
+        except (AnalysisException, FileNotFoundError) as error:  # anything but an extract that isn't there fails
+            if isinstance(error, AnalysisException) and error.getCondition() != "PATH_NOT_FOUND":
+                raise
             log.warning("extract for %s %s not loaded, attempt %s: %s", name, load_id, attempt, error)
             if attempt < attempts:
                 time.sleep(wait)
-    spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({LOAD}={int(load_id)})")
     return "skipped" if carry_forward(spark, name, load_id) is None else "carried"
 
 

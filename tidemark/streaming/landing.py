@@ -8,6 +8,7 @@ ends in the same tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from tidemark.plans.tables import apply_to_history
 from tidemark.sources.extracts import read_extract
 from tidemark.sources.stage import LOAD, create_stage, land_snapshot
 
-LAST = "tidemark.last_load"
+LAST, FILES = "tidemark.last_load", "tidemark.files_of_load_"
 
 
 def load_folder(root: str, load_id: int) -> str:
@@ -71,20 +72,25 @@ def stream_scd2(
     ids: Sequence[str],
     **options,
 ) -> StreamingQuery:
-    """Keep a history table up to date; a load at or before the last applied one is skipped.
+    """Keep a history table up to date, load by load.
 
-    An extract must be complete when its folder appears, because a missing row means a
-    deleted key.  The load number is recorded after the history is written; a batch
-    repeated in between compares equal images and changes nothing.
+    A missing row means a deleted key.  Which files a load had is recorded after the history is written,
+    and a load seen again with the same files is skipped.  When another piece of the last load arrives,
+    that load is undone and applied again with all its pieces.  Anything new about an earlier load
+    stops the stream, because the loads after it would have to be replayed.
     """
 
     def handle(load_id: int) -> None:
-        if load_id <= last_load(spark, name):
+        extract = read_extract(spark, load_folder(root, load_id), schema, **options)
+        files = hashlib.sha1("\n".join(sorted(extract.inputFiles())).encode()).hexdigest()
+        known = spark.sql(f"SHOW TBLPROPERTIES {name}").where(F.col("key") == f"{FILES}{load_id}").first()
+        if known and known["value"] == files:
             return
+        if load_id < last_load(spark, name):
+            raise ValueError(f"a piece of load {load_id} came after load {last_load(spark, name)} was applied")
         d = str(load_id)
         ts = f"{d[:4]}-{d[4:6]}-{d[6:8]} {d[8:10]}:{d[10:12]}:{d[12:14]}"
-        image = read_extract(spark, load_folder(root, load_id), schema, **options)
-        apply_to_history(spark, name, image, ids, ts)
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{LAST}' = '{load_id}')")
+        apply_to_history(spark, name, extract, ids, ts)
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{LAST}' = '{load_id}', '{FILES}{load_id}' = '{files}')")
 
     return on_new_loads(spark, root, checkpoint, handle)

@@ -188,7 +188,7 @@ def overdue(current: DataFrame, limits: DataFrame, status: str, since: str, as_o
     bound = limits.select(F.col("status").alias("__s"), F.col("minutes").alias("limit_minutes"))
     joined = current.join(bound, F.col(status) == F.col("__s")).drop("__s")
     lasted = F.timestamp_diff("SECOND", F.col(since), as_of)
-    over = F.timestamp_diff("MICROSECOND", F.col(since), as_of) > F.col("limit_minutes") * 60_000_000
+    over = F.timestamp_diff("MICROSECOND", F.col(since), as_of) > F.col("limit_minutes").cast("bigint") * 60_000_000
     return joined.withColumn("seconds", lasted).where(over)
 
 

@@ -303,7 +303,9 @@ def reload_from(spark, sf):
     select 'ERP', cust_id, priority, status, size_class, '1999-01-01 00:00:00', '9999-12-31 23:59:59' from img
     union all
     select 'ERP', cust_id, priority, status, size_class, '1996-01-01 00:00:00', '9999-12-31 23:59:59' from opened o
-    where not exists (select 1 from img i where i.cust_id = o.cust_id and i.priority = o.priority)""",
+    where not exists (select 1 from img i where i.cust_id = o.cust_id and i.priority = o.priority)
+    union all
+    select 'WEB', cust_id, priority, status, size_class, {stamp('start_ts')}, {stamp('end_ts')} from tgt""",
 )
 def load_by_method(spark, sf):
     history, image = history_target(spark, sf), history_image(spark, sf)
@@ -313,7 +315,8 @@ def load_by_method(spark, sf):
     control = R.chunk_list(
         ["CRM", "SCD2", "cust_id,priority,start_ts", "ERP", "SCD1", "cust_id,priority"], ["Source", "Method", "IdList"]
     )
-    out = H.load_by_method(crm.unionByName(erp), {"CRM": image, "ERP": stamped}, control, CUT_NEW)
+    web = history.withColumn("source", F.lit("WEB"))  # no control row names it
+    out = H.load_by_method(crm.unionByName(erp).unionByName(web), {"CRM": image, "ERP": stamped}, control, CUT_NEW)
     return out.withColumn("start_ts", text("start_ts")).withColumn("end_ts", text("end_ts"))
 
 

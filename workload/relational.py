@@ -78,12 +78,12 @@ def label_indented(spark, sf):
 
 @query(
     "non_empty_list",
-    """with l as (select user_id, list(distinct event_type) filter (event_type = 'error' and value > 30) as errs
+    """with l as (select user_id, list(distinct event_type) filter (value > 60) as errs
                   from events group by user_id)
        select user_id, len(errs) as n from l where errs is not null and len(errs) > 0""",
 )
 def non_empty_list(spark, sf):
-    errors = F.collect_set(F.when((F.col("event_type") == "error") & (F.col("value") > 30), F.col("event_type")))
+    errors = F.collect_set(F.when(F.col("value") > 60, F.col("event_type")))
     lists = table(spark, sf, "events").groupBy("user_id").agg(errors.alias("errs"))
     return lists.where(P.non_empty("errs")).select("user_id", F.size("errs").cast("bigint").alias("n"))
 
@@ -298,14 +298,14 @@ def self_join_parent(spark, sf):
     "theta_array_join",
     """with s as (select event_type as schedule,
                          list(distinct hour(ts)) as hours, list(distinct isodow(ts)) as wdays
-                  from events where value > 12 group by event_type)
+                  from events group by event_type)
        select event_id, schedule from events join s
        on list_contains(hours, hour(ts)) and list_contains(wdays, isodow(ts)) and schedule <> event_type""",
 )
 def theta_array_join(spark, sf):
     events = table(spark, sf, "events")
     hour, wday = F.hour("ts"), F.weekday("ts") + 1
-    sets = events.where(F.col("value") > 12).groupBy(F.col("event_type").alias("schedule")).agg(
+    sets = events.groupBy(F.col("event_type").alias("schedule")).agg(
         F.collect_set(hour).alias("hours"), F.collect_set(wday).alias("wdays")
     )
     joined = J.theta_array_join(events, sets, {"hours": hour, "wdays": wday}, "hours")
@@ -314,12 +314,19 @@ def theta_array_join(spark, sf):
 
 @query(
     "as_of_latest",
-    """select b.event_id, a.event_id as view_id, a.value as view_value
-       from (select * from events where event_type = 'purchase') b
-       asof left join (select * from events where event_type = 'view') a on a.user_id = b.user_id and a.ts <= b.ts""",
+    """with e as (
+         select event_id, event_type, value, case when event_id % 7 > 0 then user_id end as user_id,
+                case when event_id % 11 > 0 then ts end as ts
+         from events)
+       select b.event_id, a.event_id as view_id, a.value as view_value
+       from (select * from e where event_type = 'purchase') b
+       asof left join (select * from e where event_type = 'view') a on a.user_id = b.user_id and a.ts <= b.ts""",
 )
 def as_of_latest(spark, sf):
-    events = table(spark, sf, "events")
+    # Entries and facts without key or time are among them
+    events = table(spark, sf, "events").withColumns(
+        {"user_id": F.when(F.col("event_id") % 7 > 0, F.col("user_id")), "ts": F.when(F.col("event_id") % 11 > 0, F.col("ts"))}
+    )
     buys = events.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     views = events.where(F.col("event_type") == "view")
     found = J.as_of_latest(

@@ -189,17 +189,34 @@ def admit_by_capacity(spark, sf):
 @query(
     "overdue",
     f"""with {LOG_CTE}, lim as (select * from (values ('running', 30), ('submitted', 120), ('failed', 5)) as v(s, minutes))
-    select user_id, status, minutes as limit_minutes, date_diff('second', ts, timestamp '2024-01-31 00:00:00') as seconds
+    select user_id, status, minutes as limit_minutes,
+           cast(floor((epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(ts)) / 1000000) as bigint) as seconds
     from cur join lim on s = status
     where ts + to_minutes(cast(minutes as bigint)) < timestamp '2024-01-31 00:00:00'""",
 )
 def overdue(spark, sf):
     limits = spark.createDataFrame([("running", 30), ("submitted", 120), ("failed", 5)], "status string, minutes int")
-    current = latest(run_log(spark, sf), ["user_id"]).withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    current = latest(run_log(spark, sf), ["user_id"])
     late = L.overdue(current, limits, "status", "ts", P.ntz("2024-01-31 00:00:00"))
     return late.select("user_id", "status", "limit_minutes", "seconds")
 
 
+FINAL_SQL = ", ".join(f"'{s}'" for s in L.FINAL)
+
+
+@query(
+    "timed_verdict",
+    f"""with {LOG_CTE}
+    select user_id, r.required, case when status = r.required and timestamp '2024-01-31 00:00:00' > ts + interval 12 hours then 'run'
+                when status in ({FINAL_SQL}) and r.required not in ({FINAL_SQL}) then 'skip' else 'wait' end as verdict
+    from cur, (values ('running'), ('succeeded')) as r(required)""",
+)
+def timed_verdict(spark, sf):
+    current = latest(run_log(spark, sf), ["user_id"]).withColumn("required", F.explode(F.array(F.lit("running"), F.lit("succeeded"))))
+    verdict = L.timed_verdict(F.col("required"), F.col("status"), F.col("ts"), P.ntz("2024-01-31 00:00:00"), F.expr("interval 12 hours"))
+    return current.select("user_id", "required", verdict.alias("verdict"))
+
+
 ALLOWED_SQL = ", ".join(f"('{a or 'none'}', '{b}')" for a, b in L.TRANSITIONS)
 
 

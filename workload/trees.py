@@ -162,13 +162,13 @@ def descendants(spark, sf):
 
 @query(
     "successors",
-    """with recursive e as (select distinct o_custkey as a, (o_custkey * 7 + o_orderkey) % 1500 as b from orders where o_orderstatus = 'F'),
+    """with recursive e as (select distinct o_custkey as a, (o_custkey * 7 + o_orderkey) % (select count(*) from customer) as b from orders),
     r as (select b as node from e where a = (select min(a) from e) union select e.b from r join e on e.a = r.node)
     select node from r where node <> (select min(a) from e)""",
 )
 def successors(spark, sf):
-    orders = table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
-    edges = orders.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b")).distinct()
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").count()
+    edges = orders.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % customers).alias("b")).distinct()
     starts = edges.agg(F.min("a").alias("node"))
     return T.reachable(edges, starts, "a", "b").select("node")
 
@@ -282,12 +282,22 @@ def date_series(spark, sf):
 
 @query(
     "minute_series",
+    """with l as (select user_id, date_trunc('minute', max(ts)) as a from events group by user_id)
+    select user_id, cast(s as integer) as seq, strftime(a + to_minutes(s), '%Y-%m-%d %H:%M:%S') as t from l, range(0, 121) r(s)""",
+)
+def minute_series(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("a"))
+    return R.minute_series(last, ["user_id"], "a", 120, "t").select("user_id", "seq", text("t").alias("t"))
+
+
+@query(
+    "nth_minute",
     """with l as (select user_id, date_trunc('minute', max(ts)) as a from events group by user_id),
     m as (select user_id, a + to_minutes(s) as t from l, range(0, 121) r(s)),
     f as (select user_id, t, row_number() over (partition by user_id order by t) as nth from m where minute(t) in (0, 15, 45))
     select user_id, strftime(t, '%Y-%m-%d %H:%M:%S') as third_match from f where nth = 3""",
 )
-def minute_series(spark, sf):
+def nth_minute(spark, sf):
     last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("a"))
     third = R.nth_minute(last, "a", 120, 3, lambda t: F.minute(t).isin(0, 15, 45), "t")
     return third.select("user_id", text("t").alias("third_match"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import GROUP_ROWS, By, fits_one_task, slice_by_range
@@ -16,6 +16,21 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
     return df.groupBy(*keys).agg(newest).select(*keys, "row.*")
 
 
+def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first row of each group in an order.
+
+    The limit on the rank is applied before the shuffle too, so a hot key sends one row per task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int, name: str = "rank") -> DataFrame:
+    """Rows ranked ``n`` or better in their group, ties included, with the rank; limited before the shuffle as well."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.rank().over(w)).where(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
+
+
 def group_having_count(df: DataFrame, keys: Sequence[str], more_than: int = 1) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > more_than)
 

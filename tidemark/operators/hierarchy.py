@@ -69,10 +69,18 @@ def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, key: str, parent: str, of: int) -> DataFrame:
-    """The subtree below one node, with the distance to it."""
-    ids = root_paths(nodes, key, parent, F.col(key), "ids")
-    at = F.array_position("ids", F.lit(of))
-    return ids.where((at > 0) & (F.col(key) != of)).select(key, (F.size("ids") - at).cast("int").alias("distance"))
+    """The subtree below one node, with the distance to it.
+
+    Breadth first from the node down, so the rest of the forest is only joined to, never climbed.
+    """
+    start = nodes.where(F.col(key) == of).select(F.col(key))
+    below = nodes.select(F.col(parent).alias("__from"), F.col(key).alias("__to")).where(F.col("__from").isNotNull())
+    return reachable(below, start, "__from", "__to")
+
+
+def predecessors(edges: DataFrame, starts: DataFrame, src: str, dst: str) -> DataFrame:
+    """Nodes from which the starts are reached along directed edges, with the number of steps: ``reachable`` backwards."""
+    return reachable(edges, starts, dst, src)
 
 
 def tree_flatten(nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
@@ -502,9 +501,7 @@ def dense_rank(spark, sf):
     qualify row_number() over (partition by cust_id order by size_class asc nulls first, priority) = 1""",
 )
 def row_number_first(spark, sf):
-    w = Window.partitionBy("cust_id").orderBy(F.col("size_class").asc_nulls_first(), "priority")
-    # The rank limit is applied before the shuffle too, so a hot key sends one row per task.
-    return history_image(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return A.first_row(history_image(spark, sf), ["cust_id"], [F.col("size_class").asc_nulls_first(), "priority"])
 
 
 @query(
@@ -526,9 +523,8 @@ def running_sum(spark, sf):
        where r <= 2""",
 )
 def top_n_per_group(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc())
-    ranked = table(spark, sf, "orders").withColumn("r", F.rank().over(w)).where("r <= 2")
-    return ranked.select("o_custkey", "o_orderkey", F.col("r").cast("bigint").alias("r"))
+    ranked = A.top_n(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderdate").desc()], 2, "r")
+    return ranked.select("o_custkey", "o_orderkey", "r")
 
 
 @query(

@@ -173,6 +173,18 @@ def successors(spark, sf):
     return T.reachable(edges, starts, "a", "b").select("node")
 
 
+@query(
+    "predecessors",
+    """with recursive e as (select distinct o_custkey as a, (o_custkey * 7 + o_orderkey) % (select count(*) from customer) as b from orders),
+    r as (select a as node from e where b = (select max(b) from e) union select e.a from r join e on e.b = r.node)
+    select node from r where node <> (select max(b) from e)""",
+)
+def predecessors(spark, sf):
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").count()
+    edges = orders.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % customers).alias("b")).distinct()
+    return T.predecessors(edges, edges.agg(F.max("b").alias("node")), "a", "b").select("node")
+
+
 @query(
     "tree_two_level",
     f"""with recursive {TREE_CTE},

@@ -5,6 +5,10 @@ window) travel as one packed string to the minimiser's bucket, so equal windows
 strings around them differ. A bucket sorts its windows and tells each block of documents which of
 its windows occur in more than one document, and the smallest id among these.
 
+A minimiser that stands in one document only can hold no shared window. So blocks first send five bytes of each
+minimiser's hash, learn by one bit which ones others have too, and pack the strings of those. (Hashes that
+meet by chance only make some strings travel in vain.)
+
 Blocks send each different string once, with the smallest id that has it. So a passage or a text with very
 many copies arrives at its bucket once per block, and no list of the documents that have it exists anywhere.
 """
@@ -15,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.llm import words
@@ -92,15 +95,45 @@ class Index:
         self.several[number[self.doc[by] != self.first_doc[number]]] = True
         self.spans = lo[self.leaders], hi[self.leaders] - lo[self.leaders]
 
-    def packed(self, block: int, buckets: int) -> pa.Table:
-        data, offsets = words.gather(self.flat, *self.spans)
-        n = len(self.leaders)
+        self.minimisers = np.unique(self.low)
+
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The minimisers' order by bucket, the buckets, and where each begins in that order."""
+        bucket = (self.minimisers % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, at = np.unique(bucket[order], return_index=True)
+        return order, found, np.append(at, len(order))
+
+    def asked(self, block: int, buckets: int) -> pa.Table:
+        """Five bytes of each minimiser, and whether several documents of the block have it."""
+        order, found, at = self.by_bucket(buckets)
+        low, high = np.full(len(order), LAST), np.full(len(order), -LAST)
+        place = np.searchsorted(self.minimisers, self.low)
+        np.minimum.at(low, place, self.doc)
+        np.maximum.at(high, place, self.doc)
+        names = np.ascontiguousarray((self.minimisers[order] >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
+        several = (low != high)[order]
+        return pa.table({
+            "bucket": pa.array(found.astype(np.int32)), "block": pa.array(np.full(len(found), block, np.int32)),
+            "names": pa.array([names[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+        })
+
+    def packed(self, block: int, buckets: int, answers: pa.Table, askers: int) -> pa.Table:
+        """Strings whose minimiser is shared, as the answers say."""
+        order, found, at = self.by_bucket(askers)
+        told = dict(zip(answers["bucket"].to_pylist(), answers["shared"].to_pylist(), strict=True))
+        shared = np.zeros(len(order), bool)
+        for b, lo, hi in zip(found.tolist(), at[:-1], at[1:], strict=True):
+            shared[order[lo:hi]] = np.unpackbits(np.frombuffer(told[b], np.uint8), count=hi - lo).astype(bool)
+        sent = np.flatnonzero(shared[np.searchsorted(self.minimisers, self.low[self.leaders])])
+        data, offsets = words.gather(self.flat, self.spans[0][sent], self.spans[1][sent])
         return pa.table({
-            "bucket": pa.array((self.low[self.leaders] % np.uint64(buckets)).astype(np.int32)),
-            "block": pa.array(np.full(n, block, np.int32)),
-            "string": pa.array(np.arange(n, dtype=np.int32)),
-            "first_doc": pa.array(self.first_doc),
-            "several": pa.array(self.several),
+            "bucket": pa.array((self.low[self.leaders[sent]] % np.uint64(buckets)).astype(np.int32)),
+            "block": pa.array(np.full(len(sent), block, np.int32)),
+            "string": pa.array(sent.astype(np.int32)),
+            "first_doc": pa.array(self.first_doc[sent]),
+            "several": pa.array(self.several[sent]),
             "packed": words.string_array(data, offsets, pa.binary()),
         })
 
@@ -131,6 +164,23 @@ class Index:
             "n_removed", pa.array(total - np.diff(row_at)))
 
 
+def shared_minimisers(table: pa.Table) -> pa.Table:
+    """For each block's list of minimisers, which ones other blocks or several of its documents have."""
+    lists = [np.frombuffer(x, np.uint8).reshape(-1, 5) for x in table["names"].to_pylist()]
+    size = np.array([len(x) for x in lists])
+    wide = np.zeros((int(size.sum()), 8), np.uint8)
+    wide[:, :5] = np.concatenate(lists)
+    name = wide.view(np.uint64)[:, 0]
+    shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["several"].to_pylist(), size, strict=True)]).astype(bool)
+    order = np.argsort(name)
+    same = name[order][1:] == name[order][:-1]
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    at = np.concatenate([[0], np.cumsum(size)])
+    bits = [np.packbits(shared[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table({"bucket": table["bucket"], "block": table["block"], "shared": pa.array(bits, pa.binary())})
+
+
 def repeats(table: pa.Table, k: int) -> pa.Table:
     """What a bucket answers: for each block, runs of windows that several documents have, with the smallest of these."""
     table = table.combine_chunks()
@@ -198,8 +248,14 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
     dealt, n = blocks(plain, key, text, BLOCK)
     buckets = 3 * n
 
-    def pack(group, table):
-        return Index(table, key, text, k, m).packed(group[0].as_py(), buckets)
+    # Millions of minimisers make a bucket, but as many tasks as others have get some
+    askers = max(n // 40, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def ask(group, table):
+        return Index(table, key, text, k, m).asked(group[0].as_py(), askers)
+
+    def pack(group, left, right):
+        return Index(left.select(columns), key, text, k, m).packed(group[0].as_py(), buckets, right, askers)
 
     def answer(group, table):
         return repeats(table, k)
@@ -210,7 +266,9 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
         found = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in right["runs"].to_pylist()]
         return Index(left.select(columns), key, text, k, m).kept(np.concatenate(found) if found else np.zeros((0, 4), np.int64))
 
-    packed = dealt.groupBy("block").applyInArrow(pack, "bucket int, block int, string int, first_doc long, several boolean, packed binary")
+    asked = dealt.groupBy("block").applyInArrow(ask, "bucket int, block int, names binary, several binary")
+    told = asked.groupBy("bucket").applyInArrow(shared_minimisers, "bucket int, block int, shared binary")
+    packed = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(pack, "bucket int, block int, string int, first_doc long, several boolean, packed binary")
     runs = packed.groupBy("bucket").applyInArrow(answer, "block int, runs binary")
     out = StructType(plain.schema.fields + StructType.fromDDL("kept string, n_words long, n_removed long").fields)
     return dealt.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(drop, out)

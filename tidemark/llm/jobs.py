@@ -61,15 +61,18 @@ def held_out(key: str | Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def per_process(name: str, make):
-    """What ``make()`` returned when this worker process first asked for ``name``; later tasks find it again."""
+def per_process(kind: str, name: str, make):
+    """What ``make()`` returned when this worker process first asked for ``name``; later tasks find it again.
+
+    Of each kind only the last one is kept.
+    """
     kept = sys.modules.setdefault("tidemark_llm_process", ModuleType("tidemark_llm_process")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if kind not in kept or kept[kind][0] != name:
+        kept[kind] = name, make()
+    return kept[kind][1]
 
 
-def annotate(df: DataFrame, text: str, fields: str, make, carry: bool = True) -> DataFrame:
+def annotate(df: DataFrame, text: str, fields: str, make, carry: bool = True, piece: int = words.PIECE) -> DataFrame:
     """``df`` with new columns computed from the bytes of its ``text`` column, which itself stays if ``carry``.
 
     ``make()`` runs once per task and returns a function from (bytes, row offsets) to one Arrow array per
@@ -85,7 +88,7 @@ def annotate(df: DataFrame, text: str, fields: str, make, carry: bool = True) ->
         step = make()
         for batch in batches:
             buf, offsets = words.texts(batch.column(at))
-            parts = [step(b, o) for _, _, b, o in words.pieces(buf, offsets)]
+            parts = [step(b, o) for _, _, b, o in words.pieces(buf, offsets, piece)]
             if parts:
                 new = [pa.concat_arrays([p[i] for p in parts]) for i in range(len(parts[0]))]
                 yield pa.RecordBatch.from_arrays(
@@ -98,11 +101,11 @@ def annotate(df: DataFrame, text: str, fields: str, make, carry: bool = True) ->
 SLICES = 64
 
 
-def hashed_counts(df: DataFrame, column: str, size: int, count) -> np.ndarray:
+def hashed_counts(df: DataFrame, column: str, size: int, count, rough: bool = False) -> np.ndarray:
     """Counts in ``size`` hashed places over all rows, on the driver: 8 ``size`` bytes whatever the input.
 
     ``count(values)`` yields arrays of the places met in an Arrow column. Tasks add up their own and send what is not
-    zero; slices are then summed as they stream by.
+    zero; slices are then summed as they stream by. ``rough``: tasks send one byte per place, to about a sixteenth.
     """
     width = size // SLICES
 
@@ -114,7 +117,9 @@ def hashed_counts(df: DataFrame, column: str, size: int, count) -> np.ndarray:
         for i in range(SLICES):
             mine = total[i * width : (i + 1) * width]
             at = np.flatnonzero(mine)
-            if len(at):
+            if len(at) and rough:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b""], pa.binary()), pa.array([words.small(mine).tobytes()], pa.binary())], names=["slice", "at", "n"])
+            elif len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([mine[at].tobytes()], pa.binary())], names=["slice", "at", "n"])
 
     def add(batches):
@@ -125,12 +130,15 @@ def hashed_counts(df: DataFrame, column: str, size: int, count) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n"])
                     total[:] = 0
                 now = i
-                total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+                if rough:
+                    total += np.rint(words.COUNT[np.frombuffer(n, np.uint8)]).astype(np.int64)
+                else:
+                    total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "n"])
 
     parts = df.select(column).mapInArrow(run, "slice int, at binary, n binary")
-    summed = parts.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, n binary").toArrow()
+    summed = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, n binary").toArrow()
     out = np.zeros(size, np.int64)
     for i, n in zip(summed["slice"].to_pylist(), summed["n"].to_pylist(), strict=True):
         out[i * width : (i + 1) * width] = np.frombuffer(n, np.int64)

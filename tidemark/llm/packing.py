@@ -17,11 +17,11 @@ from tidemark.llm.jobs import per_process, stored
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; it starts again when that many are reached.
-CACHE = 600_000
+CACHE = 300_000
 #: Documents packed by one task.
 GROUP = 40_000
 #: Bytes of texts that are tokenised at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Bytes of one text that are tokenised at once; a longer text is cut at white space.
 STRETCH = 4 << 20
 
@@ -125,7 +125,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     fields = f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * carry_ids
 
     def run(batches):
-        tokenizer = per_process(f"words {path}", lambda: WordTokenizer(path))
+        tokenizer = per_process("words", path, lambda: WordTokenizer(path))
         row = TaskContext.get().partitionId() << 33
         last = np.array([ends], np.int32)
         for batch in batches:

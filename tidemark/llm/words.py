@@ -9,6 +9,15 @@ import pyarrow as pa
 PIECE = 1 << 19
 
 
+#: What a count in one byte stands for: up to 32 itself, then eighths of powers of two.
+COUNT = np.where(np.arange(256) <= 32, np.arange(256), 32 * 2.0 ** ((np.arange(256) - 32) / 8))
+
+
+def small(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte; see ``COUNT``."""
+    return np.where(n <= 32, n, np.minimum(255, 32 + np.rint(8 * np.log2(np.maximum(n, 1) / 32)))).astype(np.uint8)
+
+
 def _mixed(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit numbers."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))

@@ -2,15 +2,13 @@
 
 A line is the set of its words, ordered by rarity. Two lines whose sets overlap by the threshold share a word
 among the first few of each (prefix filter); of the pairs that share one, those go that differ too much in
-length, whose shared word stands too far back (positional filter), or whose 64-bit maps of words differ in too many bits
-to overlap enough. Lines left in pairs form suspicion groups, sent on as chains of links, and only inside these
+length, whose shared word stands too far back (positional filter), or whose bit maps differ in more bits than their
+lines may in words. Lines left in pairs form suspicion groups, sent on as chains of links, and only inside these
 are the sets compared. A line goes if an earlier one is the same set or overlaps by the threshold.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +27,31 @@ RARITY = 1 << 20
 CROWD = 40_000
 #: Lines in a tile of a suspicion group.
 TILE = 256
+#: Entries in a bucket of words, and lines of small suspicion groups that are compared together, about.
+BUCKET, TOGETHER = 400_000, 128
+#: Largest map of a line's words: 2 to this many times 64 bits.
+WIDEST = 7
 #: Pairs that a task looks at together.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Bits of the map that tells which suspicious lines to read again; it only saves work.
 SEEN = 1 << 24
 
 
+def in_lines(line: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order by line, then hash. Line, hash and place share one number where they fit, whose sorting is much faster."""
+    n = len(h)
+    low, high = max(1, (n - 1).bit_length()), max(1, int(line[-1]).bit_length()) if n else 1
+    left = 64 - low - high
+    if n and left >= 28:
+        key = np.sort(line.astype(np.uint64) << np.uint64(64 - high) | h >> np.uint64(64 - left) << np.uint64(low) | np.arange(n, dtype=np.uint64))
+        by = (key & np.uint64((1 << low) - 1)).astype(np.int64)
+        key >>= np.uint64(low)
+        tied = key[1:] == key[:-1]
+        if (h[by[1:][tied]] == h[by[:-1][tied]]).all():  # else different words look alike so far
+            return by
+    return np.lexsort((h, line))
+
+
 def line_sets(buf: np.ndarray, offsets: np.ndarray):
     """(words of all lines, sorted in each; line offsets into them; first line of every row; line number of every line).
 
@@ -52,7 +69,7 @@ def line_sets(buf: np.ndarray, offsets: np.ndarray):
     h = words.span_hashes(words.prefix(buf), start, end)
     line = np.searchsorted(begin, start, "right") - 1
     # Of lines that begin at one byte, all but the last are empty
-    by = np.lexsort((h, line))
+    by = in_lines(line, h)
     h, line = h[by], line[by]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -61,7 +78,7 @@ def line_sets(buf: np.ndarray, offsets: np.ndarray):
 
 
 def places(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(RARITY - 1)).astype(np.int64)
+    return (h & h.dtype.type(RARITY - 1)).astype(np.int64)
 
 
 def _word_places(column: pa.Array):
@@ -70,7 +87,7 @@ def _word_places(column: pa.Array):
 
 
 def _first_places(column: pa.Array):
-    yield places(column.flatten().field("word").to_numpy().view(np.uint64))
+    yield places(column.flatten().to_numpy().view(np.uint32))
 
 
 def need(n: np.ndarray, least: float) -> np.ndarray:
@@ -78,33 +95,82 @@ def need(n: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(least * n - 1e-9).astype(np.int64)
 
 
+def first_names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of every set."""
+    return words.sums(words.mix(h).view(np.int64), at)
+
+
 def names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit names of every set."""
-    if not len(h):
-        return np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
-    return words.sums(words.mix(h).view(np.int64), at), words.sums(words.mix(h ^ np.uint64(0x5DEECE66D)).view(np.int64), at)
+    return first_names(h, at), words.sums(words.mix(h ^ np.uint64(0x5DEECE66D)).view(np.int64), at)
 
 
-def bit_maps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One bit per word, of 64."""
-    out = np.zeros(len(at) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(at))
-    if len(full):
-        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), at[:-1][full])
-    return out
+def classes(size: np.ndarray) -> np.ndarray:
+    """Powers of two of 64-bit words in a line's map: about a bit for each of its words."""
+    return np.minimum(np.ceil(np.log2(np.maximum(size, 64) / 64)), WIDEST).astype(np.int64)
+
+
+def bit_maps(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity maps of the lines' words, one after the other, and their offsets.
+
+    Two maps differ in no more bits than their lines in words. Halves laid over each other give the smaller map.
+    """
+    size = np.diff(at)
+    kind = classes(size)
+    offsets = np.concatenate([[0], np.cumsum(1 << kind)])
+    out = np.zeros(offsets[-1], np.uint64)
+    line = words.row_of(at)
+    place = offsets[line] + ((h >> np.uint64(40)).astype(np.int64) & ((1 << kind) - 1)[line])
+    np.bitwise_xor.at(out, place, np.uint64(1) << (h >> np.uint64(58)))
+    return out, offsets
+
+
+class Maps:
+    """Maps of some entries, to be compared at the smaller of two sizes."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray):
+        kind = np.log2(np.diff(offsets)).astype(np.int64)
+        self.kind = kind
+        self.at, self.level = {}, {}
+        above, folded = np.zeros(0, np.int64), None
+        for k in range(int(kind.max()), -1, -1):
+            mine = np.flatnonzero(kind == k)
+            own = flat[offsets[mine][:, None] + np.arange(1 << k)] if len(mine) else np.zeros((0, 1 << k), np.uint64)
+            if folded is not None:
+                half = folded.shape[1] // 2
+                own = np.concatenate([own, folded[:, :half] ^ folded[:, half:]])
+            above = np.concatenate([mine, above])
+            place = np.full(len(kind), -1)
+            place[above] = np.arange(len(above))
+            self.at[k], self.level[k], folded = place, own, own
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the maps of each pair differ."""
+        out = np.zeros(len(a), np.int64)
+        small = np.minimum(self.kind[a], self.kind[b])
+        for k in np.unique(small):
+            mine = np.flatnonzero(small == k)
+            x, place = self.level[k], self.at[k]
+            out[mine] = np.bitwise_count(x[place[a[mine]]] ^ x[place[b[mine]]]).sum(1)
+        return out
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, rarity: np.ndarray, least: float):
-    """(line, word, place in the line's order) of the words that the prefix filter needs."""
+    """(line, word) of the words that the prefix filter needs, rarest first; words by 32 bits, as these only find candidates."""
     n = np.diff(at)
     line = words.row_of(at)
-    by = np.lexsort((h, rarity[places(h)], line))
     place = np.arange(len(h)) - np.repeat(at[:-1], n)
+    rare = np.minimum(rarity[places(h)], (1 << 24) - 1)
+    if len(h) and n.max() < 1 << 20 and len(n) < 1 << 20:  # one number holds line, rarity and place, and the words of a line are in order
+        key = np.sort(line.astype(np.uint64) << np.uint64(44) | rare.astype(np.uint64) << np.uint64(20) | place.astype(np.uint64))
+        by = np.repeat(at[:-1], n) + (key & np.uint64((1 << 20) - 1)).astype(np.int64)
+    else:
+        by = np.lexsort((h, rare, line))
     mine = place < np.repeat(n - need(n, least) + 1, n)
-    return line[mine], h[by][mine], place[mine]
+    return line[mine], h[by][mine].astype(np.uint32)
 
 
-def suspects(word: np.ndarray, tile: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, seen: np.ndarray, least: float):
+def suspects(word: np.ndarray, tile: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, seen: Maps, least: float):
     """Pairs of lines in one word's lists that no filter can part; entries sorted by (word, pair of tiles, size)."""
     n = len(word)
     group = np.zeros(n, np.int64)
@@ -123,49 +189,30 @@ def suspects(word: np.ndarray, tile: np.ndarray, name: np.ndarray, size: np.ndar
         share = np.ceil(least / (1 + least) * (size[a] + size[b]) - 1e-9)
         ok = (name[a] != name[b]) & (1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= share)
         a, b, share = a[ok], b[ok], share[ok]
-        ok = size[a] + size[b] - np.bitwise_count(seen[a] ^ seen[b]) >= 2 * share
+        ok = seen.differ(a, b) <= size[a] + size[b] - 2 * share
         yield a[ok], b[ok]
         lo = hi
 
 
-def match(least: float):
-    """Joins entries sorted by (word, tiles, size); gives links that hold suspicious lines of a list together."""
-
-    def links(table: pa.Table):
-        word, left, right, name, size, place, seen = (table[c].to_numpy() for c in ("word", "left", "right", "name", "size", "place", "seen"))
-        a, b = (np.concatenate(x) for x in zip(*suspects(word, left.astype(np.int64) << 32 | right, name, size.astype(np.int64), place.astype(np.int64), seen.view(np.uint64), least), strict=True))
-        if not len(a):
-            return None
-        near, at = np.unique(np.concatenate([name[a], name[b]]), return_inverse=True)
-        root = roots(len(near), at[: len(a)], at[len(a) :])
-        apart = np.flatnonzero(root != np.arange(len(near)))
-        return pa.RecordBatch.from_arrays([pa.array(near[apart]), pa.array(near[root[apart]])], names=["a", "b"])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows < 200_000:
-                continue
-            word = held["word"].to_numpy()
-            left, right = held["left"].to_numpy(), held["right"].to_numpy()
-            change = np.flatnonzero((word[1:] != word[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
-            if len(change):
-                cut = int(change[-1]) + 1
-                out = links(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut).combine_chunks()
-                if out is not None:
-                    yield out
-        if held is not None and held.num_rows:
-            out = links(held.combine_chunks())
-            if out is not None:
-                yield out
-
-    return run
+def match(table: pa.Table, least: float) -> pa.Table:
+    """Links that hold the suspicious lines of a bucket's lists together."""
+    joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+    word, tiles, name = joined("word", np.int32), joined("tiles", np.int64), joined("name", np.int64)
+    size, place = joined("size", np.int32).astype(np.int64), joined("place", np.int32).astype(np.int64)
+    flat = joined("seen", np.uint64)
+    width = 1 << classes(size)
+    by = np.lexsort((size, tiles, word))
+    flat, at = words.gather(flat, (np.cumsum(width) - width)[by], width[by])
+    word, tiles, name, size, place = word[by], tiles[by], name[by], size[by], place[by]
+    a, b = (np.concatenate(x) for x in zip(*suspects(word, tiles, name, size, place, Maps(flat, at), least), strict=True))
+    near, at = np.unique(np.concatenate([name[a], name[b]]), return_inverse=True)
+    root = roots(len(near), at[: len(a)], at[len(a) :])
+    apart = np.flatnonzero(root != np.arange(len(near)))
+    return pa.table({"a": pa.array(near[apart]), "b": pa.array(near[root[apart]])})
 
 
 def verify(table: pa.Table, least: float) -> pa.Table:
-    """Whether each line of a tile has an earlier match in the other tile."""
+    """Lines of a tile, or of some small groups together, that have an earlier match in the other tile or in their group."""
     table = table.combine_chunks()
     left, right = table["left"][0].as_py(), table["right"][0].as_py()
     tile = table["tile"].to_numpy()
@@ -173,6 +220,8 @@ def verify(table: pa.Table, least: float) -> pa.Table:
     value = sets.flatten().to_numpy().view(np.uint64)
     size = sets.value_lengths().to_numpy().astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
+    # Lines of different groups have no words in common
+    value = words.mix(value + np.repeat(table["root"].to_numpy().view(np.uint64), size) * np.uint64(words.BASE))
     one, two = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
     common = overlaps(value, at, one, two).astype(float)
     linked = common >= least * (size[one][:, None] + size[two][None, :] - common) - 1e-9
@@ -193,7 +242,7 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text).alias("text"))
-    rarity = spark.sparkContext.broadcast(hashed_counts(plain, "text", RARITY, _word_places).astype(np.int32))
+    rarity = spark.sparkContext.broadcast(hashed_counts(plain, "text", RARITY, _word_places, rough=True).astype(np.int32))
 
     def split(batches):
         order = rarity.value
@@ -206,51 +255,68 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
                 h, at, first, number = line_sets(b, o)
                 size = np.diff(at)
                 one, two = names(h, at)
-                line, word, place = prefixes(h, at, order, least)
+                line, word = prefixes(h, at, order, least)
                 # A line that this piece has already is in the lists already
                 _, lead = np.unique(one, return_index=True)
                 leads = np.zeros(len(size), bool)
                 leads[lead] = True
                 mine = leads[line]
-                line, word, place = line[mine], word[mine], place[mine]
+                line, word = line[mine], word[mine]
                 list_at = pa.array(np.searchsorted(line, np.arange(len(size) + 1)).astype(np.int32))
                 of = words.row_of(first)
-                entry = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(place.astype(np.int32))], ["word", "place"])
+                maps, maps_at = bit_maps(h, at)
+                maps, maps_at = words.gather(maps, maps_at[:-1], np.where(leads, np.diff(maps_at), 0))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row + of), batch.column(0).slice(lo, hi - lo).take(pa.array(of)), batch.column(2).slice(lo, hi - lo).take(pa.array(of)),
-                    pa.array(number), pa.array(one), pa.array(two), pa.array(size.astype(np.int32)), pa.array(bit_maps(h, at).view(np.int64)),
-                    pa.ListArray.from_arrays(list_at, entry),
+                    pa.array(number), pa.array(one), pa.array(two), pa.array(size.astype(np.int32)), words.string_array(maps.view(np.uint8), 8 * maps_at, pa.binary()),
+                    pa.ListArray.from_arrays(list_at, pa.array(word.view(np.int32))),
                 ], names=["row", "doc_id", "mark", "line", "one", "two", "size", "seen", "entries"])
                 row += hi - lo
 
     every = stored(plain.withColumn("mark", F.xxhash64("text")).mapInArrow(
-        split, "row long, doc_id long, mark long, line long, one long, two long, size int, seen long, entries array<struct<word:long,place:int>>"))
+        split, "row long, doc_id long, mark long, line long, one long, two long, size int, seen binary, entries array<int>"))
     listed = every.where(F.size("entries") > 0)
-    length = spark.sparkContext.broadcast(hashed_counts(listed, "entries", RARITY, _first_places))
+    length = spark.sparkContext.broadcast(hashed_counts(listed, "entries", RARITY, _first_places, rough=True))
+
+    known = length.value
+    total = int(known.sum())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
 
     def spread(batches):
-        """An entry for each word of a line's prefix; one in a crowded list goes to every pair of tiles that has its own."""
+        """An entry for each word of a line's prefix; one in a crowded list goes to every pair of tiles that has its own.
+
+        Entries of a batch that go to one bucket are packed into one row.
+        """
         known = length.value
         for batch in batches:
             entries = batch.column(3)
-            of = np.repeat(np.arange(len(entries)), entries.value_lengths().to_numpy())
-            word, place = entries.flatten().field("word").to_numpy(), entries.flatten().field("place").to_numpy()
-            tiles = np.maximum(1, -(-known[places(word.view(np.uint64))] // CROWD))
+            n = entries.value_lengths().to_numpy()
+            of = np.repeat(np.arange(len(entries)), n)
+            word, place = entries.flatten().to_numpy(), np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            tiles = np.maximum(1, -(-known[places(word.view(np.uint32))] // CROWD))
             name = batch.column(0).to_numpy()[of]
             tile = (words.mix(name.view(np.uint64)) % tiles.astype(np.uint64)).astype(np.int64)
             again = np.repeat(np.arange(len(of)), tiles)
             other = np.arange(len(again)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-            tile, of = tile[again], of[again]
+            tile, of, word, place, name = tile[again], of[again], word[again], place[again], name[again]
+            pair = np.minimum(tile, other) << 32 | np.maximum(tile, other)
+            bucket = (words.mix(word.view(np.uint32).astype(np.uint64) * np.uint64(words.BASE) + pair.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            of, word, place, name, pair, bucket = of[by], word[by], place[by], name[by], pair[by], bucket[by]
+            size = batch.column(1).to_numpy()[of]
+            maps, maps_at = words.texts(batch.column(2))
+            maps, maps_at = words.gather(maps, maps_at[:-1][of], np.diff(maps_at)[of])
+            found, at = np.unique(bucket, return_index=True)
+            at = np.append(at, len(bucket))
+            cut = lambda x, at=at: pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            bytes_at = maps_at[at]
             yield pa.RecordBatch.from_arrays([
-                pa.array(word[again]), pa.array(np.minimum(tile, other).astype(np.int32)), pa.array(np.maximum(tile, other).astype(np.int32)),
-                pa.array(name[again]), batch.column(1).take(pa.array(of)), pa.array(place[again]), batch.column(2).take(pa.array(of)),
-            ], names=["word", "left", "right", "name", "size", "place", "seen"])
+                pa.array(found.astype(np.int32)), cut(word), cut(pair), cut(name), cut(size.astype(np.int32)), cut(place.astype(np.int32)), cut(maps, bytes_at),
+            ], names=["bucket", "word", "tiles", "name", "size", "place", "seen"])
 
     entries = listed.select(F.col("one").alias("name"), "size", "seen", "entries").mapInArrow(
-        spread, "word long, left int, right int, name long, size int, place int, seen long")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.repartition(n, "word", "left", "right").sortWithinPartitions("word", "left", "right", "size")
-    groups = components(dealt.mapInArrow(match(least), "a long, b long"))
+        spread, "bucket int, word binary, tiles binary, name binary, size binary, place binary, seen binary")
+    groups = components(entries.groupBy("bucket").applyInArrow(lambda t: match(t, least), "a long, b long"))
     groups = settle(groups)
 
     # What the suspicious lines are made of, and where each first stands
@@ -263,13 +329,15 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
             buf, offsets = words.texts(batch.column(0))
             for _, _, b, o in words.pieces(buf, offsets):
                 h, at, _, _ = line_sets(b, o)
-                one, two = names(h, at)
+                one = first_names(h, at)
                 size = np.diff(at)
-                _, lead = np.unique(one, return_index=True)
-                lead = lead[(size[lead] > 0) & known[_bit(one[lead])]]
+                lead = np.flatnonzero((size > 0) & known[_bit(one)])
+                _, some = np.unique(one[lead], return_index=True)
+                lead = lead[some]
                 data, list_at = words.gather(h, at[lead], size[lead])
+                one, two = names(data, list_at)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(one[lead]), pa.array(two[lead]), pa.array(size[lead].astype(np.int32)),
+                    pa.array(one), pa.array(two), pa.array(size[lead].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(list_at.astype(np.int32)), pa.array(data.view(np.int64))),
                 ], names=["one", "two", "size", "words"])
 
@@ -283,8 +351,10 @@ def line_matches(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     found = plain.select("text").mapInArrow(reread, "one long, two long, size int, words array<long>")
     found = members.join(found.dropDuplicates(same), same)
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    found = found.select(*same, "root", "tile", "first_doc", "first_line", "words", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
-    late = found.groupBy("root", "left", "right").applyInArrow(lambda t: verify(t, least), "one long, two long, size int")
+    found = found.select(*same, "root", "tile", "tiles", "first_doc", "first_line", "words", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+    bins = max(1, groups.count() // TOGETHER)
+    bin_of = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.lit(-1) - F.pmod(F.xxhash64("root"), F.lit(1 << 40)))
+    late = found.withColumn("bin", bin_of).groupBy("bin", F.when(F.col("tiles") > 1, F.col("root")).alias("big"), "left", "right").applyInArrow(lambda t: verify(t, least), "one long, two long, size int")
     verdicts = firsts.join(late.distinct().withColumn("late", F.lit(True)), same, "left")
     out = every.drop("seen", "entries").join(verdicts, same, "left")
     later = (F.col("doc_id") > F.col("first_doc")) | (F.col("doc_id") == F.col("first_doc")) & (F.col("line") > F.col("first_line"))
@@ -318,7 +388,7 @@ def _suspicious_bits(groups: DataFrame) -> np.ndarray:
         for i, bits in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
 
-    got = groups.select("node").mapInArrow(run, "slice int, bits binary").repartition(64, "slice").mapInArrow(merge, "slice int, bits binary").toArrow()
+    got = groups.select("node").mapInArrow(run, "slice int, bits binary").repartition(16, "slice").mapInArrow(merge, "slice int, bits binary").toArrow()
     out = np.zeros(SEEN // 8, np.uint8)
     width = len(out) // 64
     for i, bits in zip(got["slice"].to_pylist(), got["bits"].to_pylist(), strict=True):

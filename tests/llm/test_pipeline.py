@@ -37,7 +37,7 @@ def test_benchmark_stage(spark, sf):
     clean = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'de'").limit(50)
     given = clean.unionByName(docs(spark, [(-5, f"some words before. {item} and after")]))
     kept = {r.doc_id for r in P.without_benchmark(spark, given, sf).collect()}
-    assert -5 not in kept and len(kept) >= 45
+    assert -5 not in kept and len(kept) >= 0.9 * clean.count()
 
 
 def test_run(spark, sf):

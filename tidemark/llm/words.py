@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 import numpy as np
 import pyarrow as pa
 
@@ -43,17 +46,15 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, np.ndarray] = {}
-
-
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
+    """base**0 .. base**(n-1) modulo 2**64; remembered by the process, and outside this module, which travels with every function."""
+    kept = sys.modules.setdefault("tidemark_llm_powers", ModuleType("tidemark_llm_powers")).__dict__
+    if len(kept.get(base, ())) < n:
         size = 1 << max(10, (n - 1).bit_length())
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
-        _powers[base] = np.multiply.accumulate(out)
-    return _powers[base][:n]
+        kept[base] = np.multiply.accumulate(out)
+    return kept[base][:n]
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -235,6 +235,32 @@ def test_items_in_blocks(spark, monkeypatch):
     assert got == {i: [i] for i in range(5)} | {50: [0, 3], 51: []}
 
 
+def planted(spark, sizes, copies, seed, size=150):
+    """Texts of frequent and rare words, of which some hold an item verbatim: documents, benchmark and the pairs (document, item)."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(2, 5))) for _ in range(3000)]
+    share = [1 / (i + 3) for i in range(len(vocabulary))]
+    text = lambda n: r.choices(vocabulary, share, k=n)
+    items = [text(n - n // 4) + ["."] + text(n // 4) for n in sizes]
+    rows, pairs = [], set()
+    for item, doc in enumerate(x for x, n in enumerate(copies) for _ in range(n)):
+        rows.append((item, " ".join(text(r.randrange(size)) + items[doc] + text(r.randrange(size)))))
+        pairs.add((item, doc))
+    rows += [(len(rows) + i, " ".join(text(size))) for i in range(200)]
+    return frame(spark, rows), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"), pairs
+
+
+def found_items(docs, bench):
+    return {(x.doc_id, m.item_id) for x in contamination.find_items(docs, bench, carry=False).collect() for m in x.matches}
+
+
+@pytest.mark.parametrize("n", [200, 1000, 2000])
+def test_recall_does_not_fall_with_items(spark, n):
+    sizes = [16 + i % 44 for i in range(n)]
+    docs, bench, pairs = planted(spark, sizes, [1] * n, n)
+    assert pairs <= found_items(docs, bench)
+
+
 # 9 Toxicity
 
 

@@ -261,6 +261,17 @@ def test_recall_does_not_fall_with_items(spark, n):
     assert pairs <= found_items(docs, bench)
 
 
+@pytest.mark.parametrize("size", [4, 6, 8, 16, 48, 700, 1500])
+def test_items_of_any_length(spark, size):
+    docs, bench, pairs = planted(spark, [size] * 12, [5] * 12, size)
+    assert pairs <= found_items(docs, bench)
+
+
+def test_widely_leaked_items(spark):
+    docs, bench, pairs = planted(spark, [16, 18, 24], [100, 100, 100], 5, 400)
+    assert pairs <= found_items(docs, bench)
+
+
 # 9 Toxicity
 
 

@@ -272,6 +272,17 @@ def test_widely_leaked_items(spark):
     assert pairs <= found_items(docs, bench)
 
 
+def test_few_heavy_words_can_be_enough(spark):
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(40)]
+    rare = [f"rare{i}" for i in range(9)]
+    item = sum(([x, *r.sample(common, 4)] for x in rare), []) + ["."] + ["answer", "stands"]
+    other = [x if not x.startswith("c") else r.choice(common) for x in item]
+    docs = frame(spark, [(0, " ".join(other))] + [(1 + i, " ".join(r.choices(common, k=300))) for i in range(300)])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert found_items(docs, bench) == {(0, 7)}
+
+
 # 9 Toxicity
 
 

@@ -232,3 +232,14 @@ def test_recall_of_the_cells():
     a, b = lattice.cells(u), lattice.cells(0.98 * u + np.sqrt(1 - 0.98**2) * w)
     table, _ = lattice.meeting(a, b)
     assert (table < lattice.TABLES).mean() > 0.999
+
+
+@pytest.mark.parametrize("size", [2, 8, 16, 32, 64, 768])
+def test_close_vectors_meet_at_any_size(size):
+    r = np.random.default_rng(size)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = unit(r.standard_normal((3000, size)))
+    w = r.standard_normal(u.shape)
+    w = unit(w - (w * u).sum(1, keepdims=True) * u)
+    table, _ = lattice.meeting(lattice.cells(u), lattice.cells(0.98 * u + np.sqrt(1 - 0.98**2) * w))
+    assert (table < lattice.TABLES).mean() > 0.999

@@ -24,7 +24,7 @@ from tidemark.session import settle
 
 LEAST = 0.98
 #: Tables, probed cells in each, and the size of a lattice step: pairs at ``LEAST`` meet with a chance over 0.9999.
-TABLES, PROBES, CELL = 5, 12, 0.1
+TABLES, PROBES, CELL, SIZE = 5, 12, 0.1, 64
 #: Classes in a tile of a crowded cell.
 TILE = 1024
 
@@ -62,10 +62,13 @@ def decode(y: np.ndarray) -> np.ndarray:
 
 
 def projection(table: int, size: int) -> np.ndarray:
-    """Eight fixed orthonormal random directions, scaled so that ``CELL`` is one lattice step."""
+    """Eight fixed orthonormal random directions, scaled so that ``CELL`` is one lattice step at ``SIZE`` dimensions.
+
+    Eight of n dimensions hold a share of 8 / n of a squared distance, so the step shrinks with the root of n.
+    """
     random = np.random.default_rng([table, size])
     rows = max(size, 8)
-    return np.linalg.qr(random.standard_normal((rows, 8)))[0][:size] / CELL
+    return np.linalg.qr(random.standard_normal((rows, 8)))[0][:size] / (CELL * np.sqrt(SIZE / rows))
 
 
 _FACTORS = words._mixed(8, 3) | np.uint64(1)

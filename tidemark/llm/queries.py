@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, toxicity, windows
+from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, resampling, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,39 @@ def benchmark_decontamination(spark, sf):
 def context_mixing(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", held_out("doc_id", 5, 1).alias("held_out"))
     return mixing.score(docs, mixing.train(docs.where(~F.col("held_out"))))
+
+
+@query("op12_importance_resampling", r"""
+with crc_table as (
+  select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as crcs
+  from (select unnest(range(256)) as b)),
+words as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents),
+aims as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+spelt as (select w, hex(encode(w)) as h from (select w from words union select w from aims)),
+bucketed as (
+  select w, xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda i: cast('0x' || h[i:i + 1] as bigint)),
+                            lambda c, b: xor(c >> 8, crcs[cast(xor(c, b) & 255 as int) + 1])), 4294967295) % 10000 as bucket
+  from spelt, crc_table),
+s as (select bucket, count(*) as n from words join bucketed using (w) group by bucket),
+t as (select bucket, count(*) as n from aims join bucketed using (w) group by bucket),
+gains as (
+  select w, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select sum(n) from s) + 10000)::double
+                                 / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from t), 0) + 10000)::double))) as bigint) as gain
+  from bucketed left join s using (bucket) left join t using (bucket)),
+weights as (select doc_id, count(*) as n_features, sum(gain) as weight from words join gains using (w) group by doc_id),
+scored as (
+  select d.doc_id, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+         cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || sha256('2024:' || d.doc_id)[1:8] as bigint) + 0.5::double) / 4294967296)))
+              as bigint) as score
+  from documents d left join weights using (doc_id)),
+able as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank
+from scored left join able using (doc_id)""")
+def importance_resampling(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, sf, "benchmark"), carry=False)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, resampling, toxicity, windows
+from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, pieces, resampling, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,6 +179,14 @@ def context_mixing(spark, sf):
     return mixing.score(docs, mixing.train(docs.where(~F.col("held_out"))))
 
 
+@query("op11_sentencepiece")
+def sentencepiece(spark, sf):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), path, carry=False)
+    both = pieces.decode(ids, path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op12_importance_resampling", r"""
 with crc_table as (
   select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as crcs

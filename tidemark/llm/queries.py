@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, contamination, jaccard, language, lattice, lines, mixing, packing, pieces, resampling, toxicity, windows
+from tidemark.llm import chat, contamination, conversations, jaccard, language, lattice, lines, mixing, packing, pieces, resampling, toxicity, windows
 from tidemark.llm.jobs import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,21 +187,24 @@ def sentencepiece(spark, sf):
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op12_importance_resampling", r"""
-with crc_table as (
-  select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as crcs
-  from (select unnest(range(256)) as b)),
-words as (
-  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from documents),
-aims as (
-  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
-spelt as (select w, hex(encode(w)) as h from (select w from words union select w from aims)),
-bucketed as (
-  select w, xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda i: cast('0x' || h[i:i + 1] as bigint)),
-                            lambda c, b: xor(c >> 8, crcs[cast(xor(c, b) & 255 as int) + 1])), 4294967295) % 10000 as bucket
-  from spelt, crc_table),
+#: CRC-32 in SQL: a list of 256 remainders from the polynomial, and the loop over the bytes of a text.
+CRCS = """select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as crcs
+  from (select unnest(range(256)) as b)"""
+
+
+def crc32(text: str) -> str:
+    at = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: cast('0x' || hex(encode({text}))[i:i + 1] as bigint))"
+    return f"xor(list_reduce([4294967295] || {at}, lambda c, b: xor(c >> 8, crcs[cast(xor(c, b) & 255 as int) + 1])), 4294967295)"
+
+
+RUNS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query("op12_importance_resampling", f"""
+with crc_table as ({CRCS}),
+words as (select doc_id, unnest({RUNS}) as w from documents),
+aims as (select unnest({RUNS}) as w from benchmark),
+bucketed as (select w, {crc32('w')} % 10000 as bucket from (select w from words union select w from aims), crc_table),
 s as (select bucket, count(*) as n from words join bucketed using (w) group by bucket),
 t as (select bucket, count(*) as n from aims join bucketed using (w) group by bucket),
 gains as (
@@ -221,3 +224,71 @@ def importance_resampling(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, table(spark, sf, "benchmark"), carry=False)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_conversation_repair", rf"""
+with recursive crc_table as ({CRCS}),
+faulty as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32('k')} % 20 as fault
+  from (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations), crc_table),
+damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when fault = 3 then [0, 1] else [0] end) as copy
+  from faulty where fault <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos, left(role, 1) as initial from damaged),
+judged as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+         row_number() over (partition by conv_id, role, text order by pos) > 1 as late,
+         not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as open_end,
+         coalesce(lag(initial) over (partition by conv_id order by pos) || initial not in ('su', 'ua', 'au'), false) as illegal
+  from placed),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank,
+         count(*) filter (where late and not blank) as duplicate, count(*) filter (where open_end and not late and not blank) as truncated,
+         count(*) filter (where illegal) as illegal
+  from judged group by conv_id),
+inserted(start, state, edits, said) as (values
+  (0, 0, '', []::varchar[]), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']),
+  (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']),
+  (3, 3, '', []), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+moved as (
+  select start, edits, said, state, e, case when e = 'D' then state when state = 2 then 3 else 2 end as ending
+  from inserted, (values ('D'), ('K'), ('R')) as kinds(e)),
+moves as (
+  select start, edits || e as edits, said, e, state, ending, case when ending = 2 then 'u' else 'a' end as initial from moved
+  union all select start, edits || 'K', said, 'K', 0, 1, 's' from moved where state = 0 and e = 'K'),
+walk as (
+  select conv_id, cast(0 as bigint) as pos, 0 as state, struct_pack(cost := cast(0 as bigint), audit := '', said := []::varchar[]) as way
+  from (select distinct conv_id from judged)
+  union all
+  select w.conv_id, w.pos + 1, m.ending, min(struct_pack(
+           cost := cast(w.way.cost + 3 * (length(m.edits) - 1) + case m.e when 'D' then 4 when 'R' then 3 else 0 end
+                        + case when m.e <> 'D' and j.open_end then 3 else 0 end as bigint),
+           audit := w.way.audit || m.edits,
+           said := w.way.said || m.said || case m.e when 'D' then [] when 'K' then [j.role || ':' || j.text]
+                                                    else [case m.initial when 'u' then 'user:' else 'assistant:' end || j.text] end))
+  from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.pos = w.pos + 1 join moves m on m.start = w.state
+  where m.e = 'D' or not j.blank and not j.late and (m.e = 'R' or m.initial = j.initial)
+  group by w.conv_id, w.pos, m.ending),
+ended as (
+  select w.conv_id, min(struct_pack(
+           cost := w.way.cost + case w.state when 1 then 6 when 2 then 3 else 0 end,
+           audit := w.way.audit || case w.state when 1 then 'II' when 2 then 'I' else '' end,
+           said := w.way.said || case w.state when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end)) as way
+  from walk w join (select conv_id, max(pos) as n from judged group by conv_id) n on n.conv_id is not distinct from w.conv_id and n.n = w.pos
+  group by w.conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(way.cost, 0) as cost, coalesce(way.audit, '') as audit,
+       sha256(coalesce(array_to_string(way.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts on counts.conv_id is not distinct from c.conv_id left join ended on ended.conv_id is not distinct from c.conv_id""")
+def conversation_repair(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.report(conversations.damaged(rows))
+    # A conversation that lost all its rows has nothing to count
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    nothing = rows.select(F.col("conv_id").alias("conv")).distinct().select(
+        "conv", *[F.lit(0).cast("long").alias(c) for c in counts], F.lit("").alias("audit"), F.lit(None).cast("string").alias("repaired_sha256"))
+    both = found.unionByName(nothing).groupBy(F.col("conv").alias("conv_id"))
+    return both.agg(*[F.max(c).alias(c) for c in [*counts, "audit"]], F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

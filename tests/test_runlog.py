@@ -105,6 +105,62 @@ def test_admission(spark, group_rows):
     assert rows(got, "run") == sorted([(r,) for r in want], key=repr)
 
 
+def greedy(waiting, caps, taken):
+    """Runs and running sums by a literal loop."""
+    want = []
+    for res in sorted({w[1] for w in waiting}, key=repr):
+        limit = caps.get(res)
+        free = None if limit is None else limit - taken.get(res, 0)
+        mine = sorted((w for w in waiting if w[1] == res), key=lambda w: (w[2] is None, -(w[2] or 0), w[3] is not None, w[3] or 0, w[0]))
+        total = 0
+        for w in mine:
+            size = 1 if w[3] is None else w[3]
+            if free is None or size <= free:
+                total += size
+                free = None if free is None else free - size
+                want.append((w[0], total))
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("seed, block", [(1, 3), (2, 7), (3, 16_384)])
+def test_greedy_admission(spark, seed, block):
+    rnd = random.Random(seed)
+    caps = {"a": 100, "b": 0, "c": None, "d": 35, "e": 400, None: 5}
+    waiting = [(i, rnd.choice(["a", "b", "c", "d", "e", "nowhere", None]), rnd.choice([None, 1, 2, 3]), rnd.choice([None, 0, 1, 2, 5, 30, 90])) for i in range(300)]
+    df = spark.createDataFrame(waiting, "run int, res string, imp int, load int")
+    cap = spark.createDataFrame([(k, v) for k, v in caps.items() if k], "res string, capacity int")
+    used = spark.createDataFrame([("a", 20), ("a", 10), ("d", 40)], "res string, load int")
+    got = L.admit_greedy(df, cap, "res", "run", "imp", "load", used=used, block=block)
+    caps = {k: v for k, v in caps.items() if k}
+    assert rows(got, "run", "load_sum") == greedy(waiting, caps, {"a": 30, "d": 40})
+
+
+def test_greedy_admission_skips_over_many_runs(spark, monkeypatch):
+    """One resource, every second load too large: few rounds, and the runs lie in many blocks."""
+    rounds = []
+    monkeypatch.setattr(L, "_greedy_fold", lambda *x, fold=L._greedy_fold: rounds.append(1) or fold(*x))
+    n = 40_000
+    waiting = [(i, "r", 0, 1000 + i % 2 * 10**6 if i < n // 2 else 1 + i % 3) for i in range(n)]
+    df = spark.createDataFrame(waiting, "run int, res string, imp int, load int").withColumn("imp", -F.col("run"))
+    waiting = [(i, r, -i, x) for i, r, _, x in waiting]
+    cap = spark.createDataFrame([("r", 3_500_123)], "res string, capacity int")
+    got = L.admit_greedy(df, cap, "res", "run", "imp", "load", block=1000)
+    assert rows(got, "run", "load_sum") == greedy(waiting, {"r": 3_500_123}, {})
+    assert len(rounds) <= 10
+
+
+def test_greedy_admission_of_decimals_and_nothing(spark):
+    df = spark.createDataFrame([(1, "r", 1, "0.70"), (2, "r", 1, "0.40"), (3, "r", 1, "0.31")], "run int, res string, imp int, load string")
+    df = df.withColumn("load", F.col("load").cast("decimal(5,2)"))
+    cap = spark.createDataFrame([("r", 1)], "res string, capacity int")
+    got = {r["run"]: str(r["load_sum"]) for r in L.admit_greedy(df, cap, "res", "run", "imp", "load").collect()}
+    assert got == {3: "0.31", 2: "0.71"}
+    assert L.admit_greedy(df.limit(0), cap, "res", "run", "imp", "load").collect() == []
+    bad = df.withColumn("load", F.lit(-1))
+    with pytest.raises(Exception, match="negative load"):
+        L.admit_greedy(bad, cap, "res", "run", "imp", "load").collect()
+
+
 def test_transitions(spark):
     t = lambda m: dt.datetime(2024, 1, 1, 0, m)
     log = [(1, t(i), s) for i, s in enumerate(["submitted", "running", "failed", "submitted", "succeeded"])]

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tidemark.operators.aggregates import latest_per_key
 from tidemark.operators.hierarchy import bottom_up_fold
 from tidemark.operators.ordered import GROUP_ROWS, By, row_number, running_sum, shift
 from tidemark.operators.predicates import all_of
 from tidemark.operators.skew import lookup
+from tidemark.session import settle
 
 # Run statuses in the order of the tables below.
 STATUSES = ["submitted", "running", "failed", "suspended", "succeeded", "skipped"]
@@ -153,6 +156,19 @@ def rollup_sequence(
     return level.select(*group, F.get(names, F.get("__f", F.lit(0))).alias(name))
 
 
+def _with_free(
+    waiting: DataFrame, capacity: DataFrame, resource: str, load: str, limit: str, used: DataFrame | None
+) -> DataFrame:
+    """``waiting`` with what is free of each run's resource; NULL where there is no limit."""
+    free = capacity.select(F.col(resource).alias("__r"), F.col(limit).alias("__free"))
+    if used is not None:
+        taken = used.groupBy(F.col(resource).alias("__u")).agg(F.sum(load).alias("__taken"))
+        free = free.join(taken, F.col("__r") == F.col("__u"), "left").select(
+            "__r", (F.col("__free") - F.coalesce("__taken", F.lit(0))).alias("__free")
+        )
+    return lookup(waiting, free, {resource: "__r"}, ["__free"])
+
+
 def admit_by_capacity(
     waiting: DataFrame,
     capacity: DataFrame,
@@ -169,13 +185,7 @@ def admit_by_capacity(
     A load that is not given counts 1 and a missing capacity means no limit.  ``used``
     has the load already running per resource.
     """
-    free = capacity.select(F.col(resource).alias("__r"), F.col(limit).alias("__free"))
-    if used is not None:
-        taken = used.groupBy(F.col(resource).alias("__u")).agg(F.sum(load).alias("__taken"))
-        free = free.join(taken, F.col("__r") == F.col("__u"), "left").select(
-            "__r", (F.col("__free") - F.coalesce("__taken", F.lit(0))).alias("__free")
-        )
-    known = lookup(waiting, free, {resource: "__r"}, ["__free"])
+    known = _with_free(waiting, capacity, resource, load, limit, used)
     loaded = known.withColumn("__load", F.coalesce(F.col(load), F.lit(1)))
     order = [By(importance, desc=True), By(load, nulls_first=True), By(run)]
     summed = running_sum(loaded, [resource], order, "__load", "load_sum", group_rows)
@@ -183,6 +193,101 @@ def admit_by_capacity(
     return summed.where(fits).select(*waiting.columns, "load_sum")
 
 
+#: Runs of a resource that are tried one after the other inside one row.
+GREEDY_BLOCK = 16_384
+_CHUNK = 128
+
+
+def _greedy_fold(free: Column, members: Column, kind: DataType) -> Column:
+    """(free, taken): what is left after each member was taken if it still fitted, and the numbers of those taken.
+
+    ``members`` are structs (n, load) in order.  Taken numbers are gathered chunk by chunk, as appending copies an array.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def one(acc: Column, m: Column) -> Column:
+        fits = m["load"] <= acc["free"]
+        left = F.when(fits, acc["free"] - m["load"]).otherwise(acc["free"]).cast(kind)
+        return F.struct(left.alias("free"), F.when(fits, F.concat(acc["taken"], F.array(m["n"]))).otherwise(acc["taken"]).alias("taken"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["free"].alias("free"), none.alias("taken")), one)
+        return F.struct(done["free"].alias("free"), F.concat(acc["taken"], done["taken"]).alias("taken"))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(members) - 1) / _CHUNK).cast("int")), lambda i: F.slice(members, i * _CHUNK + 1, _CHUNK))
+    return F.aggregate(chunks, F.struct(free.cast(kind).alias("free"), none.alias("taken")), chunk)
+
+
+def admit_greedy(
+    waiting: DataFrame,
+    capacity: DataFrame,
+    resource: str,
+    run: str,
+    importance: str,
+    load: str,
+    limit: str = "capacity",
+    used: DataFrame | None = None,
+    block: int = GREEDY_BLOCK,
+) -> DataFrame:
+    """Runs admitted per resource when each is tried in turn, most important first, and admitted if it still fits.
+
+    Unlike ``admit_by_capacity``, a run that does not fit does not end the resource: smaller ones behind it are tried.
+    ``load_sum`` is what has been admitted of the resource up to the run.  A load that is not given counts 1, a missing
+    capacity means no limit, a NULL resource has none either, and a negative load fails the job.
+
+    What is free only shrinks, so a load above it is out for good.  The runs of a resource are numbered and cut into
+    blocks.  In one round a resource admits whole blocks of loads that can still fit, as long as their sums do, and the
+    block that is too much for it is folded run by run inside one row.  A round is a join by (resource, block), and blocks
+    whose smallest load no longer fits are passed over unread, so there are as many rounds as blocks in which something
+    is admitted and something else is not.  Loads should be integers or decimals: sums of doubles depend on their order.
+    """
+    known = _with_free(waiting, capacity, resource, load, limit, used).withColumn("__load", F.coalesce(F.col(load), F.lit(1)))
+    kind = known.select(F.sum("__load").alias("s")).schema["s"].dataType
+    checked = F.when(F.col("__load") < 0, F.raise_error(F.lit("negative load"))).otherwise(F.col("__load").cast(kind))
+    order = [By(importance, desc=True), By(load, nulls_first=True), By(run)]
+    limited = known.where(F.col("__free").isNotNull()).withColumn("__load", checked)
+    rows = row_number(limited, [resource], order, "__n", group_rows=0)
+    rows = settle(rows.withColumn("__block", F.floor((F.col("__n") - 1) / block)))
+    key = F.col(resource)
+    sizes = rows.groupBy(key.alias("r"), F.col("__block").alias("b")).agg(
+        F.min("__load").alias("least"), F.max("__load").alias("most"), F.sum("__load").alias("total"), F.first("__free").cast(kind).alias("free"))
+    sizes = settle(sizes)
+    # What is free of a resource, and its next block
+    state = settle(sizes.groupBy("r").agg(F.first("free").alias("free"), F.lit(0).cast("bigint").alias("at")))
+    sizes = sizes.drop("free")
+    decided = []
+    while True:
+        ahead = sizes.join(state.withColumnRenamed("r", "__s"), (F.col("r") == F.col("__s")) & (F.col("b") >= F.col("at")) & (F.col("least") <= F.col("free")))
+        ahead = settle(ahead.drop("__s"))
+        if ahead.isEmpty():
+            break
+        # Sums without the loads that are out; only blocks that have some are read
+        mixed = ahead.where(F.col("most") > F.col("free")).select(F.col("r").alias("mr"), F.col("b").alias("mb"), F.col("free").alias("bound"))
+        live = rows.join(mixed, (key == F.col("mr")) & (F.col("__block") == F.col("mb"))).where(F.col("__load") <= F.col("bound"))
+        live = live.groupBy("mr", "mb").agg(F.sum("__load").alias("live"))
+        summed = ahead.join(live, (F.col("r") == F.col("mr")) & (F.col("b") == F.col("mb")), "left").drop("mr", "mb")
+        summed = running_sum(summed.withColumn("live", F.coalesce("live", "total")), ["r"], ["b"], "live", "upto", group_rows=0)
+        summed = settle(summed.withColumn("left", (F.col("free") - F.col("upto") + F.col("live")).cast(kind)))
+        whole = summed.where(F.col("upto") <= F.col("free")).select("r", "b", "free", F.lit(None).cast("array<bigint>").alias("taken"))
+        over = summed.where(F.col("upto") > F.col("free")).groupBy("r").agg(F.min(F.struct("b", "left")).alias("first")).select("r", "first.b", "first.left")
+        members = rows.join(over.select(F.col("r").alias("mr"), F.col("b").alias("mb"), "left"), (key == F.col("mr")) & (F.col("__block") == F.col("mb")))
+        members = members.where(F.col("__load") <= F.col("left")).groupBy("mr", "mb", "left").agg(
+            F.sort_array(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__load").alias("load")))).alias("members"))
+        folded = members.select(F.col("mr").alias("r"), F.col("mb").alias("b"), _greedy_fold(F.col("left"), F.col("members"), kind).alias("f"))
+        folded = settle(folded.select("r", "b", "f.free", "f.taken"))
+        decided += [whole, folded]
+        state = settle(folded.select("r", "free", (F.col("b") + 1).alias("at")))
+    unlimited = known.where(F.col("__free").isNull()).select(*waiting.columns, "__load")
+    admitted = unlimited.withColumn("__load", checked)
+    if decided:
+        verdict = reduce(DataFrame.unionByName, decided).select(F.col("r").alias("mr"), F.col("b").alias("mb"), F.col("free").alias("bound"), "taken")
+        tried = rows.join(verdict, (key == F.col("mr")) & (F.col("__block") == F.col("mb")))
+        fits = F.when(F.col("taken").isNull(), F.col("__load") <= F.col("bound")).otherwise(F.array_contains("taken", F.col("__n")))
+        admitted = admitted.unionByName(tried.where(fits).select(*waiting.columns, "__load"))
+    summed = running_sum(admitted, [resource], order, "__load", "load_sum", group_rows=0)
+    return summed.select(*waiting.columns, "load_sum")
+
+
 def overdue(current: DataFrame, limits: DataFrame, status: str, since: str, as_of: Column) -> DataFrame:
     """Runs that have been in their status longer than the limit set for it, in minutes."""
     bound = limits.select(F.col("status").alias("__s"), F.col("minutes").alias("limit_minutes"))

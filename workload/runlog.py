@@ -163,6 +163,19 @@ ADMIT_CTE = """
           from orders group by 1)"""
 
 
+def admission(spark, sf):
+    """Orders that wait for their priority, what runs already, and the capacities."""
+    orders = table(spark, sf, "orders").withColumn("dom", F.dayofmonth("o_orderdate"))
+    load = F.when(F.col("o_orderstatus") != "F", F.col("dom") + 1)
+    importance = F.round(F.col("o_totalprice") / 1000).cast("int")
+    waiting = orders.where(F.col("o_orderstatus") != "P").select(
+        "o_orderkey", "o_orderpriority", importance.alias("importance"), load.alias("load")
+    )
+    used = orders.where(F.col("o_orderstatus") == "P").select("o_orderpriority", F.col("dom").alias("load"))
+    limit = F.when(F.col("o_orderpriority") != "5-LOW", F.round(F.sum("dom") * F.expr("0.75bd")).cast("bigint"))
+    return waiting, used, orders.groupBy("o_orderpriority").agg(limit.alias("capacity"))
+
+
 @query(
     "admit_by_capacity",
     f"""with {ADMIT_CTE},
@@ -173,19 +186,36 @@ ADMIT_CTE = """
     where capacity is null or load_sum <= capacity - coalesce(taken, 0)""",
 )
 def admit_by_capacity(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("dom", F.dayofmonth("o_orderdate"))
-    load = F.when(F.col("o_orderstatus") != "F", F.col("dom") + 1)
-    importance = F.round(F.col("o_totalprice") / 1000).cast("int")
-    waiting = orders.where(F.col("o_orderstatus") != "P").select(
-        "o_orderkey", "o_orderpriority", importance.alias("importance"), load.alias("load")
-    )
-    used = orders.where(F.col("o_orderstatus") == "P").select("o_orderpriority", F.col("dom").alias("load"))
-    limit = F.when(F.col("o_orderpriority") != "5-LOW", F.round(F.sum("dom") * F.expr("0.75bd")).cast("bigint"))
-    capacity = orders.groupBy("o_orderpriority").agg(limit.alias("capacity"))
+    waiting, used, capacity = admission(spark, sf)
     admitted = L.admit_by_capacity(waiting, capacity, "o_orderpriority", "o_orderkey", "importance", "load", used=used)
     return admitted.select("o_orderkey", "load_sum")
 
 
+@query(
+    "admit_greedy",
+    f"""with {ADMIT_CTE},
+    free as (select o_orderpriority, cast(capacity - coalesce(taken, 0) as bigint) as free from cap left join u using (o_orderpriority)),
+    runs as (select o_orderpriority, list(struct_pack(id := cast(o_orderkey as bigint), size := cast(coalesce(load, 1) as bigint), free := cast(0 as bigint),
+                       upto := cast(0 as bigint), fits := false)
+                     order by importance desc nulls last, load asc nulls first, o_orderkey) as l
+             from w group by o_orderpriority),
+    -- One run after the other; the last entry of the list so far says what is left
+    tried as (select list_reduce(list_transform(l, lambda x: [x]), lambda done, x: done || [struct_pack(
+                       id := x[1].id, size := x[1].size,
+                       free := case when x[1].size <= done[-1].free then done[-1].free - x[1].size else done[-1].free end,
+                       upto := case when x[1].size <= done[-1].free then done[-1].upto + x[1].size else done[-1].upto end,
+                       fits := x[1].size <= done[-1].free)],
+                     [struct_pack(id := cast(-1 as bigint), size := cast(0 as bigint), free := coalesce(free, 9000000000000000000),
+                                  upto := cast(0 as bigint), fits := false)]) as t
+              from runs left join free using (o_orderpriority))
+    select x.id as o_orderkey, x.upto as load_sum from (select unnest(t) as x from tried) where x.fits""",
+)
+def admit_greedy(spark, sf):
+    waiting, used, capacity = admission(spark, sf)
+    admitted = L.admit_greedy(waiting, capacity, "o_orderpriority", "o_orderkey", "importance", "load", used=used)
+    return admitted.select("o_orderkey", "load_sum")
+
+
 @query(
     "overdue",
     f"""with {LOG_CTE}, lim as (select * from (values ('running', 30), ('submitted', 120), ('failed', 5)) as v(s, minutes))

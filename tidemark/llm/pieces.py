@@ -31,7 +31,7 @@ PIECE = 1 << 20
 #: Characters in which longest matches are sought at once.
 WINDOW = 1 << 18
 #: Segments, and pairs of pieces, that a worker remembers in each of two generations, and the longest remembered segment.
-CACHE, LONGEST = 200_000, 64
+CACHE, LONGEST = 100_000, 64
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 

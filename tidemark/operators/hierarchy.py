@@ -8,7 +8,7 @@ questions (flattening, precedence, subtrees) are then answered inside the row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import count
 
@@ -17,42 +17,44 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import GROUP_ROWS, row_number
 from tidemark.operators.projection import label_indented
-from tidemark.operators.reshape import render
 from tidemark.operators.skew import lookup
-from tidemark.session import new_folder, settle, settle_any, slices
+from tidemark.session import settle, settle_any
 
 # Node kinds.
 SEQUENCE, PARALLEL, ATOM = 0, 1, 2
 
-def root_paths(
-    nodes: DataFrame, key: str | Column, parent: str | Column, step: Column, name: str = "steps"
-) -> DataFrame:
-    """(key, array of ``step`` from the root down to the node).
+def climb(nodes: DataFrame, key: Column, parent: Column, value: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """(__k, __v): the values from the root down to each node, put together by ``join(upper, lower)``, which is associative.
 
     Nodes whose chain of parents breaks off are left out.  A round finishes or drops at least
     one node of every forest, however deep; one that does neither has only cycles left, and raises.
     """
-    k = F.col(key) if isinstance(key, str) else key
-    p = F.col(parent) if isinstance(parent, str) else parent
     unfinished = F.col("__up").isNotNull()
-    state, more = settle_any(nodes.select(k.alias("__k"), p.alias("__up"), F.array(step).alias(name)), unfinished)
-    known = [state.where(~unfinished)]  # paths that begin at a root; written once, read from then on
+    state, more = settle_any(nodes.select(key.alias("__k"), parent.alias("__up"), value.alias("__v")), unfinished)
+    known = [state.where(~unfinished)]  # what begins at a root; written once, read from then on
     while more:
         before = more
         low = state.where(unfinished)
         high = reduce(DataFrame.unionByName, known, low).alias("high")
         low = low.alias("low")
         longer = low.join(high, F.col("low.__up") == F.col("high.__k")).select(
-            F.col("low.__k").alias("__k"),
-            F.col("high.__up").alias("__up"),
-            F.concat(F.col(f"high.{name}"), F.col(f"low.{name}")).alias(name),
+            F.col("low.__k").alias("__k"), F.col("high.__up").alias("__up"), join(F.col("high.__v"), F.col("low.__v")).alias("__v")
         )
         state, more = settle_any(longer, unfinished)
         if more == before:
             raise ValueError("the parents form a cycle")
         known.append(state.where(~unfinished))
-    paths = reduce(DataFrame.unionByName, known)
-    return paths.select(F.col("__k").alias(key if isinstance(key, str) else "key"), name)
+    return reduce(DataFrame.unionByName, known).select("__k", "__v")
+
+
+def root_paths(
+    nodes: DataFrame, key: str | Column, parent: str | Column, step: Column, name: str = "steps"
+) -> DataFrame:
+    """(key, array of ``step`` from the root down to the node); see ``climb``."""
+    k = F.col(key) if isinstance(key, str) else key
+    p = F.col(parent) if isinstance(parent, str) else parent
+    paths = climb(nodes, k, p, F.array(step), lambda upper, lower: F.concat(upper, lower))
+    return paths.select(F.col("__k").alias(key if isinstance(key, str) else "key"), F.col("__v").alias(name))
 
 
 def tree_paths(nodes: DataFrame, key: str, parent: str, position: str) -> DataFrame:
@@ -83,27 +85,48 @@ def predecessors(edges: DataFrame, starts: DataFrame, src: str, dst: str) -> Dat
     return reachable(edges, starts, dst, src)
 
 
-def tree_flatten(nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+def tree_flatten(
+    nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int = GROUP_ROWS, forest: Sequence[str] = ()
+) -> DataFrame:
     """Merge a node into its parent when both are of one kind.
 
     Children of a merged node move to the nearest node that stays, numbered from 0
-    in the order of their paths.
+    in the order of their paths.  With ``forest``, keys count within one combination of its columns,
+    where NULL is a value like any other; parents are looked for there, and roots are numbered there.
     """
+    of = [F.col(c) for c in forest]
+    # Equality of structs takes two NULL parts as equal, as a condition on each part would not
+    here = F.struct(*of, F.col(key).alias("id")) if forest else F.col(key)
+    above_here = F.when(F.col(parent).isNotNull(), F.struct(*of, F.col(parent).alias("id"))) if forest else F.col(parent)
     step = F.struct(F.col(key).alias("id"), F.col(kind).alias("kind"), F.col(position).cast("bigint").alias("position"))
-    steps = root_paths(nodes, key, parent, step)
+    steps = root_paths(nodes, here, above_here, step)
+    own = F.col("key")
     last, above = F.element_at("steps", -1), F.try_element_at("steps", F.lit(-2))
     stays = F.size("steps") == 1
     stays = stays | (last["kind"] != above["kind"])
     upper = F.slice("steps", 1, F.size("steps") - 1)
     kept_upper = F.filter(upper, lambda s, i: (i == 0) | (s["kind"] != F.get("steps", i - 1)["kind"]))
     kept = steps.where(stays).select(
-        key,
+        *[own[c].alias(c) for c in forest],
+        last["id"].alias(key),
         F.try_element_at(kept_upper, F.lit(-1))["id"].alias(parent),
         last["kind"].alias(kind),
         F.transform("steps", lambda s: s["position"]).alias("__path"),
     )
-    numbered = row_number(kept, [parent], ["__path"], "__n", group_rows)
-    return numbered.select(key, parent, (F.col("__n") - 1).alias(position), kind)
+    numbered = row_number(kept, [*forest, parent], ["__path"], "__n", group_rows)
+    return numbered.select(*forest, key, parent, (F.col("__n") - 1).alias(position), kind)
+
+
+def flatten_conditions(nodes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Condition trees with nodes of one connective merged: one forest per (task_id, call_id), where call_id may be NULL.
+
+    ``nodes``: task_id, call_id, id, parent_id, position, kind and any others, which nodes that stay keep.
+    """
+    forest = ["task_id", "call_id"]
+    flat = tree_flatten(nodes, "id", "parent_id", "position", "kind", group_rows, forest)
+    rest = nodes.drop("parent_id", "position", "kind").withColumnsRenamed({c: f"__{c}" for c in [*forest, "id"]})
+    same = F.col("task_id").eqNullSafe(F.col("__task_id")) & F.col("call_id").eqNullSafe(F.col("__call_id")) & (F.col("id") == F.col("__id"))
+    return flat.join(rest, same).select(*nodes.columns)
 
 
 def precedence_steps(nodes: DataFrame, key: str, parent: str, position: str, kind: str) -> DataFrame:
@@ -248,40 +271,32 @@ def tree_two_level(
     return full.select("path", label.alias("node")).unionByName(top)
 
 
-def by_depth(nodes: DataFrame, key: str, parent: str) -> tuple[DataFrame, list[int]]:
-    """Nodes with their depth, written to the shared folder one partition per level."""
-    spark = nodes.sparkSession
-    ids = root_paths(nodes, key, parent, F.lit(0), "__steps").select(key, (F.size("__steps") - 1).alias("depth"))
-    path = new_folder(spark, "levels")
-    # By range of depth and key: few files per level, and no level in one task.
-    leveled = nodes.join(ids, key).repartitionByRange(slices(spark), "depth", key)
-    leveled.write.partitionBy("depth").parquet(path)
-    stored = spark.read.schema(leveled.schema).parquet(path)
-    levels = sorted(r["depth"] for r in stored.select("depth").distinct().collect())
-    return stored, levels
-
-
 def bottom_up_fold(
     nodes: DataFrame, key: str, parent: str, value: str, over: dict[str, Column], finish: Column
 ) -> DataFrame:
-    """Evaluate inner nodes from their children, level by level up to the root.
+    """Evaluate inner nodes from their children, up to the roots, with any aggregates.
 
     ``over`` names aggregates of the children's ``value``; ``finish`` combines them
     with the node's own columns.  A node without children keeps its value.  Children
-    are combined before the shuffle, so a parent with very many of them is no burden.
+    are combined before the shuffle, so a parent with very many of them is no burden; but there are as many
+    rounds as a tree is high.  ``contraction.contract`` needs few, for sums, least and greatest.
     """
-    stored, levels = by_depth(nodes, key, parent)
-    columns = nodes.columns
-    done, below = [], None
-    for depth in reversed(levels):
-        level = stored.where(F.col("depth") == depth).select(*columns)
-        if below is not None:
-            folded = below.groupBy(F.col(parent).alias("__p")).agg(*[c.alias(n) for n, c in over.items()])
-            joined = level.join(folded, F.col(key) == F.col("__p"), "left")
-            level = joined.withColumn(value, F.when(F.col("__p").isNotNull(), finish).otherwise(F.col(value))).select(*columns)
-        below = settle(level)
-        done.append(below)
-    return reduce(DataFrame.unionByName, done, nodes.limit(0))
+    parents = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("__p")).distinct()
+    waiting = settle(nodes.join(parents, F.col(key) == F.col("__p"), "left_semi"))
+    known = settle(nodes.join(parents, F.col(key) == F.col("__p"), "left_anti"))
+    done, ahead = [known], known.where(F.col(parent).isNotNull())
+    while not waiting.isEmpty():
+        open_ = waiting.where(F.col(parent).isNotNull()).select(F.col(parent).alias("__o")).distinct()
+        told = ahead.join(open_, F.col(parent) == F.col("__o"), "left_anti")
+        folded = told.groupBy(F.col(parent).alias("__p")).agg(*[c.alias(n) for n, c in over.items()])
+        new = settle(waiting.join(folded, F.col(key) == F.col("__p")).withColumn(value, finish.cast(nodes.schema[value].dataType)).select(*nodes.columns))
+        if new.isEmpty():
+            raise ValueError("the parents form a cycle")
+        found = new.select(F.col(key).alias("__f"))
+        waiting = settle(waiting.join(found, F.col(key) == F.col("__f"), "left_anti"))
+        ahead = settle(ahead.join(found, F.col(parent) == F.col("__f"), "left_anti").unionByName(new.where(F.col(parent).isNotNull())))
+        done.append(new)
+    return reduce(DataFrame.unionByName, done)
 
 
 def merged_map(base: Column, over: Column) -> Column:
@@ -289,28 +304,59 @@ def merged_map(base: Column, over: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
 
 
+def _parsed(template: Column) -> Column:
+    """A text with ``${name}`` as an array of (text, name): text as it stands, or a name to be replaced.
+
+    It begins with a text; a NULL is one part with neither.
+    """
+    part = lambda text, name: F.struct(text.cast("string").alias("text"), name.cast("string").alias("name"))
+    none = F.lit(None)
+
+    def piece(p: Column) -> Column:
+        name = F.substring_index(p, "}", 1)
+        tail = F.when(F.locate("}", p) > 0, p.substr(F.length(name) + 2, F.length(p))).otherwise(F.lit(""))
+        return F.array(part(none, name), part(tail, none))
+
+    pieces = F.split(template, r"\$\{")
+    rest = F.flatten(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece))
+    return F.when(template.isNull(), F.array(part(none, none))).otherwise(F.concat(F.array(part(F.element_at(pieces, 1), none)), rest))
+
+
+def _replaced(parts: Column, known: Column) -> Column:
+    """Parts with the names that ``known`` has replaced by what it says; neighbouring texts become one."""
+    put = F.flatten(F.transform(parts, lambda p: F.when(p["name"].isNotNull(), F.coalesce(F.try_element_at(known, p["name"]), F.array(p))).otherwise(F.array(p))))
+
+    def add(out: Column, p: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        both = (F.size(out) > 0) & last["name"].isNull() & p["name"].isNull()
+        text = F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(p["text"], F.lit("")))
+        one = F.struct(text.alias("text"), F.lit(None).cast("string").alias("name"))
+        return F.when(both, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(one))).otherwise(F.concat(out, F.array(p)))
+
+    return F.aggregate(put, F.array().cast("array<struct<text:string,name:string>>"), add)
+
+
 def inherit_attributes(nodes: DataFrame, key: str, parent: str, layers: Sequence[str], name: str) -> DataFrame:
     """Effective attributes: the parent's, overridden by each layer of the node in turn.
 
-    Values of a layer may use ``${x}`` for anything known so far.
+    Values of a layer may use ``${x}`` for anything known so far; what nothing above knows is empty.  A node is a
+    function of its parent's attributes: a map of values in which names from above are still open.  Two such
+    functions are put together by filling in, so the effective ones come from ``climb``, in about log2(depth) joins.
     """
-    stored, levels = by_depth(nodes, key, parent)
-    empty = F.create_map().cast("map<string,string>")
-
-    own = [F.transform_values(F.coalesce(F.col(x), empty), lambda _, v: render(v, F.col(name))) for x in layers]
-    merged = merged_map(F.col(name), F.col("__own"))
-
-    def overridden(level: DataFrame, values: Column) -> DataFrame:
-        return level.withColumn("__own", values).withColumn(name, merged)
-
-    done, above = [], None
-    for depth in levels:
-        level = stored.where(F.col("depth") == depth).select(*nodes.columns)
-        if above is None:
-            level = level.withColumn(name, empty)
-        else:
-            up = above.select(F.col(key).alias("__k"), name)
-            level = level.join(up, F.col(parent) == F.col("__k")).drop("__k")
-        above = settle(reduce(overridden, own, level).drop("__own"))
-        done.append(above)
-    return reduce(DataFrame.unionByName, done, nodes.withColumn(name, empty).limit(0))
+    empty = F.create_map().cast("map<string,array<struct<text:string,name:string>>>")
+    texts = F.create_map().cast("map<string,string>")
+
+    def over(lower: Column, upper: Column) -> Column:
+        return merged_map(upper, F.transform_values(lower, lambda _, parts: _replaced(parts, upper)))
+
+    own = empty
+    for layer in layers:
+        own = over(F.transform_values(F.coalesce(F.col(layer), texts), lambda _, v: _parsed(v)), own)
+
+    def said(parts: Column) -> Column:
+        nothing = (F.size(parts) == 1) & F.get(parts, 0)["text"].isNull() & F.get(parts, 0)["name"].isNull()
+        return F.when(~nothing, F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+    found = climb(nodes, F.col(key), F.col(parent), own, lambda upper, lower: over(lower, upper))
+    found = found.select("__k", F.transform_values("__v", lambda _, parts: said(parts)).alias("__v"))
+    return nodes.join(found, F.col(key) == F.col("__k")).select(*nodes.columns, F.col("__v").alias(name))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from tidemark.operators.aggregates import latest_per_key
-from tidemark.operators.hierarchy import bottom_up_fold
+from tidemark.operators.contraction import Levels, contract
 from tidemark.operators.ordered import GROUP_ROWS, By, row_number, running_sum, shift
 from tidemark.operators.predicates import all_of
 from tidemark.operators.skew import lookup
@@ -78,25 +78,19 @@ def timed_verdict(required: Column, actual: Column, since: Column, as_of: Column
 
 def eval_condition_tree(nodes: DataFrame, key: str, parent: str, connective: str, verdict: str) -> DataFrame:
     """Verdicts of all nodes of and/or trees from those of the leaves."""
-    level = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col(verdict))
+    level = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col(verdict)).cast("int")
     coded = nodes.withColumn(verdict, F.when(F.col(verdict).isNotNull(), level))
-    finish = F.when(F.col(connective) == "or", F.col("__best")).otherwise(F.col("__worst"))
-    over = {"__best": F.max(verdict), "__worst": F.min(verdict)}
-    out = bottom_up_fold(coded, key, parent, verdict, over, finish)
+    out = contract(coded, key, parent, verdict, Levels(len(VERDICTS), lambda worst, best: F.when(F.col(connective) == "or", best).otherwise(worst)))
     names = F.array(*[F.lit(v) for v in VERDICTS])
-    return out.withColumn(verdict, F.get(names, (F.col(verdict) - 1).cast("int")))
+    return out.withColumn(verdict, F.get(names, F.col(verdict) - 1))
 
 
 def eval_boolean_tree(nodes: DataFrame, key: str, parent: str, connective: str, result: str) -> DataFrame:
     """and / or / not trees; a leaf without a run counts as false."""
-    known = nodes.withColumn(result, F.coalesce(F.col(result), F.lit(False)))
-    finish = (
-        F.when(F.col(connective) == "or", F.col("__some"))
-        .when(F.col(connective) == "not", ~F.col("__every"))
-        .otherwise(F.col("__every"))
-    )
-    over = {"__every": F.every(result), "__some": F.some(result)}
-    return bottom_up_fold(known, key, parent, result, over, finish)
+    level = F.when(F.col(result), 2).otherwise(1)  # false and NULL are 1
+    fold = Levels(2, lambda worst, best: F.when(F.col(connective) == "or", best).when(F.col(connective) == "not", 3 - worst).otherwise(worst))
+    out = contract(nodes.withColumn(result, level), key, parent, result, fold)
+    return out.withColumn(result, F.col(result) == 2)
 
 
 def parallel_status(status: str | Column) -> Column:

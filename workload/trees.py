@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import hierarchy as T
 from tidemark.operators import reshape as R
+from tidemark.operators.contraction import Monoid, contract
 from workload.base import day, query, table, text
 
 # Part k > 0 hangs below part (k - 1) div 2 at position (k - 1) % 2.  Parts with children
@@ -98,6 +99,34 @@ def tree_flatten(spark, sf):
     return T.tree_flatten(part_tree(spark, sf), "id", "parent_id", "position", "kind")
 
 
+# Conditions: parts dealt to 21 forests, of which a third have no call; in each a tree with long chains.
+CONDITIONS_CTE = """
+  nodes as (
+    select p_partkey % 7 as task_id, nullif(p_partkey % 3, 0) as call_id, p_partkey // 21 as id,
+           case when p_partkey >= 21 then greatest(p_partkey // 21 - 1 - p_size % 3, 0) end as parent_id, p_partkey // 21 as position,
+           case when p_type in ('ECONOMY', 'SMALL', 'STANDARD') then 0 else 1 end as kind, p_brand from part)"""
+
+
+@query(
+    "flatten_conditions",
+    f"""with recursive {CONDITIONS_CTE}, x as (
+      select task_id, call_id, id, parent_id, kind, p_brand, [position] as path, true as stays from nodes where parent_id is null
+      union all
+      select t.task_id, t.call_id, t.id, case when x.stays then x.id else x.parent_id end, t.kind, t.p_brand,
+             list_append(x.path, t.position), t.kind <> x.kind
+      from x join nodes t on t.task_id = x.task_id and t.call_id is not distinct from x.call_id and t.parent_id = x.id)
+    select task_id, call_id, id, parent_id, row_number() over (partition by task_id, call_id, parent_id order by path) - 1 as position, kind, p_brand
+    from x where stays""",
+)
+def flatten_conditions(spark, sf):
+    part = table(spark, sf, "part")
+    nodes = part.selectExpr(
+        "p_partkey % 7 as task_id", "nullif(p_partkey % 3, 0) as call_id", "p_partkey div 21 as id",
+        "case when p_partkey >= 21 then greatest(p_partkey div 21 - 1 - p_size % 3, 0) end as parent_id", "p_partkey div 21 as position",
+        "case when p_type in ('ECONOMY', 'SMALL', 'STANDARD') then 0 else 1 end as kind", "p_brand")
+    return T.flatten_conditions(nodes)
+
+
 # Precedence, found by climbing from each leaf one step at a time.
 EDGES_CTE = f"""{TREE_CTE},
   climb as (
@@ -233,7 +262,7 @@ def bottom_up_fold(spark, sf):
     tree = part_tree(spark, sf)
     value = F.when(F.col("kind") == T.ATOM, F.length("p_name").cast("bigint"))
     nodes = tree.select("id", "parent_id", value.alias("total"))
-    return T.bottom_up_fold(nodes, "id", "parent_id", "total", {"__sum": F.sum("total")}, F.col("__sum")).select("id", "total")
+    return contract(nodes, "id", "parent_id", "total", Monoid("sum")).select("id", "total")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import dense_keys
@@ -114,6 +114,55 @@ def scd2_apply(
     return rest.unionByName(_versions(target, changes, ts, max_ts, hist))
 
 
+def scd2_insert(
+    target: DataFrame, image: DataFrame, ids: Sequence[str], ts: str, until: str | None, max_ts: str = OPEN_END, hist=HIST
+) -> DataFrame:
+    """History in which ``image`` holds from ``ts`` to ``until``, the next load applied before; None if there is none.
+
+    For a load that comes after later ones, and for one that comes again with other content.  Nothing has to be replayed:
+    the image at ``until`` is what is valid then.  So one full outer join of ``image`` with the versions valid just before ``ts``
+    and those valid at ``until`` decides every version that begins or ends between, and neighbours with
+    equal values become one.  Versions that ended before ``ts`` or start after ``until`` pass through without a shuffle, as
+    do those without start or end.  The result is the same as if all loads had come in order.
+    """
+    start, end = hist
+    data = [c for c in target.columns if c not in hist]
+    begins, ends, at = F.col(start), F.col(end), ntz(ts)
+    later = F.lit(False) if until is None else begins > ntz(until)
+    aside = F.coalesce((ends < at) | later, F.lit(True))
+    touched = target.where(~aside)
+
+    # Both images of the stored history from one grouping, whose layout the join with the new one needs too
+    is_a = (begins < at) & (ends >= at)
+    is_q = F.lit(False) if until is None else (begins <= ntz(until)) & (ends > ntz(until))
+    version_row = F.struct(*target.columns)
+    known = require_keys(touched.where(is_a | is_q), ids).groupBy(*ids).agg(
+        F.first(F.when(is_a, version_row), ignorenulls=True).alias("a"), F.first(F.when(is_q, version_row), ignorenulls=True).alias("q"),
+        F.greatest(F.count_if(is_a), F.count_if(is_q)).alias("__most"))
+    known = require(known, F.col("__most") <= 1, f"key {list(ids)} has overlapping versions").drop("__most")
+    now = one_row_per_key(image.select(*data), ids).select(*ids, F.struct(*data).alias("n"))
+    joined = known.join(now, list(ids), "full_outer")
+    stop = ntz(max_ts) if until is None else ntz(until)
+    compared = comparable(target, ids, hist)
+
+    def same(x: str, y: str) -> Column:
+        equal = all_of(F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in compared)
+        return F.col(x).isNotNull() & F.col(y).isNotNull() & equal
+
+    stays, goes_on = same("a", "n"), same("n", "q")
+    over = F.when(goes_on, F.col(f"q.{end}")).otherwise(stop)
+
+    def version(of: str, first: Column, last: Column) -> Column:
+        return F.struct(*[(first if c == start else last if c == end else F.col(f"{of}.{c}")).alias(c) for c in target.columns])
+
+    rows = F.array(
+        F.when(F.col("a").isNotNull(), version("a", F.col(f"a.{start}"), F.when(stays, over).otherwise(at))),
+        F.when(F.col("n").isNotNull() & ~stays, version("n", at, over)),
+        F.when(F.col("q").isNotNull() & ~goes_on, version("q", stop, F.col(f"q.{end}"))),
+    )
+    return target.where(aside).unionByName(joined.select(F.inline(F.array_compact(rows))).select(*target.columns))
+
+
 def close_versions(target: DataFrame, gone: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> DataFrame:
     """Set the end of the version valid at ``ts`` for every key in ``gone``."""
     _, end = hist

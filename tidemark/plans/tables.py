@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.predicates import OPEN_END, ntz, similar_to
-from tidemark.plans.history import HIST, one_row_per_key, scd2_apply
+from tidemark.plans.history import HIST, one_row_per_key, scd2_apply, scd2_insert
 from tidemark.session import new_folder, overwrite_partitions
 
 WORK = "tidemark_work"
@@ -140,27 +140,54 @@ def create_history(spark: SparkSession, name: str, schema: T.StructType) -> None
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {CLOSED} BIGINT) USING parquet PARTITIONED BY ({CLOSED})")
 
 
+def load_number(ts: str) -> int:
+    return int("".join(ch for ch in ts if ch.isdigit()))
+
+
+def history_parts(spark: SparkSession, name: str) -> list[int]:
+    """Numbers of the partitions of a stored history, from the catalog."""
+    parts = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", rf"{CLOSED}=(\d+)", 1).cast("bigint").alias("p"))
+    return sorted(r["p"] for r in parts.collect())
+
+
+def rewrite_history(spark: SparkSession, name: str, versions: DataFrame, parts: Sequence[int], hist=HIST) -> None:
+    """Replace the partitions ``parts`` of a stored history by ``versions``, which lie in no others.
+
+    A dynamic overwrite stages its files and moves them once the job is done, so it may read the
+    partitions it replaces.  It leaves absent partitions alone, so those without a version are dropped after it.
+    """
+    digits = F.translate(F.substring(F.col(hist[1]).cast("string"), 1, 19), "-: ", "").cast("bigint")
+    out = versions.withColumn(CLOSED, F.when(F.col(hist[1]) == ntz(OPEN_END), F.lit(0).cast("bigint")).otherwise(digits))
+    seen = Observation()
+    counted = [F.count_if(F.col(CLOSED) == p).alias(f"p{p}") for p in parts]
+    overwrite_partitions(name, out.observe(seen, *counted))
+    for p in parts:
+        if not seen.get[f"p{p}"]:
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({CLOSED}={p})")
+
+
+def insert_into_history(
+    spark: SparkSession, name: str, image: DataFrame, ids: Sequence[str], ts: str, until: str | None, hist=HIST
+) -> None:
+    """Bring a load that comes late, or again, into a stored history; see ``scd2_insert``.
+
+    Only what was closed by this load or later ones, and the open versions, is read and written.
+    """
+    load_id = load_number(ts)
+    parts = {p for p in history_parts(spark, name) if p >= load_id} | {0, load_id} | ({load_number(until)} if until else set())
+    stored = spark.table(name).where(F.col(CLOSED).isin(*parts)).drop(CLOSED)
+    rewrite_history(spark, name, scd2_insert(stored, image, ids, ts, until, OPEN_END, hist), sorted(parts), hist)
+
+
 def apply_to_history(spark: SparkSession, name: str, image: DataFrame, ids: Sequence[str], ts: str, hist=HIST) -> None:
     """Bring a stored history up to date with a new image at ``ts``.
 
     The same load may run again, with the same image or a corrected one: what it closed is read next to
     the open versions and the load is undone before it is applied.  A load older than the newest is refused.
-    A dynamic overwrite stages its files and moves them once the job is done, so it
-    may read the partitions it replaces.
     """
-    load_id = int("".join(ch for ch in ts if ch.isdigit()))
-    closed = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", rf"{CLOSED}=(\d+)", 1).cast("bigint").alias("p"))
-    newest = closed.agg(F.max("p").alias("p")).first()["p"] or 0
+    load_id = load_number(ts)
+    newest = max(history_parts(spark, name), default=0)
     if newest > load_id:
         raise ValueError(f"load {load_id} is older than load {newest}; reload the history from there on")
     stored = spark.table(name).where(F.col(CLOSED).isin(0, load_id)).drop(CLOSED)
-    is_open = F.col(hist[1]) == ntz(OPEN_END)
-    versions = scd2_apply(stored, image, ids, ts, OPEN_END, hist)
-    out = versions.withColumn(CLOSED, F.when(is_open, 0).otherwise(load_id).cast("bigint"))
-    seen = Observation()
-    is_stored = F.col(CLOSED) == 0
-    overwrite_partitions(name, out.observe(seen, F.count_if(is_stored).alias("open"), F.count_if(~is_stored).alias("closed")))
-    # An overwrite by partition leaves absent partitions alone.
-    for part, kind in ((0, "open"), (load_id, "closed")):
-        if not seen.get[kind]:
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({CLOSED}={part})")
+    rewrite_history(spark, name, scd2_apply(stored, image, ids, ts, OPEN_END, hist), [0, load_id], hist)

@@ -92,6 +92,7 @@ def write_extract(
     timestamp_format: str = "yyyy-MM-dd HH:mm:ss",
     quote: str = '"',
     escape: str = '"',
+    mode: str = "error",
 ) -> None:
     """The writing side of ``read_extract``."""
     single_byte = not _read_by_spark(encoding)
@@ -104,7 +105,7 @@ def write_extract(
         .option("emptyValue", quote + quote)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .mode("error")
+        .mode(mode)
         .csv(path)
     )
 

@@ -37,3 +37,30 @@ def stream_scd2(spark, sf):
         X.write_extract(image, G.load_folder(root, load(int(ts[:4]))))
     G.stream_scd2(spark, root, checkpoint, name, snapshots[0][1].schema, IDS).awaitTermination()
     return shown(spark.table(name))
+
+
+@query("stream_late_load", FOLD_SQL)
+def stream_late_load(spark, sf):
+    """Years out of order, one of them in two pieces and one with wrong content first: the history is as if they came in order."""
+    root, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "progress")
+    name = K.work_table(spark, "history")
+    K.create_history(spark, name, empty_history(spark).schema)
+    images = {int(ts[:4]): image for ts, image in yearly_snapshots(spark, sf)}
+    schema = images[1995].schema
+
+    def arrive(*years, part=None, mode="error"):
+        for y in years:
+            image = images[y] if part is None else images[y].where(F.col("cust_id") % 2 == part)
+            X.write_extract(image, G.load_folder(root, load(y)), mode=mode)
+        G.stream_scd2(spark, root, checkpoint, name, schema, IDS, late="insert").awaitTermination()
+
+    images[1999], right = images[1999].withColumn("status", F.lit("?")), images[1999]
+    arrive(1997, 1999)
+    arrive(2001)
+    arrive(1996, part=0)
+    images[1999] = right
+    X.write_extract(right, G.load_folder(root, load(1999)), mode="overwrite")  # files replaced by others
+    arrive(2000, 1995)
+    arrive(1996, part=1, mode="append")
+    arrive(1998)
+    return shown(spark.table(name))

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import settle, settle_any
+from tidemark.session import settle_any
 
 
 @dataclass(frozen=True)
@@ -91,58 +92,46 @@ def contract(nodes: DataFrame, key: str, parent: str, value: str, fold: Monoid |
     """``nodes`` with ``value`` replaced, in nodes that have children, by the fold of their values; leaves keep theirs.
 
     A node whose parent is missing or not in the table is the root of a tree of its own, and is folded like one.  Keys
-    must be unique and not NULL; parents that form a cycle raise.  Each round joins twice by key and ends in the shared
-    folder.  The number of rounds follows the logarithm of the number of nodes, for a chain as for a star: what is known of
-    children is combined before it is shuffled, so a parent may have any number of them.
+    must be unique and not NULL; parents that form a cycle raise.  Each round joins twice by key and is written to the shared
+    folder once.  The number of rounds follows the logarithm of the number of nodes, for a chain as for a star: what is known
+    of children is combined before it is shuffled, so a parent may have any number of them.
     """
-    if nodes.isEmpty():
-        return nodes
-    k, up = F.col(key).alias("k"), F.col(parent).alias("up")
-    own = nodes.select(k, up, F.col(value).alias("own"), fold.spec().alias("spec"))
+    own = nodes.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.col(value).alias("own"), fold.spec().alias("spec"))
     parents = own.where(F.col("up").isNotNull()).select(F.col("up").alias("p")).distinct().withColumn("inner", F.lit(True))
     start = own.join(parents, F.col("k") == F.col("p"), "left").drop("p")
-    sample = start.groupBy("k").agg(fold.gather(F.col("own")).alias("g"))
-    got_type = sample.schema["g"].dataType
-    value_type = start.select(fold.close(F.col("spec"), F.lit(None).cast(got_type)).alias("v")).schema["v"].dataType
-    fn_type = start.select(fold.opened(F.col("spec"), F.lit(None).cast(got_type)).alias("f")).schema["f"].dataType
-    key_type = start.schema["k"].dataType
-    state = settle(start.select(
-        "k", "up", "spec", F.lit(None).cast(got_type).alias("got"), F.lit(None).cast(key_type).alias("below"), F.lit(None).cast(fn_type).alias("fn"),
-        # A value of NULL is known too
-        F.when(F.col("inner").isNull(), F.struct(F.col("own").cast(value_type).alias("v"))).alias("known"), F.col("inner").isNull().alias("fresh")))
-    while True:
-        unknown = F.col("known").isNull()
-        told = state.where((F.col("fresh") | unknown) & F.col("up").isNotNull()).groupBy(F.col("up").alias("p")).agg(
-            fold.gather(F.when(F.col("fresh"), F.col("known.v"))).alias("new"),
-            F.count_if(unknown).alias("open"), F.min(F.when(unknown, F.col("k"))).alias("child"))
-        joined = state.where(unknown).join(told, F.col("k") == F.col("p"), "left")
-        got = F.when(F.col("got").isNull(), F.col("new")).when(F.col("new").isNull(), F.col("got")).otherwise(fold.merge(F.col("got"), F.col("new")))
-        open_ = F.coalesce(F.col("open"), F.lit(0))
-        stepped = joined.withColumn("got", got).select(
-            "k", "up", "spec", "got",
-            F.coalesce("below", F.when(open_ == 1, F.col("child"))).alias("below"),
-            F.when(F.col("below").isNotNull(), F.col("fn")).when(open_ == 1, fold.opened(F.col("spec"), F.col("got"))).alias("fn"),
-            F.when(open_ == 0, F.struct(fold.close(F.col("spec"), F.col("got")).cast(value_type).alias("v"))).alias("known"))
-        stepped = settle(stepped)
-        # What a node looks at: known by now, a function of something further down, or neither yet
-        seen = stepped.select(F.col("k").alias("bk"), F.col("below").alias("next"), F.col("fn").alias("inner"), F.col("known").alias("found"))
-        before = state.where(~unknown).select(F.col("k").alias("bk"), F.lit(None).cast(key_type).alias("next"), F.lit(None).cast(fn_type).alias("inner"), F.col("known").alias("found"))
-        looked = stepped.join(seen.unionByName(before), (F.col("below") == F.col("bk")) & F.col("known").isNull(), "left")
-        through = F.col("next").isNotNull() & F.col("found").isNull()
-        new = looked.select(
-            "k", "up", "spec", "got",
-            F.when(through, F.col("next")).otherwise(F.col("below")).alias("below"),
-            F.when(through, fold.compose(F.col("fn"), F.col("inner"))).otherwise(F.col("fn")).alias("fn"),
-            F.coalesce("known", F.when(F.col("found").isNotNull(), F.struct(fold.apply(F.col("fn"), F.col("found.v")).cast(value_type).alias("v")))).alias("known"))
-        new = new.withColumn("fresh", F.col("known").isNotNull())
-        # Looks may end at nodes known for long, so those stay in the table
-        kept = state.where(~unknown).withColumn("fresh", F.lit(False)).select(*state.columns)
-        new, gained = settle_any(new.select(*state.columns), F.col("fresh"))
-        if not gained:
-            if new.isEmpty():
-                break
+    got_type = start.groupBy("k").agg(fold.gather(F.col("own")).alias("g")).schema["g"].dataType
+    nothing = F.lit(None).cast(got_type)
+    types = start.select(fold.close(F.col("spec"), nothing).alias("v"), fold.opened(F.col("spec"), nothing).alias("f")).schema
+    said = lambda v: F.struct(v.cast(types["v"].dataType).alias("v"))  # noqa: E731  - a value of NULL is known too
+    unknown = F.col("known").isNull()
+    # below: the node that this one looks at, all whose value its own depends on, by the function fn
+    state = start.select(
+        "k", "up", "spec", nothing.alias("got"), F.lit(None).cast(start.schema["k"].dataType).alias("below"),
+        F.lit(None).cast(types["f"].dataType).alias("fn"), F.when(F.col("inner").isNull(), said(F.col("own"))).alias("known"))
+    state, more = settle_any(state, unknown)
+    # The expressions of a round, built once
+    news = [fold.gather(F.col("known.v")).alias("new"), F.count_if(unknown).alias("open"), F.min(F.when(unknown, F.col("k"))).alias("child")]
+    seen = [F.col("k").alias("bk"), F.col("below").alias("next"), F.col("fn").alias("inner"), F.col("known").alias("found")]
+    joint = F.when(F.col("got").isNull(), F.col("new")).when(F.col("new").isNull(), F.col("got")).otherwise(fold.merge(F.col("got"), F.col("new")))
+    looks, one = F.col("below").isNotNull(), F.col("open") == 1
+    step = [
+        F.col("k"), F.col("up"), F.col("spec"), F.col("got"),
+        F.when(looks, F.coalesce("next", "below")).when(one, F.col("child")).alias("below"),
+        F.when(looks & F.col("next").isNotNull(), fold.compose(F.col("fn"), F.col("inner"))).when(looks, F.col("fn"))
+        .when(one, fold.opened(F.col("spec"), F.col("got"))).alias("fn"),
+        F.when(F.coalesce("open", F.lit(0)) == 0, said(fold.close(F.col("spec"), F.col("got"))))
+        .when(F.col("found").isNotNull(), said(fold.apply(F.col("fn"), F.col("found.v")))).alias("known"),
+    ]
+    done = [state.where(~unknown)]
+    while more:
+        before = more
+        # Nodes known since the last round tell their parents; those still unknown are counted
+        told = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("p")).agg(*news)
+        at = reduce(DataFrame.unionByName, done, state.where(unknown)).select(*seen)
+        joined = state.where(unknown).join(told, F.col("k") == F.col("p"), "left").join(at, F.col("below") == F.col("bk"), "left")
+        state, more = settle_any(joined.withColumn("got", joint).select(*step), unknown)
+        if more == before:
             raise ValueError("the parents form a cycle")
-        state = new.unionByName(kept)
-    values = state.select(F.col("k").alias("__k"), F.col("known.v").cast(nodes.schema[value].dataType).alias("__v"))
-    out = nodes.join(values, F.col(key) == F.col("__k"))
-    return out.select(*[F.col("__v").alias(value) if c == value else F.col(c) for c in nodes.columns])
+        done.append(state.where(~unknown))
+    values = reduce(DataFrame.unionByName, done).select(F.col("k").alias("__k"), F.col("known.v").cast(nodes.schema[value].dataType).alias("__v"))
+    return nodes.join(values, F.col(key) == F.col("__k")).select(*[F.col("__v").alias(value) if c == value else F.col(c) for c in nodes.columns])

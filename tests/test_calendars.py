@@ -1,6 +1,7 @@
 """Calendars against printed results and brute force."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,32 @@ def test_alignment_equals_brute_force(spark):
         assert r["next_slot"] == min(s for s in slots[r["id"]] if s > r["ts"])
 
 
+def test_lookups_equal_brute_force_for_many_schedules(spark):
+    rnd = random.Random(5)
+
+    def field(lo, hi, star):
+        return "*" if rnd.random() < star else ",".join(str(x) for x in sorted(rnd.sample(range(lo, hi + 1), rnd.randrange(1, 4))))
+
+    def alternative():
+        return " & ".join([field(0, 59, 0), field(0, 23, 0), field(1, 31, 0.5), field(1, 31, 0.7), field(1, 12, 0.4), field(1, 7, 0.5)])
+
+    specs = {f"s{i}": "|".join(alternative() for _ in range(rnd.randrange(1, 3))) for i in range(25)}
+    specs |= {"leap": "0 12 29 2 *", "daily": "0 0 * * *", "last": "59 & 23 & * & 1 & * & *", "never": "0 0 31 4 *", "first": "0 0 1 1 *"}
+    times = [dt.datetime(2019, 12, 31, 23, 59), dt.datetime(2020, 1, 1), dt.datetime(2020, 2, 29, 12), dt.datetime(2023, 10, 31, 0, 30)]
+    facts = [(k, t) for k in specs for t in times]
+    plans = C.with_index(schedules(spark, specs))
+    df = spark.createDataFrame(facts, "id string, ts timestamp_ntz").join(plans, "id")
+    df = C.prev_run(C.next_run(df, "ts", "n"), "ts", "p", same_allowed=True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(__d" not in plan and "sequence(cast(ts" not in plan  # no row walks through the dates
+    slots = {k: brute_slots(s, dt.date(2007, 1, 1), dt.date(2036, 12, 31)) for k, s in specs.items()}
+    for r in df.select("id", "ts", "n", "p").collect():
+        after, before = [s for s in slots[r["id"]] if s > r["ts"]], [s for s in slots[r["id"]] if s <= r["ts"]]
+        for found, inside in ((r["n"], min(after, default=None)), (r["p"], max(before, default=None))):
+            # What lies beyond the years looked at by hand must not be within them
+            assert found == inside or inside is None and (found is None or not 2007 <= found.year <= 2036)
+
+
 def test_previous_of_next_is_not_later(spark):
     plan = schedules(spark, {"s": SPEC})
     at = spark.range(60).select((F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id") * 37)).alias("ts"))

@@ -57,6 +57,22 @@ def test_rows_that_do_not_fit_fail(spark, tmp_path, bad):
         X.read_extract(spark, write(tmp_path, BODY.rstrip("\n") + "\n" + bad + "\n"), CODES).collect()
 
 
+@pytest.mark.parametrize("name, codec", [("UTF8", "utf-8"), ("utf_8", "utf-8"), ("WIN1250", "cp1250"), ("win-1252", "cp1252"), ("LATIN2", "iso8859-2"), ("SQL_ASCII", None)])
+def test_names_of_code_pages(spark, tmp_path, name, codec):
+    if codec is None:
+        with pytest.raises(LookupError):
+            X.code_page_name(name)
+        return
+    assert X.code_page_name(name) == codec
+    body = BODY.replace("Plain", "Žluťoučký" if codec != "cp1252" else "Straße")
+    got = X.read_extract(spark, write(tmp_path, body, codec), CODES, encoding=name).collect()
+    assert got[0]["text"] == ("Žluťoučký" if codec != "cp1252" else "Straße")
+    path = str(tmp_path / "out")
+    X.write_extract(spark.createDataFrame(got), path, encoding=name)
+    again = X.read_extract(spark, path, CODES, encoding=name)
+    assert rows(again) == sorted(map(tuple, got), key=repr)
+
+
 @pytest.mark.parametrize("encoding", ["windows-1250", "iso-8859-2", "cp852"])
 def test_single_byte_code_pages(spark, tmp_path, encoding):
     body = 'code;level;text;valid_from;valid_to;form\n"1";1;"Příliš žluťoučký kůň §";01.01.2000;09.09.9999;"Ž"\n'

@@ -45,7 +45,7 @@ def shown(df):
     return rows(df.select("id", "v", "w", *[F.substring(F.col(c).cast("string"), 1, 19).alias(c) for c in ("start_ts", "end_ts")]))
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(3))
 def test_every_order_gives_one_history(spark, seed):
     r = random.Random(seed)
     days = sorted(r.sample(range(1, 28), 5))
@@ -109,10 +109,9 @@ class Stream:
         return shown(self.spark.table(self.name))
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_stream_takes_loads_in_any_order_and_in_pieces(spark, seed):
-    r = random.Random(50 + seed)
-    loads = images(r, [2, 5, 9, 14])
+def test_stream_takes_loads_in_any_order_and_in_pieces(spark):
+    r = random.Random(50)
+    loads = images(r, [2, 5, 9])
     stream = Stream(spark)
     arrivals = [(d, k % 2) for d in loads for k in (0, 1)]
     r.shuffle(arrivals)

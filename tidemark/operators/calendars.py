@@ -25,7 +25,8 @@ FIELDS = [
     ("wdays", 1, 7),
 ]
 HORIZON = 1466  # dates of a candidate list: four years and some days
-STEPS = (40, 1466, 146_097)  # dates a lookup looks at, one after the other; the calendar repeats after 400 years
+CYCLE = 146_097  # days after which the calendar repeats, weekdays included: 400 years
+WORD, WORDS = 60, 80  # months in a word of the index, and words for the 4800 months of the cycle
 
 
 def _field_set(text: Column, low: int, high: int) -> Column:
@@ -146,51 +147,108 @@ def schedule_slots(schedules: DataFrame, keys: Sequence[str], start: str, end: s
     return slots.select(*keys, _at(F.col("date"), F.col("minute")).alias("slot_ts"))
 
 
+def _kind(first: str) -> str:
+    """Number 0 to 90 of the kind of a month, from its first day: January, two Februaries, March and so on, each by weekday."""
+    return f"((month({first}) - 1 + if(month({first}) > 2 or day(last_day({first})) = 29, 1, 0)) * 7 + weekday({first}))"
+
+
+#: The 91 kinds of months: number, length, and weekday of the first, Monday 0; in the order of ``_kind``.
+_KINDS = """
+    transform(sequence(0, 12), q -> named_struct('month', if(q < 2, q + 1, q), 'length', case when q = 1 then 28 when q = 2 then 29 when q in (4, 6, 9, 11) then 30 else 31 end))"""
+#: The scheduled days of each kind of month, the first of the month as lowest bit.
+_DAYS = f"""
+    transform(flatten(transform({_KINDS}, m -> transform(sequence(0, 6), w -> named_struct('month', m.month, 'length', m.length, 'first', w)))),
+      m -> aggregate(alts, 0L, (x, a) -> x | if(array_contains(a.months, m.month) and size(a.hours) > 0 and size(a.minutes) > 0,
+        aggregate(filter(a.days, n -> n <= m.length), 0L, (b, n) -> b | shiftleft(1L, n - 1))
+        & aggregate(filter(a.rdays, n -> n <= m.length), 0L, (b, n) -> b | shiftleft(1L, m.length - n))
+        & aggregate(filter(sequence(0, 30), i -> array_contains(a.wdays, (m.first + i) % 7 + 1)), 0L, (b, i) -> b | shiftleft(1L, i)), 0L)))"""
+
+
+def with_index(schedules: DataFrame) -> DataFrame:
+    """``schedules`` with a column ``index`` made from ``alts``.
+
+    ``days``: scheduled days by kind of month; ``months``: those of the cycle from January 2000 on that have any, in words;
+    ``after`` and ``before``: how many words on and back from each, around the cycle, the nearest one is that is not zero.
+    """
+    out = schedules.withColumn("__days", F.expr(_DAYS))
+    month = "add_months(date'2000-01-01', {c})"
+    word = f"aggregate(sequence(0, {WORD - 1}), 0L, (x, i) -> x | if(__days[{_kind(month.format(c=f'w * {WORD} + i'))}] <> 0, shiftleft(1L, i), 0L))"
+    out = out.withColumn("__months", F.expr(f"transform(sequence(0, {WORDS - 1}), w -> {word})"))
+    near = "transform(sequence(0, {n}), w -> try_element_at(filter(sequence(1, {m}), s -> __months[pmod(w {sign} s, {m})] <> 0), 1))"
+    after, before = (F.expr(near.format(n=WORDS - 1, m=WORDS, sign=sign)) for sign in "+-")
+    index = F.struct(F.col("__days").alias("days"), F.col("__months").alias("months"), after.alias("after"), before.alias("before"))
+    return out.withColumn("index", index).drop("__days", "__months")
+
+
+def _nearest_date(df: DataFrame, date: str, name: str, direction: int) -> DataFrame:
+    """The nearest scheduled date after (+1) or before (-1) ``date``, by the row's ``index``; NULL if there is none."""
+    low = lambda x: f"bit_count(({x} & -{x}) - 1)"
+    high = lambda x: f"(length(bin({x})) - 1)"
+    end, near, sign = (low, "after", "+") if direction > 0 else (high, "before", "-")
+    beyond = (lambda x, n: f"({x} & ~(shiftleft({n[0]}, {n[1]}) - 1))") if direction > 0 else (lambda x, n: f"({x} & (shiftleft({n[0]}, {n[1]}) - 1))")
+    skip = 0 if direction > 0 else 1  # places up to the one itself, or before it
+    steps = {
+        "__first": f"trunc({date}, 'MM')",
+        "__rest": beyond(f"index.days[{_kind('__first')}]", ("1L", f"day({date}) - {skip}")),
+        "__c": "pmod((year(__first) - 2000) * 12 + month(__first) - 1, 4800)",
+        "__w": f"cast(__c div {WORD} as int)",
+        "__here": beyond("index.months[__w]", ("1L", f"cast(__c % {WORD} as int) + {1 - skip}")),
+        "__step": f"if(__here <> 0, 0, index.{near}[__w])",
+        "__bits": f"if(__here <> 0, __here, index.months[pmod(__w {sign} __step, {WORDS})])",
+        "__month": f"add_months(__first, cast((__w {sign} __step) * {WORD} + {end('__bits')} - __c as int))",
+        "__there": f"if(__rest <> 0, __rest, index.days[{_kind('__month')}])",
+        name: f"if(__rest <> 0, date_add(__first, cast({end('__rest')} as int)), date_add(__month, cast({end('__there')} as int)))",
+    }
+    df = df.selectExpr("*", *[f"{expression} as {column}" for column, expression in steps.items()])
+    return df.drop(*[c for c in steps if c != name])
+
+
 def nearest_run(
     df: DataFrame,
     ts: str,
     name: str,
     direction: int,
     same_allowed: bool = False,
-    horizon: int = STEPS[-1],
+    horizon: int = CYCLE,
 ) -> DataFrame:
     """Nearest scheduled timestamp after (+1) or before (-1) each row's ``ts``.
 
-    Rows carry their schedule in ``alts``.  The first two scheduled dates suffice:
-    the slots of the first may all lie on the wrong side.  At most ``horizon`` dates are
-    looked at; by default all of a whole cycle, so NULL means never.  Meant for a row per
-    lookup; use ``align_to_schedule`` for fact tables.
+    Rows carry their schedule in ``alts``, and its index from ``with_index``, best made before rows
+    are joined to schedules; where it is missing it is made here, once per different schedule.  Slots are only
+    generated for the date of ``ts`` and, if none there is on the right side, for the nearest other date.  A date
+    ``horizon`` or more days away counts as none; by default that is a whole cycle, so NULL means never.
     """
-    d, at = F.to_date(ts), F.col(ts).cast("timestamp_ntz")
-
-    def scheduled(dates: int) -> Column:
-        seq = F.sequence(d, F.date_add(d, direction * (dates - 1)))
-        return F.slice(F.filter(seq, lambda x: _on_schedule(F.col("alts"), x)), 1, 2)
-
-    # Most schedules fire within weeks; only the others pay for more.
-    two = F.array().cast("array<date>")
-    for n in [s for s in STEPS if s < horizon] + [horizon]:
-        df = df.withColumn("__near", F.when(F.size(two) == 2, two).otherwise(scheduled(n)))
-        two = F.col("__near")
-    slots = F.flatten(
-        F.transform(two, lambda x: F.transform(_minutes_of_day(F.col("alts"), x), lambda m: _at(x, m)))
-    )
-    if direction > 0:
-        right_side = F.filter(slots, lambda s: (s >= at) if same_allowed else (s > at))
-        return df.withColumn(name, F.array_min(right_side)).drop("__near")
-    right_side = F.filter(slots, lambda s: (s <= at) if same_allowed else (s < at))
-    return df.withColumn(name, F.array_max(right_side)).drop("__near")
+    had = "index" in df.columns
+    if not had:
+        plans = with_index(df.select("alts").distinct()).withColumnRenamed("alts", "__alts")
+        df = df.join(plans, F.col("alts").eqNullSafe(F.col("__alts"))).drop("__alts")
+    at = F.col(ts).cast("timestamp_ntz")
+    df = _nearest_date(df.withColumn("__d", F.to_date(ts)), "__d", "__near", direction)
 
+    def slots(d: str) -> Column:
+        return F.transform(_minutes_of_day(F.col("alts"), F.col(d)), lambda m: _at(F.col(d), m))
 
-def next_run(df: DataFrame, ts: str, name: str = "next_run", same_allowed: bool = False, horizon: int = STEPS[-1]) -> DataFrame:
+    if direction > 0:
+        right = F.filter(slots("__d"), lambda s: (s >= at) if same_allowed else (s > at))
+        best = F.array_min
+    else:
+        right = F.filter(slots("__d"), lambda s: (s <= at) if same_allowed else (s < at))
+        best = F.array_max
+    near_enough = F.abs(F.datediff("__near", "__d")) < horizon
+    df = df.withColumn("__today", best(right))
+    found = F.when(F.col("__today").isNotNull(), F.col("__today")).when(near_enough, best(slots("__near")))
+    return df.withColumn(name, found).drop("__d", "__near", "__today", *([] if had else ["index"]))
+
+
+def next_run(df: DataFrame, ts: str, name: str = "next_run", same_allowed: bool = False, horizon: int = CYCLE) -> DataFrame:
     return nearest_run(df, ts, name, +1, same_allowed, horizon)
 
 
-def prev_run(df: DataFrame, ts: str, name: str = "prev_run", same_allowed: bool = False, horizon: int = STEPS[-1]) -> DataFrame:
+def prev_run(df: DataFrame, ts: str, name: str = "prev_run", same_allowed: bool = False, horizon: int = CYCLE) -> DataFrame:
     return nearest_run(df, ts, name, -1, same_allowed, horizon)
 
 
-def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int = STEPS[-1]) -> DataFrame:
+def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int = CYCLE) -> DataFrame:
     """Per schedule and date: the day's slots, and the nearest slots of other days.
 
     The window runs over the dates of one schedule, whose number is set by the
@@ -202,6 +260,7 @@ def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int
         key, "alts", first.alias("__a"), last.alias("__b"),
         first.cast("timestamp_ntz").alias("__from"), F.date_add(last, 1).cast("timestamp_ntz").alias("__to"),
     )
+    edges = with_index(edges)
     edges = nearest_run(edges, "__from", "__before", -1, horizon=horizon)
     edges = nearest_run(edges, "__to", "__after", +1, same_allowed=True, horizon=horizon)
     days = edges.select(key, "alts", "__before", "__after", F.explode(F.sequence("__a", "__b")).alias("date"))
@@ -219,7 +278,7 @@ def slot_days(schedules: DataFrame, key: str, start: str, end: str, horizon: int
     )
 
 
-def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, horizon: int = STEPS[-1]) -> DataFrame:
+def align_to_schedule(facts: DataFrame, schedules: DataFrame, key: str, ts: str, horizon: int = CYCLE) -> DataFrame:
     """Previous (at or before) and next (after) slot for every row of a fact table.
 
     One equi join on (schedule, date).  ``schedules`` has ``key``, ``alts`` and the

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +35,17 @@ def data_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != "_load_id"])
 
 
+def code_page_name(encoding: str) -> str:
+    """The codec behind a name as databases and editors spell it: ``UTF8``, ``WIN1250``, ``LATIN2``; an unknown one is an error."""
+    name = encoding.strip().lower().replace("_", "-")
+    if re.fullmatch(r"win-?\d+", name):
+        name = f"windows-{name[3:].lstrip('-')}"
+    return codecs.lookup(name).name
+
+
 def _read_by_spark(encoding: str) -> bool:
     """Whether Spark reads the encoding itself; other code pages must have one byte per letter."""
-    name = encoding.upper().replace("_", "-")
-    if name in ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII", "ISO-8859-1"):
+    if encoding in SPARK_READS:
         return True
     for lead in range(128, 256):
         if not bytes([lead]).decode(encoding, "ignore") and any(
@@ -46,6 +56,13 @@ def _read_by_spark(encoding: str) -> bool:
     return False
 
 
+#: Codecs that Spark's reader has itself, and what it calls them.
+SPARK_READS = {
+    "utf-8": "UTF-8", "utf-16": "UTF-16", "utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-32": "UTF-32", "ascii": "US-ASCII",
+    "iso8859-1": "ISO-8859-1",
+}
+
+
 def read_extract(
     spark: SparkSession,
     path: str | list[str],
@@ -64,11 +81,12 @@ def read_extract(
 
     ``multi_line`` is needed only for line ends inside quotes and stops files from being split.
     """
+    encoding = code_page_name(encoding)
     single_byte = not _read_by_spark(encoding)
     df = (
         spark.read.schema(data_schema(schema))
         .options(**_options(sep, quote, escape, header, date_format, timestamp_format))
-        .option("encoding", "ISO-8859-1" if single_byte else encoding)
+        .option("encoding", SPARK_READS.get(encoding, "ISO-8859-1"))
         .option("nullValue", null)
         .option("emptyValue", _EMPTY)
         .option("mode", "FAILFAST")
@@ -95,12 +113,13 @@ def write_extract(
     mode: str = "error",
 ) -> None:
     """The writing side of ``read_extract``."""
+    encoding = code_page_name(encoding)
     single_byte = not _read_by_spark(encoding)
     if single_byte:
         df = df.withColumns({c: encoded(F.col(c), encoding) for c in _strings(df)})
     (
         df.write.options(**_options(sep, quote, escape, header, date_format, timestamp_format))
-        .option("encoding", "ISO-8859-1" if single_byte else encoding)
+        .option("encoding", SPARK_READS.get(encoding, "ISO-8859-1"))
         .option("nullValue", "")
         .option("emptyValue", quote + quote)
         .option("ignoreLeadingWhiteSpace", False)

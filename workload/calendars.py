@@ -11,7 +11,7 @@ from workload.base import day, query, stamp, table, text
 CRON_SQL = """
   select c_custkey,
     c_nationkey || ', ' || (c_nationkey + 30) || ' & ' || (c_custkey % 12) || ' - ' || (c_custkey % 12 + c_nationkey % 12)
-    || ' & 1,15 & * & 1-3,9-12 & ' || (c_custkey % 7 + 1)
+    || ' & 2,16 & * & 2-4,8-11 & ' || (c_custkey % 7 + 1)
     || ' | 0 & * & * & 1,' || (c_nationkey % 5 + 2) || ' & ' || (c_nationkey % 12 + 1) || '-6 & *' as spec
   from customer"""
 
@@ -20,7 +20,7 @@ def cron_texts(spark, sf):
     n, k = F.col("c_nationkey"), F.col("c_custkey")
     lit = F.lit
     first = F.concat(n, lit(", "), n + 30, lit(" & "), k % 12, lit(" - "), k % 12 + n % 12,
-                     lit(" & 1,15 & * & 1-3,9-12 & "), k % 7 + 1)
+                     lit(" & 2,16 & * & 2-4,8-11 & "), k % 7 + 1)
     second = F.concat(lit("0 & * & * & 1,"), n % 5 + 2, lit(" & "), n % 12 + 1, lit("-6 & *"))
     return table(spark, sf, "customer").select("c_custkey", F.concat(first, lit(" | "), second).alias("spec"))
 
@@ -154,7 +154,7 @@ LAST_EVENT = """last as (select user_id, event_type, ts from events
 
 def lookups(spark, sf):
     last = table(spark, sf, "events").groupBy("user_id").agg(F.max_by(F.struct("event_type", "ts"), "ts").alias("e"))
-    return last.select("user_id", "e.event_type", "e.ts").join(event_schedules(spark, sf), "event_type")
+    return last.select("user_id", "e.event_type", "e.ts").join(C.with_index(event_schedules(spark, sf)), "event_type")
 
 
 @query(

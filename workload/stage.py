@@ -47,8 +47,8 @@ def read_extract_encoded(spark, sf):
         "c_custkey", "c_name", F.translate("c_mktsegment", "ACERSZOU", "ÁČĚŘŠŽŐŮ").alias("segment")
     )
     path = new_folder(spark, "extract")
-    X.write_extract(customer, path, encoding="windows-1250")
-    return X.read_extract(spark, path, customer.schema, encoding="windows-1250")
+    X.write_extract(customer, path, encoding="WIN1250")
+    return X.read_extract(spark, path, customer.schema, encoding="WIN1250")
 
 
 @query(

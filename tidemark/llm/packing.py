@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.jobs import per_process, stored
+from tidemark.llm.pieces import Generations
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; it starts again when that many are reached.
+#: Words whose ids a worker remembers, in each of two generations.
 CACHE = 300_000
 #: Documents packed by one task.
 GROUP = 40_000
@@ -53,12 +53,7 @@ class WordTokenizer:
         # A special token between words keeps their ids apart, at a third of the time that single words take
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
         self.between, self.fence = special[-1] if special else (None, "")
-        self.cache = cache
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.table, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known = Generations(cache)
 
     def ids_of(self, new: list[bytes]) -> list[np.ndarray]:
         if self.between is None or any(b"<|" in x for x in new):
@@ -71,14 +66,6 @@ class WordTokenizer:
             out += [x[1:] if i else x for i, x in enumerate(np.split(ids, at))]
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        got = self.ids_of(new)
-        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-        size = np.array([len(x) for x in got], np.int64)
-        start = len(self.table) + np.cumsum(size) - size
-        self.table = np.concatenate([self.table, *got])
-        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the offsets of the texts in them."""
         raw = buf.tobytes()
@@ -92,16 +79,15 @@ class WordTokenizer:
         name = words.span_hashes(words.prefix(buf), start, end)
         _, one, which = np.unique(name, return_index=True, return_inverse=True)
         different = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-        at = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
-        if (at < 0).any():
-            if self.known and len(self.known) + int((at < 0).sum()) > self.cache:
-                self.clear()
-                at[:] = -1
-            self.learn([different[i] for i in np.flatnonzero(at < 0)])
-            at = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
-        at = at[which]
-        ids, id_at = words.gather(self.table, self.start[at], self.size[at])
-        return ids, id_at[first]
+        ids = [self.known.get(x) for x in different]
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self.ids_of([different[i] for i in new]) if new else (), strict=True):
+            ids[i] = x.tobytes()
+            self.known.put(different[i], ids[i])
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        at = np.cumsum(size) - size
+        out, id_at = words.gather(np.frombuffer(b"".join(ids), np.int32), at[which], size[which])
+        return out, id_at[first]
 
 
 def stretches(text: bytes):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,11 +121,30 @@ def running_sum(
     return out.withColumn(name, total.cast(df.select(F.sum(value).alias("s")).schema["s"].dataType)).drop(_SLICE, _CARRY)
 
 
+def number_rows(df: DataFrame, order: Sequence[By | str], name: str) -> DataFrame:
+    """All rows numbered from 1 in order, without a window: a row's place in its slice plus the sizes of the slices before.
+
+    Slice and place are written with the rows, so they are data like any other; the sizes, one for each slice, come to the
+    driver and go back as literals.
+    """
+    sort = [o.column() for o in as_order(order)]
+    cut = df.repartitionByRange(slice_count(df), *sort).sortWithinPartitions(*sort)
+    # The lower 33 bits count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sliced = settle(cut.select("*", F.spark_partition_id().alias(_SLICE), place.alias("__place")))
+    sizes = {r[_SLICE]: r["count"] for r in sliced.groupBy(_SLICE).count().collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    offset = F.get(F.expr(f"array({', '.join(f'{n}L' for n in before)})"), F.col(_SLICE))
+    return sliced.select(*df.columns, (offset + F.col("__place") + 1).alias(name))
+
+
 def row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[By | str], name: str, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Row number within a group, from 1; ``order`` must be unique within a group."""
     keys, order = list(keys), as_order(order)
+    if not keys:
+        return number_rows(df, order, name)
     if fits_one_task(df, keys, group_rows):
         w = Window.partitionBy(*keys).orderBy(*[o.column() for o in order])
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))

@@ -1,8 +1,8 @@
 """Joining rows to a table with one row per key when some keys are very frequent.
 
 Adaptive execution splits skewed partitions only where a join reads both sides
-straight from a shuffle.  A lookup table that was just aggregated does not qualify,
-so its frequent keys are salted here.
+straight from a shuffle.  A lookup table that was just aggregated does not qualify.  So rows with a frequent key
+are not shuffled at all: there are few such keys, and the rows looked up for them are broadcast.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-SALTS = 64
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
@@ -23,13 +22,14 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Colum
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, on: dict[str, str], columns: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: dict[str, str], columns: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS,
+    hot: Sequence[Row] | None = None,
 ) -> DataFrame:
     """``left`` with ``columns`` of the one ``right`` row that has its key, NULL keys included.
 
-    Keys with more than ``hot_rows`` rows are spread over ``SALTS`` partitions each, the
-    matching right rows copied as often.  There are at most rows / ``hot_rows`` such keys,
-    and only they are broadcast.  Rows are dealt by position, so equal rows part as well.
+    Keys with more than ``hot_rows`` rows are hot; ``hot`` names them where they are known already, else they are counted.  There
+    are at most rows / ``hot_rows`` of them, and only they and the right rows they find are broadcast.  Every row goes one of two
+    ways by its key alone, so a task that is computed again after an executor was lost gives the same rows.
     """
     keys = list(on)
     narrow = right.select(
@@ -37,20 +37,16 @@ def lookup(
     )
     match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)], F.lit(True))
     out = [*left.columns, *[F.col(f"__v_{c}").alias(c) for c in columns]]
-    hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    found = hot.select(*keys).collect()
-    if not found:
+    if hot is None:
+        hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys).collect()
+    if not hot:
         return left.join(narrow, match, how).select(*out)
-    marks = left.sparkSession.createDataFrame(found, left.select(*keys).schema).toDF(*[f"__h_{k}" for k in keys])
-    marked = F.broadcast(marks.withColumn("__hot", F.lit(True)))
-    is_hot = F.col("__hot").isNotNull()
-
-    def flagged(df: DataFrame, names: Sequence[str]) -> DataFrame:
-        pairs = [F.col(n).eqNullSafe(F.col(f"__h_{k}")) for n, k in zip(names, keys, strict=True)]
-        return df.join(marked, reduce(lambda a, b: a & b, pairs), "left")
-
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    salted = flagged(left, keys).withColumn("__salt", F.when(is_hot, spread).otherwise(0)).select(*left.columns, "__salt")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = flagged(narrow, [f"__r{i}" for i in range(len(keys))]).withColumn("__copy", F.explode(copies))
-    return salted.join(copied, match & (F.col("__salt") == F.col("__copy")), how).select(*out)
+    marks = left.sparkSession.createDataFrame(hot, left.select(*keys).schema).toDF(*[f"__h_{k}" for k in keys])
+
+    def is_hot(names: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__h_{k}")) for n, k in zip(names, keys, strict=True)])
+
+    found = narrow.join(F.broadcast(marks), is_hot([f"__r{i}" for i in range(len(keys))]), "left_semi")
+    rest = left.join(F.broadcast(marks), is_hot(keys), "left_anti").join(narrow, match, how)
+    most = left.join(F.broadcast(marks), is_hot(keys), "left_semi").join(F.broadcast(found), match, how)
+    return rest.select(*out).unionByName(most.select(*out))

@@ -21,7 +21,7 @@ from tidemark.operators.predicates import (
     valid,
     valid_at,
 )
-from tidemark.operators.skew import lookup
+from tidemark.operators.skew import HOT_ROWS, lookup
 from tidemark.session import settle
 
 HIST = ("start_ts", "end_ts")
@@ -217,13 +217,19 @@ def load_delta(target: DataFrame, feed: DataFrame, ids: Sequence[str], op: str,
 
 
 def assign_surrogate(rows: DataFrame, known: DataFrame, natural: Sequence[str], key: str) -> DataFrame:
-    """Keep the surrogate of a known natural key, number the unknown ones after the largest."""
-    known = known.select(*natural, key).distinct()
+    """Keep the surrogate of a known natural key, number the unknown ones after the largest.
+
+    The different natural keys are counted and joined to the known ones once, and written; numbering, the
+    frequent keys and the way back to the rows all start from there.  A natural key with several surrogates keeps the largest.
+    """
     top = known.agg(F.max(key).alias("m")).first()["m"] or 0
-    unseen = rows.select(*natural).distinct().join(known, list(natural), "left_anti")
-    fresh = dense_keys(unseen, natural, key, int(top))
-    mapping = known.unionByName(fresh.withColumn(key, F.col(key).cast(known.schema[key].dataType)))
-    return lookup(rows, mapping, {c: c for c in natural}, [key])
+    counted = rows.groupBy(*natural).agg(F.count("*").alias("__rows"))
+    joined = counted.join(known.select(*natural, key), list(natural), "left")
+    seen = settle(joined.groupBy(*natural).agg(F.first("__rows").alias("__rows"), F.max(key).alias(key)))
+    fresh = dense_keys(seen.where(F.col(key).isNull()).select(*natural), natural, key, int(top))
+    mapping = seen.where(F.col(key).isNotNull()).select(*natural, key).unionByName(fresh.withColumn(key, F.col(key).cast(known.schema[key].dataType)))
+    hot = seen.where(F.col("__rows") > HOT_ROWS).select(*natural).collect()  # one in so many rows at most
+    return lookup(rows, mapping, {c: c for c in natural}, [key], hot=hot)
 
 
 def load_reference_entity(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals as V
 from tidemark.operators import predicates as P
 from tidemark.operators import reshape as R
 from tidemark.plans import history as H
@@ -350,6 +351,20 @@ def join_version_range(spark, sf):
     return joined.select("o_orderkey", F.col("status").alias("version_status"), text("start_ts").alias("start_ts"))
 
 
+@query(
+    "join_versions",
+    """select a.event_id, b.event_id as during from events a join events b on a.event_type = b.event_type
+         and a.ts >= b.ts and a.ts < b.ts + to_minutes(b.user_id % 7)""",
+)
+def join_versions(spark, sf):
+    """Events during others of their type: few keys, each with very many overlapping intervals."""
+    events = table(spark, sf, "events")
+    spans = events.select(F.col("event_id").alias("during"), F.col("event_type").alias("kind"), F.col("ts").alias("start_ts"),
+                          (F.col("ts") + F.make_dt_interval(mins=F.col("user_id") % 7)).alias("end_ts"))
+    found = V.join_versions(events.select("event_id", "event_type", "ts"), spans, {"event_type": "kind"}, "ts", unit=60)
+    return found.select("event_id", "during")
+
+
 @query("valid_at", f"with {HISTORY_CTE} select {SHOWN} from val")
 def valid_at(spark, sf):
     return shown(P.valid_at(history_target(spark, sf), CUT_NEW))

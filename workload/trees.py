@@ -189,6 +189,33 @@ def descendants(spark, sf):
     return T.descendants(part_tree(spark, sf), "id", "parent_id", 1)
 
 
+@query(
+    "descendants_of_each",
+    f"""with recursive {TREE_CTE}, down as (
+      select p.id as start, t.id from tree t join tree p on p.id = t.parent_id where p.p_type = 'ECONOMY'
+      union all select d.start, t.id from down d join tree t on t.parent_id = d.id)
+    select start, id from down""",
+)
+def descendants_of_each(spark, sf):
+    tree = part_tree(spark, sf)
+    return T.descendants_of_each(tree, tree.where("p_type = 'ECONOMY'"), "id", "parent_id", "position")
+
+
+@query(
+    "downstream_of_each",
+    f"""with recursive {EDGES_CTE},
+    first as (select id as start, 'node ' || id as n from tree where kind = 2 and p_brand in (select distinct p_brand from part order by 1 limit 3)),
+    reach as (select start, dst as n from edges join first on n = src
+              union select r.start, e.dst from reach r join edges e on e.src = r.n)
+    select start, cast(n[6:] as bigint) as id from reach where n like 'node %'""",
+)
+def downstream_of_each(spark, sf):
+    tree = part_tree(spark, sf)
+    brands = tree.select("p_brand").distinct().orderBy("p_brand").limit(3)
+    starts = tree.where(F.col("kind") == T.ATOM).join(brands, "p_brand", "left_semi")
+    return T.downstream_of_each(tree, starts, "id", "parent_id", "position", "kind")
+
+
 @query(
     "successors",
     """with recursive e as (select distinct o_custkey as a, (o_custkey * 7 + o_orderkey) % (select count(*) from customer) as b from orders),

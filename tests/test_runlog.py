@@ -217,3 +217,19 @@ def test_patterns(spark):
         1: (2, False), 2: (1, True), 3: (2, False), 4: (0, True), 5: (0, False), 6: (0, True), 7: (1, True),
         8: (3, True), 9: (1, True),
     }
+
+
+def test_many_patterns_of_many_shapes(spark):
+    """Two thousand patterns, every arrangement of stars, nulls and repeats among them, against a loop over all pairs."""
+    rnd = random.Random(6)
+    token = lambda: rnd.choice(["a", "b", "c", "d", None, "*"])
+    instances = [(rnd.choice(["n", "n", "m", None]), [token() for _ in range(rnd.randrange(0, 6))] if rnd.random() < 0.97 else None, rnd.choice(["run", "ok", None])) for _ in range(250)]
+    conditions = [(i, rnd.choice(["n", "n", "m", "none"]), [rnd.choice(["*", token()]) for _ in range(rnd.randrange(0, 6))], rnd.choice(["run", "ok"]), rnd.random() < 0.5) for i in range(2000)]
+    got = L.eval_pattern_condition(spark.createDataFrame(instances, "name string, identifier array<string>, status string"),
+                                   spark.createDataFrame(conditions, "id int, name string, pattern array<string>, status string, negated boolean"))
+    want = []
+    for i, name, pattern, status, negated in conditions:
+        hit = [s for n, ident, s in instances if n == name and ident is not None and len(ident) == len(pattern) and all(p == "*" or p == e for p, e in zip(pattern, ident))]
+        same = sum(s == status for s in hit)
+        want.append((i, len(hit), same == 0 if negated else len(hit) > 0 and same == len(hit)))
+    assert rows(got, "id", "matches", "holds") == sorted(want, key=repr)

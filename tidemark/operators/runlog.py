@@ -353,23 +353,49 @@ def prefix_gate(
     return gated.where(F.col("gate").isNull() | (F.col(start) < F.col("gate")))
 
 
+def pattern_matches(identifiers: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(i_name, identifier, i_pattern) for every identifier and pattern of one name and length that agree element by element, ``*`` with any.
+
+    The patterns of a name and length are a trie: a node is the beginning that some of them share.  Identifiers go down it
+    together, one equi join per element, along the edge of their own element and along the star's.  Work follows the
+    nodes that identifiers reach, not the number of patterns or of arrangements of stars.
+    """
+    patterns = patterns.where(F.col("pattern").isNotNull()).select("name", "pattern", F.size("pattern").alias("size")).distinct()
+    edge = patterns.select("name", "size", "pattern", F.posexplode_outer("pattern").alias("depth", "token"))
+    edges = edge.select(F.col("name").alias("e_name"), F.col("size").alias("e_size"), "depth",
+                        F.slice("pattern", F.lit(1), F.coalesce("depth", F.lit(0))).alias("e_node"), F.col("token").alias("e_token"))
+    edges = settle(edges.distinct())  # a pattern without elements has one, of no depth
+    longest = edges.agg(F.max("e_size").alias("n")).first()["n"] or 0
+    roots = edges.select("e_name", "e_size").distinct()
+    start = identifiers.where(F.col("identifier").isNotNull()).select(F.col("name").alias("i_name"), "identifier").distinct()
+    front = start.join(roots, (F.col("i_name") == F.col("e_name")) & (F.size("identifier") == F.col("e_size"))).select(
+        "i_name", "identifier", F.array().cast("array<string>").alias("i_pattern"))
+    for depth in range(longest):
+        # Identifiers that are through pass by
+        more = F.size("identifier") > depth
+        own = F.array_distinct(F.array(F.get("identifier", F.lit(depth)), F.lit("*")))
+        probes = front.select("*", F.explode(F.when(more, own).otherwise(F.array(F.lit(None).cast("string")))).alias("token"))
+        on = (F.col("i_name") == F.col("e_name")) & (F.size("identifier") == F.col("e_size")) & (F.col("i_pattern") == F.col("e_node"))
+        reached = probes.join(edges.where(F.col("depth") == depth), on & F.col("token").eqNullSafe(F.col("e_token")), "left")
+        reached = reached.where(~more | F.col("e_name").isNotNull())
+        front = reached.select("i_name", "identifier", F.when(more, F.concat("i_pattern", F.array("token"))).otherwise(F.col("i_pattern")).alias("i_pattern"))
+        if depth % 8 == 7:
+            front = settle(front)  # keeps the plan short
+    return front
+
+
 def eval_pattern_condition(instances: DataFrame, conditions: DataFrame) -> DataFrame:
     """Conditions over all instances whose identifier matches a pattern.
 
     ``instances``: name, identifier, status; ``conditions``: id, name, pattern, status,
     negated.  ``*`` in a pattern stands for any element.  Instances are counted per
-    identifier and status, and offered under every shape of pattern in use, so the
-    match is an equality.  Negated: no instance has the status.  Otherwise all have it
-    and there is at least one.
+    identifier and status, and identifiers find their patterns by ``pattern_matches``.  Negated: no instance has the
+    status.  Otherwise all have it and there is at least one.
     """
     counts = instances.groupBy("name", "identifier", "status").agg(F.count("*").alias("n"))
-    shape = F.transform("pattern", lambda p: p == "*")
-    # One shape per arrangement of stars that anyone wrote: a handful, whatever the data.
-    shapes = conditions.select(shape.alias("__shape"), F.size("pattern").alias("__size")).distinct()
-    offered = counts.join(shapes, F.size("identifier") == F.col("__size")).drop("__size")
-    masked = F.zip_with("identifier", "__shape", lambda e, star: F.when(star, F.lit("*")).otherwise(e))
-    grouped = offered.groupBy(F.col("name").alias("i_name"), masked.alias("i_pattern"), F.col("status").alias("i_status"))
-    offered = grouped.agg(F.sum("n").alias("n"))
+    matched = pattern_matches(counts, conditions).withColumnRenamed("identifier", "m_identifier")
+    counted = matched.join(counts, (F.col("i_name") == F.col("name")) & (F.col("m_identifier") == F.col("identifier")))
+    offered = counted.groupBy("i_name", "i_pattern", F.col("status").alias("i_status")).agg(F.sum("n").alias("n"))
     joined = conditions.join(offered, all_of([F.col("name") == F.col("i_name"), F.col("pattern") == F.col("i_pattern")]), "left")
     same = F.coalesce(F.sum(F.when(F.col("i_status") == F.col("status"), F.col("n"))), F.lit(0))
     total = F.coalesce(F.sum("n"), F.lit(0))

@@ -88,6 +88,24 @@ def test_scores(spark, monkeypatch):
     assert sum(x.score for x in unseen) > 2.0 * sum(x.base_score for x in unseen)
 
 
+def test_all_texts_teach_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARE", 4000)
+    monkeypatch.setattr(mixing, "MERGED", 600)
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice(["The", "then", "cat", "dog", "ab"]) + str(r.randrange(30)) for _ in range(n))
+    long = [(i, text(7000)) for i in range(3)]  # each is longer than 32,000 bytes
+    model = mixing.train(frame(spark, long))
+    assert not np.allclose(model.by_node[1], 0.15) and not np.allclose(model.by_trust, 0.15)
+    many = [(i, text(5)) for i in range(1500)] + long[:1]
+    key, word = mixing.contexts(*mixing.stream(*words.texts(pa.array([t for _, t in many]))))
+    want = Counter(zip(key.tolist(), word.tolist(), strict=True))
+    for parts in (1, 5):
+        docs = frame(spark, many).repartition(parts).select("text")
+        rows = mixing.merge(docs, sum(len(t) for _, t in many)).collect()
+        got = [x for row in rows for x in zip(*(np.frombuffer(row[c], np.int64 if c == "n" else np.uint64).tolist() for c in ("key", "word", "n")), strict=True)]
+        assert len(rows) > 5 and len(got) == len(want) and {(k, w): n for k, w, n in got} == want
+
+
 def test_scores_of_nothing(spark):
     docs = frame(spark, []).withColumn("held_out", F.lit(False))
     assert mixing.score(docs, mixing.train(docs)).count() == 0

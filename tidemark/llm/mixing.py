@@ -2,9 +2,10 @@
 
 Texts are byte streams of their words. Each bit of a byte is predicted by several tables of bit counts, one per kind
 of context, found under a hash of the context and the bits before. The predictions, as logits, are summed with
-weights that two gates choose, and an adaptive map refines the result. Counts are sums over all training texts; the
-weights and the map learn online from a bounded sample of them. The finished model is fixed, so a text's score does not
-depend on the order in which texts are read.
+weights that two gates choose, and an adaptive map refines the result. Counts, weights and map come from all training
+texts. Spark merges their different contexts into slices by hash, each with how often it occurs; the slices learn online
+side by side from the same start, and the mean of what they have learnt starts the next round. The finished model is
+fixed, so a text's score does not depend on the order in which texts are read.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ ORDER = 5
 KINDS = ORDER + 1
 #: Places of hashed (context, bits before) for each kind.
 SLOTS = 1 << 21
-#: Documents that the mixing weights are learnt from, about, and the longest taken, in bytes.
-SAMPLE, LONGEST = 1000, 32_000
+#: Contexts that a task merges at once, and bytes of text whose contexts make a slice, about.
+MERGED, SHARE = 3 << 20, 8 << 20
 EPOCHS, BATCH, RATE = 2, 2048, 0.03
 #: Levels of the adaptive map.
 LEVELS = 33
-#: Byte costs that a worker remembers.
-CACHE = 1 << 22
+#: Costs of bytes, and of words after what is before them, that a worker remembers.
+CACHE = 1 << 21
 BLOCK = 16 << 20
 END, GAP = 10, 32
 
@@ -54,21 +55,33 @@ def stream(buf: np.ndarray, offsets: np.ndarray):
     return flat, at[row_at], at
 
 
+def keys(flat: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+    """For every byte, a number made of the ORDER bytes before it and itself."""
+    n = len(flat)
+    padded = np.concatenate([np.zeros(7, np.uint8), flat])
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64) & np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    for j in range(ORDER):  # nothing is known from before the text
+        at = row_at[:-1] + j
+        at = at[at < row_at[1:]]
+        unknown = sum(END << 8 * k for k in range(j + 1, ORDER + 1))
+        key[at] = key[at] & np.uint64((1 << 8 * (j + 1)) - 1) | np.uint64(unknown)
+    return key
+
+
+def expand(key: np.ndarray, running: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """Keys of the bytes of some words, hashes of their words so far, and the first byte of each word."""
+    at, first = words.gather(np.arange(len(key)), start, end - start)
+    return key[at], words.span_hashes(running, np.repeat(start, end - start), at), first
+
+
 def contexts(flat: np.ndarray, row_at: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every byte, a number made of the ORDER bytes before it and itself, and a hash of its word so far."""
-    n = len(flat)
-    key = np.zeros(n, np.uint64)
-    for k in range(1, ORDER + 1):
-        before = np.full(n, END, np.uint8)
-        before[k:] = flat[:-k] if k < n else before[k:]
-        for j in range(min(k, n)):  # nothing is known from before the text
-            at = row_at[:-1] + j
-            before[at[at < row_at[1:]]] = END
-        key |= before.astype(np.uint64) << np.uint64(8 * (k - 1))
-    running = words.prefix(flat)
-    begin = np.repeat(word_at[:-1], np.diff(word_at))
-    word = words.span_hashes(running, begin, np.arange(n))
-    return key << np.uint64(8) | flat, word
+    return expand(keys(flat, row_at), words.prefix(flat), word_at[:-1], word_at[1:])[:2]
+
+
+def placed(key: np.ndarray, running: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+    """64-bit name of every word with its end and the ORDER bytes before it, which all contexts of its bytes follow from."""
+    return together(key[word_at[:-1]] >> np.uint64(8), words.span_hashes(running, word_at[:-1], word_at[1:]))
 
 
 def together(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -76,10 +89,28 @@ def together(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return words.mix(key * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
-def distinct(key: np.ndarray, word: np.ndarray):
-    """Different contexts with their byte, and how often each is there."""
-    _, one, n = np.unique(together(key, word), return_index=True, return_counts=True)
-    return key[one], word[one], n
+def groups(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal names together, and where each of them begins in it."""
+    by = np.argsort(name)
+    name = name[by]
+    return by, np.flatnonzero(np.append(np.ones(min(1, len(name)), bool), name[1:] != name[:-1]))
+
+
+def distinct(key: np.ndarray, word: np.ndarray, n: np.ndarray):
+    """Different contexts with their byte, by name, and how often each is there."""
+    by, first = groups(together(key, word))
+    one = by[first]
+    return key[one], word[one], np.add.reduceat(n[by], first) if len(first) else n
+
+
+def counted(buf: np.ndarray, offsets: np.ndarray):
+    """Different contexts of some texts, and how often each is there; words in the same place are taken together first."""
+    flat, row_at, word_at = stream(buf, offsets)
+    key, running = keys(flat, row_at), words.prefix(flat)
+    by, first = groups(placed(key, running, word_at))
+    one, n = by[first], np.diff(np.append(first, len(by)))
+    key, word, at = expand(key, running, word_at[:-1][one], word_at[1:][one])
+    return distinct(key, word, np.repeat(n, np.diff(at)))
 
 
 def kinds(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -103,9 +134,18 @@ def bits(byte: np.ndarray):
         yield (byte >> np.uint64(j + 1)) | np.uint64(1 << (7 - j)), ((byte >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
 
 
-LOG = np.log(words.COUNT + 0.4).astype(np.float32)
-#: How sure a count makes: four steps.
-SURE = np.digitize(words.COUNT, [1, 4, 32]).astype(np.int64)
+def logits() -> tuple[np.ndarray, np.ndarray]:
+    """Of every pair of small counts (zeros, ones * 256) its logit, and how sure the larger count makes, in four steps.
+
+    Then of all pairs less a zero of their own, and of all pairs less a one; what is more than 32 stays.
+    """
+    log = np.log(words.COUNT + 0.4).astype(np.float32)
+    sure = np.digitize(words.COUNT, [1, 4, 32])
+    pair = np.arange(1 << 16)
+    zeros, ones = pair & 255, pair >> 8
+    less = lambda n: np.where((n > 0) & (n <= 32), n - 1, n)
+    cases = [(zeros, ones), (less(zeros), ones), (zeros, less(ones))]
+    return np.concatenate([log[o] - log[z] for z, o in cases]), np.concatenate([sure[np.maximum(z, o)] for z, o in cases])
 
 
 @dataclass
@@ -116,30 +156,35 @@ class Model:
     refined: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-8, 8, LEVELS), (256, 1)))
     name: str = field(default_factory=lambda: uuid4().hex)
 
+    def __post_init__(self):
+        self.logit, self.sure = logits()
+
     def __getstate__(self):
-        return self.__dict__ | {"tables": (self.tables.shape, zlib.compress(self.tables.tobytes(), 1))}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("logit", "sure")}
+        return state | {"tables": (self.tables.shape, zlib.compress(self.tables.tobytes(), 1))}
 
     def __setstate__(self, state):
         shape, data = state["tables"]
         self.__dict__ |= state | {"tables": np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape)}
+        self.__post_init__()
 
     def inputs(self, hashes: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
         """Logits of all kinds and a constant, and the gate chosen by how much the longest contexts have seen; own: bits not to count."""
         x = np.empty((hashes.shape[1], KINDS + 1), np.float32)
         trust = np.zeros(hashes.shape[1], np.int64)
+        pairs = self.tables.view("<u2")
         for i in range(KINDS):
-            seen = self.tables[i][slots(hashes[i], node)]
+            at = pairs[i, :, 0].take(slots(hashes[i], node)).astype(np.int64)
             if own is not None:
-                mine = seen[np.arange(len(own)), own]
-                seen[np.arange(len(own)), own] = np.where((mine > 0) & (mine <= 32), mine - 1, mine)
-            x[:, i] = LOG[seen[:, 1]] - LOG[seen[:, 0]]
+                at += own + 1 << 16
+            x[:, i] = self.logit.take(at)
             if i >= ORDER - 2:
-                trust = trust * 4 + SURE[np.maximum(seen[:, 0], seen[:, 1])]
+                trust = trust * 4 + self.sure.take(at)
         x[:, KINDS] = 0.3
         return x, trust
 
     def mixed(self, x: np.ndarray, node: np.ndarray, trust: np.ndarray) -> np.ndarray:
-        return np.clip(((self.by_node[node] + self.by_trust[trust]) * x).sum(1), -12, 12)
+        return np.clip(np.einsum("ij,ij->i", self.by_node.take(node, 0) + self.by_trust.take(trust, 0), x), -12, 12)
 
     def level(self, logit: np.ndarray):
         at = np.clip((logit + 8) * (LEVELS - 1) / 16, 0, LEVELS - 1.001)
@@ -148,33 +193,52 @@ class Model:
 
     def refine(self, logit: np.ndarray, node: np.ndarray):
         low, part = self.level(logit)
-        return 0.5 * logit + 0.5 * (self.refined[node, low] * (1 - part) + self.refined[node, low + 1] * part), low, part
-
-    def learn(self, key: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
-        """One online step per batch of bits; key: contexts with their byte; count: how often each stands in the sample."""
-        random = np.random.default_rng(9)
-        squares = np.full(self.by_node.shape, 1.0), np.full(self.by_trust.shape, 1.0)
-        for epoch in range(EPOCHS):
-            order = random.permutation(len(key))
-            rate = RATE / (1 + epoch)
-            for lo in range(0, len(order), BATCH):
-                some = order[lo : lo + BATCH]
-                hashes, weight = kinds(key[some], word[some]), count[some].astype(float)
-                weight = weight / weight.sum()
-                for node, bit in bits(key[some] & np.uint64(255)):
-                    x, trust = self.inputs(hashes, node, bit)
-                    where = node.astype(np.int64)
-                    logit = self.mixed(x, where, trust)
-                    wrong = (bit - 1 / (1 + np.exp(-logit))) * weight * len(some)
-                    for gate, at, square in ((self.by_node, where, squares[0]), (self.by_trust, trust, squares[1])):
-                        slope = np.zeros_like(gate)
-                        np.add.at(slope, at, wrong[:, None] * x)
-                        square += slope * slope
-                        gate += rate * slope / np.sqrt(square)
-                    _, low, part = self.refine(logit, where)
-                    near = np.where(part < 0.5, low, low + 1)
-                    off = bit - 1 / (1 + np.exp(-self.refined[where, near]))
-                    np.add.at(self.refined, (where, near), rate * off * weight * len(some))
+        at = node * LEVELS + low
+        return 0.5 * logit + 0.5 * (self.refined.take(at) * (1 - part) + self.refined.take(at + 1) * part), low, part
+
+    def learn(self, key: np.ndarray, word: np.ndarray, count: np.ndarray, epoch: int) -> np.ndarray:
+        """What contexts that stand ``count`` times each teach, one online step per batch of bits; this model stays as it is.
+
+        The gates and the map, each cell times the weight of what it has seen, and then these weights.
+        """
+        gates = self.by_node.copy(), self.by_trust.copy()
+        mine = Model(self.tables, *gates, self.refined.copy(), self.name)
+        squares = [np.ones(g.shape) for g in gates]
+        seen = [np.zeros(len(g)) for g in gates] + [np.zeros(self.refined.shape)]
+        rate = RATE / (1 + epoch)
+        order = np.random.default_rng(9 + epoch).permutation(len(key))
+        mean = count.sum() / max(len(count), 1)
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            hashes, weight = kinds(key[some], word[some]), count[some] / mean
+            for node, bit in bits(key[some] & np.uint64(255)):
+                x, trust = self.inputs(hashes, node, bit)
+                where = node.astype(np.int64)
+                logit = mine.mixed(x, where, trust)
+                slope = ((bit - 1 / (1 + np.exp(-logit))) * weight)[:, None] * x
+                for gate, at, square, of in zip(gates, (where, trust), squares, seen):
+                    steep = np.stack([np.bincount(at, slope[:, i], len(gate)) for i in range(KINDS + 1)], 1)
+                    square += steep * steep
+                    gate += rate * steep / np.sqrt(square)
+                    of += np.bincount(at, weight, len(gate))
+                low, part = mine.level(logit)
+                cell, here = np.unique(where * LEVELS + np.where(part < 0.5, low, low + 1), return_inverse=True)
+                off = bit - 1 / (1 + np.exp(-mine.refined.take(cell)))[here]
+                heavy = np.bincount(here, weight)
+                # However often a context stands, a cell goes no farther than it is off
+                mine.refined.ravel()[cell] += np.bincount(here, weight * off) / heavy * -np.expm1(-rate * heavy)
+                seen[2].ravel()[cell] += heavy
+        learnt = [gate * of[:, None] for gate, of in zip(gates, seen)] + [mine.refined * seen[2]]
+        return np.concatenate([x.ravel() for x in learnt + seen])
+
+    def take(self, total: np.ndarray) -> None:
+        """Goes on with the mean of what was learnt, from sums of ``learn``; cells that saw nothing stay."""
+        own = self.by_node, self.by_trust, self.refined
+        sizes = [x.size for x in own] + [len(self.by_node), len(self.by_trust)]
+        parts = np.split(total, np.cumsum(sizes))
+        for x, learnt, seen in zip(own, parts[:3], parts[3:], strict=True):
+            seen = seen.reshape(x.shape) if seen.size == x.size else np.repeat(seen[:, None], x.shape[1], 1)
+            x[:] = np.where(seen > 0, learnt.reshape(x.shape) / np.maximum(seen, 1e-300), x)
 
     def costs(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's byte after its context."""
@@ -188,34 +252,109 @@ class Model:
         return total / math.log(10)
 
 
+class Memory:
+    """Costs found under 64-bit names; of names that want one place, the last has it."""
+
+    def __init__(self):
+        self.name, self.cost = np.zeros(CACHE, np.uint64), np.zeros(CACHE)
+
+    def get(self, name: np.ndarray, make) -> np.ndarray:
+        """Costs of all names; ``make`` finds those of some places in ``name``."""
+        at = (name & np.uint64(CACHE - 1)).astype(np.int64)
+        cost = self.cost[at]
+        missing = np.flatnonzero(self.name[at] != name)
+        if len(missing):
+            by, first = groups(name[missing])
+            one = missing[by[first]]
+            fresh = make(one)
+            cost[missing[by]] = np.repeat(fresh, np.diff(np.append(first, len(by))))
+            place, last = np.unique(at[one][::-1], return_index=True)
+            last = len(one) - 1 - last
+            self.name[place], self.cost[place] = name[one][last], fresh[last]
+        return cost
+
+
 class Scorer:
-    """Costs of bytes with a memory; the same context and byte cost the same everywhere."""
+    """Costs of texts with a memory; the same word after the same bytes costs the same everywhere."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.key, self.cost = np.zeros(CACHE, np.uint64), np.zeros(CACHE)
+        self.model, self.words, self.bytes = model, Memory(), Memory()
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         flat, row_at, word_at = stream(buf, offsets)
-        key, word = contexts(flat, row_at, word_at)
-        name = together(key, word)
-        at = (name & np.uint64(CACHE - 1)).astype(np.int64)
-        cost = self.cost[at]
-        missing = np.flatnonzero(self.key[at] != name)
-        if len(missing):
-            new, one, which = np.unique(name[missing], return_index=True, return_inverse=True)
-            one = missing[one]
-            fresh = np.concatenate([self.model.costs(key[one[lo : lo + 8192]], word[one[lo : lo + 8192]]) for lo in range(0, len(one), 8192)])
-            cost[missing] = fresh[which]
-            # Of names that want one place, the last has it
-            place, last = np.unique((new & np.uint64(CACHE - 1)).astype(np.int64)[::-1], return_index=True)
-            last = len(new) - 1 - last
-            self.key[place], self.cost[place] = new[last], fresh[last]
-        return words.sums(cost, row_at)
+        key, running = keys(flat, row_at), words.prefix(flat)
+
+        def cost(some):
+            k, w, first = expand(key, running, word_at[:-1][some], word_at[1:][some])
+            new = lambda one: np.concatenate([self.model.costs(k[one[lo : lo + 8192]], w[one[lo : lo + 8192]]) for lo in range(0, len(one), 8192)])
+            return words.sums(self.bytes.get(together(k, w), new), first)
+
+        return words.sums(self.words.get(placed(key, running, word_at), cost), np.searchsorted(word_at, row_at))
 
 
-def tabulate(texts: DataFrame) -> np.ndarray:
-    """The tables of all kinds for the column ``text``, in small counts: 2 x KINDS x SLOTS bytes whatever the corpus.
+def merge(texts: DataFrame, size: int) -> DataFrame:
+    """All different contexts of the column ``text`` and how often each stands there: rows of contexts by name, one per slice.
+
+    ``size``: bytes of text. The slices do not depend on how the texts are partitioned.
+    """
+    slices = max(1, size // SHARE)
+    border = np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
+    fields = "slice int, key binary, word binary, n binary"
+    kinds = [np.uint64, np.uint64, np.int64]
+
+    def row(i, contexts):
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in contexts)], names=["slice", "key", "word", "n"])
+
+    def together_of(held):
+        return distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def run(batches):
+        held, n = [], 0
+
+        def close():
+            at = np.concatenate([[0], np.searchsorted(together(*held[0][:2]), border), [len(held[0][0])]])
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                yield row(i, [x[at[i] : at[i + 1]] for x in held[0]])
+
+        for batch in batches:
+            for _, _, b, o in words.pieces(*words.texts(batch.column(0)), 1 << 20):
+                held.append(counted(b, o))
+                n += len(held[-1][0])
+                if n > MERGED:
+                    held = [together_of(held)]
+                    n = len(held[0][0])
+                    if n > MERGED * 2 // 3:
+                        yield from close()
+                        held, n = [], 0
+        if held:
+            held = [together_of(held)]
+            yield from close()
+
+    def add(batches):
+        now, held = None, []
+        for batch in batches:
+            for i, *contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and i != now:
+                    yield row(now, together_of(held))
+                    held = []
+                now = i
+                held.append([np.frombuffer(x, k) for x, k in zip(contexts, kinds, strict=True)])
+        if now is not None:
+            yield row(now, together_of(held))
+
+    few = texts.select("text").coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, size >> 26))
+    return stored(few.mapInArrow(run, fields).repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(add, fields))
+
+
+def contexts_of(batches):
+    """(key, word, n) of every row of ``merge``."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((1, np.uint64), (2, np.uint64), (3, np.int64))]
+
+
+def tabulate(merged: DataFrame, size: int) -> np.ndarray:
+    """The tables of all kinds, in small counts: 2 x KINDS x SLOTS bytes whatever the corpus.
 
     Every task fills tables of its own and sends them in one byte a place.
     """
@@ -224,16 +363,14 @@ def tabulate(texts: DataFrame) -> np.ndarray:
 
     def run(batches):
         table = np.zeros((KINDS, cells), np.float32)
-        for batch in batches:
-            for _, _, b, o in words.pieces(*words.texts(batch.column(0)), 2 << 20):
-                key, word, n = distinct(*contexts(*stream(b, o)))
-                n = n.astype(np.float32)
-                for lo in range(0, len(key), 1 << 15):
-                    some = slice(lo, lo + (1 << 15))
-                    hashes = kinds(key[some], word[some])
-                    for node, bit in bits(key[some] & np.uint64(255)):
-                        for kind in range(KINDS):
-                            np.add.at(table[kind], slots(hashes[kind], node) * 2 + bit, n[some])
+        for key, word, n in contexts_of(batches):
+            n = n.astype(np.float32)
+            for lo in range(0, len(key), 1 << 15):
+                some = slice(lo, lo + (1 << 15))
+                hashes = kinds(key[some], word[some])
+                for node, bit in bits(key[some] & np.uint64(255)):
+                    for kind in range(KINDS):
+                        np.add.at(table[kind], slots(hashes[kind], node) * 2 + bit, n[some])
         for kind in range(KINDS):
             for i in range(SLICES):
                 mine = table[kind, i * width : (i + 1) * width]
@@ -256,9 +393,8 @@ def tabulate(texts: DataFrame) -> np.ndarray:
         if now is not None:
             yield close()
 
-    # Tables are sent per task, so a task takes much text
-    size = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    few = texts.select("text").coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, size >> 26))
+    # Tables are sent per task, so a task takes many contexts
+    few = merged.coalesce(max(merged.sparkSession.sparkContext.defaultParallelism, size >> 28))
     parts = few.mapInArrow(run, "slice int, n binary")
     summed = parts.repartition(SLICES // 4, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, n binary").toArrow()
     out = np.zeros(KINDS * cells, np.uint8)
@@ -267,15 +403,36 @@ def tabulate(texts: DataFrame) -> np.ndarray:
     return out.reshape(KINDS, SLOTS, 2)
 
 
+def learn(merged: DataFrame, model: Model, epoch: int) -> None:
+    """One round over all contexts: every slice learns from where ``model`` is, which then takes the mean of all."""
+    shared = merged.sparkSession.sparkContext.broadcast(model)
+
+    def total(arrays):
+        out = None
+        for x in arrays:
+            out = x if out is None else out + x
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["learnt"])
+
+    def run(batches):
+        yield from total(shared.value.learn(*x, epoch) for x in contexts_of(batches))
+
+    def add(batches):
+        yield from total(np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist())
+
+    got = merged.mapInArrow(run, "learnt binary").repartition(4).mapInArrow(add, "learnt binary").toArrow()["learnt"]
+    if len(got):
+        model.take(sum(np.frombuffer(x) for x in got.to_pylist()))
+
+
 def train(texts: DataFrame, text: str = "text") -> Model:
     """A model of all texts. A null text counts as empty; no texts give a model that knows nothing."""
     plain = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = plain.count()
-    model = Model(tabulate(plain))
-    short = plain.where(F.octet_length("text") <= LONGEST)
-    some = short.where(F.xxhash64("text", F.lit(3)).cast("double") / float(1 << 63) <= 2 * min(1.0, SAMPLE / max(n, 1)) - 1).distinct().toArrow()["text"]
-    if len(some):
-        model.learn(*distinct(*contexts(*stream(*words.texts(some)))))
+    size = plain.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    merged = merge(plain, size)
+    model = Model(tabulate(merged, size))
+    for epoch in range(EPOCHS):
+        learn(merged, model, epoch)
     return model
 
 

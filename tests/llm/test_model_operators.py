@@ -253,6 +253,33 @@ def test_items_in_blocks(spark, monkeypatch):
     assert got == {i: [i] for i in range(5)} | {50: [0, 3], 51: []}
 
 
+def test_all_passages_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "PAIRS", 500)
+    monkeypatch.setattr(contamination, "SUMMED", 300)
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(40)}" for _ in range(r.choice([0, 1, 47, 48, 49, 130]))) for _ in range(150)] * 2 + [None]
+    docs = frame(spark, list(enumerate(texts))).repartition(5)
+    weight = np.random.default_rng(1).random(contamination.TERMS).astype(np.float32) + 0.1
+    known = np.unique(contamination.places(contamination.word_hashes([" ".join(f"w{i}" for i in range(30))])[0]))
+    column = np.full(contamination.TERMS, -1, np.int32)
+    column[known] = np.arange(len(known))
+    want, n = np.zeros((len(known), len(known))), 0
+    for t in texts:
+        at = contamination.places(contamination.word_hashes([t or ""])[0])
+        for lo in range(0, len(at), 48):
+            row = np.bincount(at[lo : lo + 48], minlength=contamination.TERMS) * weight
+            row = row[known] / np.sqrt((weight[at[lo : lo + 48]].astype(float) ** 2).sum())
+            want, n = want + np.outer(row, row), n + 1
+    rows = contamination.occurring(docs, "text", 20_000, weight, column, len(known))
+    got = np.zeros_like(want)
+    for x in rows.where(F.col("i") < len(known)).collect():
+        got[x.i, x.j] += x.v
+    assert rows.where(F.col("i") == len(known)).agg(F.sum("v")).first()[0] == n
+    assert np.allclose(got, want, rtol=1e-5)
+    basis = np.random.default_rng(2).standard_normal((len(known), 4))
+    assert np.allclose(contamination.product(rows, np.arange(len(known)), basis), want @ basis, rtol=1e-3, atol=1e-3)
+
+
 def planted(spark, sizes, copies, seed, size=150):
     """Texts of frequent and rare words, of which some hold an item verbatim: documents, benchmark and the pairs (document, item)."""
     r = random.Random(seed)

@@ -7,7 +7,8 @@ however long they are and however often they occur.
 
 Windows of about the item's own length are checked whenever the bound allows it. Wider surroundings of a passage are
 checked if the passage is near the item in a latent space as well: passages are TF-IDF vectors over hashed words, and
-a randomised SVD of a group of items and a sample of the corpus's passages, summed by Spark, gives the space.
+a randomised SVD of a group of items and all of the corpus's passages gives the space. Spark sums up once how the items'
+words occur together in the passages; the SVD multiplies by that matrix, whose size the items limit.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ TERMS = 1 << 18
 SEGMENT, SEGMENTS = 16, 3
 #: Dimensions of a latent space, and items that share one, fewer than there are dimensions.
 RANK, GROUP = 192, 128
-#: Passages of the corpus that a space is fitted on beside the items, about; every passage is searched.
-SAMPLE = 20_000
+#: Pairs of words in a passage that are sorted at once, those summed at once, and those sent in one row.
+PAIRS, SUMMED, SENT = 1 << 21, 3 << 19, 1 << 16
 #: Segments times items that are bounded at once, about, and how far sums of small numbers may be off.
 CELLS, SLACK = 1 << 20, 1e-3
 #: Passages multiplied, and bytes of text searched, at once.
@@ -109,68 +110,127 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     return [h[first[i] : first[i + 1]] for i in range(len(texts))]
 
 
-def gram(rows: DataFrame, weight: np.ndarray, column: np.ndarray, scale: float, basis: np.ndarray, left: bool) -> np.ndarray:
-    """A'(AX) for the passages' matrix A and the columns X of ``basis``, or (AX)'(AX) unless ``left``; tasks send their sums."""
-    shared = rows.sparkSession.sparkContext.broadcast((weight, column, basis.astype(np.float32)))
-    shape = basis.shape if left else (basis.shape[1], basis.shape[1])
+def summed(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order and the sums of their values."""
+    by = np.argsort(code)
+    code = code[by]
+    first = np.flatnonzero(np.append(np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
+    return code[first], np.add.reduceat(value[by], first) if len(first) else value
 
-    def run(batches):
-        weight, column, basis = shared.value
-        total = np.zeros(shape)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, FEW):
-                some = batch.column(0).slice(lo, FEW)
-                at = some.flatten().to_numpy()
-                first = np.concatenate([[0], np.cumsum(some.value_lengths().to_numpy())])
-                norm = np.sqrt(np.maximum(words.sums(weight[at].astype(float) ** 2, first), 1e-9))
-                value = weight[at] / np.repeat(norm, np.diff(first))
-                col = column[at]
-                mine = col >= 0
-                value, col = value[mine], col[mine]
-                kept = np.concatenate([[0], np.cumsum(mine)])[first]
-                ax = words.sums(basis[col] * value[:, None], kept)
-                if left:
-                    np.add.at(total, col, ax[words.row_of(kept)] * value[:, None])
-                else:
-                    total += ax.T.astype(float) @ ax
-        cells = 1 << 16
-        flat = total.ravel()
-        for i in range(0, len(flat), cells):
-            yield pa.RecordBatch.from_arrays([pa.array([i // cells], pa.int32()), pa.array([flat[i : i + cells].tobytes()], pa.binary())], names=["part", "data"])
 
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(data)
-                held[i] = held[i] + data if i in held else data
-        for i, data in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+def occurring(docs: DataFrame, text: str, total: int, weight: np.ndarray, column: np.ndarray, size: int) -> DataFrame:
+    """(i, j, v): A'A for the matrix A of all passages, side by side, of all documents and the ``size`` words that have a ``column``.
 
-    got = rows.select("at").mapInArrow(run, "part int, data binary").repartition(16, "part").mapInArrow(add, "part int, data binary").toArrow()
-    parts = dict(zip(got["part"].to_pylist(), got["data"].to_pylist(), strict=True))
-    flat = np.concatenate([np.frombuffer(parts[i]) for i in sorted(parts)]) if parts else np.zeros(shape).ravel()
-    return scale**2 * flat.reshape(shape)
+    Each passage has length 1 over all of its words. One more row ``size`` holds the number of passages. ``total``: words of all documents.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((weight, column))
+    parts = max(16, total >> 20)
+    width = -(-(size * size + 1) // parts)
+
+    def products(at, first, weight, column):
+        """Codes of the pairs of words in each passage, and what they add, in 64 bits: 36 and 28."""
+        start, row = segments(first, len(at))
+        begin = start[:-1][(np.arange(row[-1]) - np.repeat(row[:-1], np.diff(row))) % SEGMENTS == 0]
+        cut = np.append(begin, len(at))
+        norm = np.sqrt(np.maximum(words.sums(weight[at].astype(float) ** 2, cut), 1e-9))
+        mine = np.flatnonzero(column[at] >= 0)
+        passage = np.searchsorted(cut, mine, "right") - 1
+        col, value = column[at[mine]].astype(np.int64), (weight[at[mine]] / norm[passage]).astype(np.float32)
+        length = np.searchsorted(passage, passage, "right") - np.arange(len(mine))
+        for lo in range(0, len(mine), 1 << 15):
+            some = np.arange(lo, min(lo + (1 << 15), len(mine)))
+            a = np.repeat(some, length[some])
+            b, _ = words.gather(np.arange(len(mine)), some, length[some])
+            v = value[a] * value[b] * np.where((col[a] == col[b]) & (a != b), np.float32(2), np.float32(1))
+            code = np.minimum(col[a], col[b]) * size + np.maximum(col[a], col[b])
+            yield code.astype(np.uint64) << np.uint64(28) | (v.astype(np.float32).view(np.uint32) >> np.uint32(3)).astype(np.uint64)
+
+    def added(packed):
+        x = np.sort(np.concatenate(packed))
+        code = (x >> np.uint64(28)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        value = ((x & np.uint64((1 << 28) - 1)).astype(np.uint32) << np.uint32(3)).view(np.float32)
+        return code[first], np.add.reduceat(value.astype(float), first)
 
+    def run(batches):
+        weight, column = shared.value
+        held, n, packed, waiting, passages = [], 0, [], 0, 0
 
-def sample(docs: DataFrame, text: str, passages: float) -> DataFrame:
-    """Hashed words of about ``SAMPLE`` passages, chosen with their documents by hash of the text."""
-    part = docs.select(F.col(text).alias("text")).where(F.xxhash64("text").cast("double") / float(1 << 63) <= 2 * min(1.0, SAMPLE / max(passages, 1)) - 1).distinct()
+        def close(code, value):
+            at = np.searchsorted(code, np.arange(parts + 1) * width)
+            for i in np.flatnonzero(np.diff(at)).tolist():
+                for lo in range(at[i], at[i + 1], SENT):
+                    data = [x[lo : min(lo + SENT, at[i + 1])].tobytes() for x in (code, value)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["part", "code", "value"])
 
-    def run(batches):
         for batch in batches:
             for _, _, b, o in words.pieces(*words.texts(batch.column(0))):
                 h, first, _ = terms(b, o)
-                start, _ = segments(first, len(h))
-                # Passages side by side
-                at = np.append(start[:-1][::SEGMENTS], len(h)) if len(start) > 1 else np.zeros(1, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places(h).astype(np.int32)))], names=["at"])
+                passages += int((-(-np.diff(first) // (SEGMENT * SEGMENTS))).sum())
+                for x in products(places(h), first, weight, column) if len(h) else ():
+                    packed.append(x)
+                    waiting += len(x)
+                    if waiting > PAIRS:
+                        held.append(added(packed))
+                        n += len(held[-1][0])
+                        packed, waiting = [], 0
+                        if n > SUMMED:
+                            held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                            n = len(held[0][0])
+                            if n > SUMMED * 2 // 3:
+                                yield from close(*held[0])
+                                held, n = [], 0
+        if waiting:
+            held.append(added(packed))
+        held.append((np.array([size * size]), np.array([float(passages)])))
+        yield from close(*summed(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    def add(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i, code, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(i, []).append((np.frombuffer(code, np.int64), np.frombuffer(value)))
+        for i in list(held):
+            code, value = summed(*(np.concatenate(x) for x in zip(*held.pop(i), strict=True)))
+            for lo in range(0, len(code), SENT):
+                c = code[lo : lo + SENT]
+                yield pa.RecordBatch.from_arrays([pa.array(c // max(size, 1)), pa.array(c % max(size, 1)), pa.array(value[lo : lo + SENT])], names=["i", "j", "v"])
+
+    # Sums are sent per task, so a task takes much text
+    few = docs.select(text).coalesce(max(spark.sparkContext.defaultParallelism, total >> 23))
+    half = stored(few.mapInArrow(run, "part int, code binary, value binary").repartition(parts, "part").mapInArrow(add, "i long, j long, v double"))
+    mirrored = half.where((F.col("i") != F.col("j")) & (F.col("i") < size)).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return stored(half.union(mirrored).repartition(16, "i").sortWithinPartitions("i"))
+
+
+def product(pairs: DataFrame, place: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'AX for the columns X of ``basis``; ``pairs``: see ``occurring``; ``place``: of each of its rows the one in ``basis``, or -1."""
+    shared = pairs.sparkSession.sparkContext.broadcast((place, basis.astype(np.float32)))
+    columns = basis.shape[1]
 
-    return stored(part.mapInArrow(run, "at array<int>"))
+    def run(batches):
+        place, basis = shared.value
+        for batch in batches:
+            i, j, v = (c.to_numpy() for c in batch.columns)
+            i, j = place[i], place[j]
+            mine = (i >= 0) & (j >= 0)
+            i, j, v = i[mine], j[mine], v[mine]
+            if len(i):
+                first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                out = np.add.reduceat(basis[j] * v[:, None], first)
+                yield pa.RecordBatch.from_arrays([pa.array(i[first], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["i", "data"])
+
+    out = np.zeros((len(basis), columns))
+    got = pairs.where(F.col("i") < len(place)).mapInArrow(run, "i int, data binary").toArrow()
+    for i, data in zip(got["i"].to_pylist(), got["data"].to_pylist(), strict=True):
+        out[i] += np.frombuffer(data)
+    shared.unpersist()
+    return out
 
 
-def fit(passages: DataFrame, n: int, weight: np.ndarray, items: list[np.ndarray]) -> Space:
-    """The latent space of some items and ``n`` sampled passages, each with half of the weight."""
+def fit(pairs: DataFrame, n: int, known: np.ndarray, weight: np.ndarray, items: list[np.ndarray]) -> Space:
+    """The latent space of some items and all ``n`` passages, each with half of the weight; ``known``: words that ``pairs`` are of."""
     term = np.unique(np.concatenate([places(x) for x in items]))
     column = np.full(TERMS, -1, np.int32)
     column[term] = np.arange(len(term))
@@ -178,14 +238,15 @@ def fit(passages: DataFrame, n: int, weight: np.ndarray, items: list[np.ndarray]
     for i, x in enumerate(items):
         np.add.at(matrix[i], column[places(x)], weight[places(x)])
     matrix /= np.maximum(np.sqrt((matrix**2).sum(1, keepdims=True)), 1e-9)
-    scale = np.sqrt(len(items) / max(n, 1))
+    scale = len(items) / max(n, 1)
     # Randomised range finder with one power step, then the small eigenproblem inside that range
     rank = min(RANK + 8, len(term))
     basis = np.random.default_rng(3).standard_normal((len(term), rank))
+    image = lambda x: matrix.T @ (matrix @ x) + scale * product(pairs, column[known], x)
     for _ in range(2):
-        basis = np.linalg.qr(matrix.T @ (matrix @ basis) + gram(passages, weight, column, scale, basis, True))[0]
-    small = (matrix @ basis).T @ (matrix @ basis) + gram(passages, weight, column, scale, basis, False)
-    _, vectors = np.linalg.eigh(small)
+        basis = np.linalg.qr(image(basis))[0]
+    small = basis.T @ image(basis)
+    _, vectors = np.linalg.eigh((small + small.T) / 2)
     loadings = basis @ vectors[:, ::-1][:, :RANK]
     latent = matrix @ loadings
     latent /= np.maximum(np.sqrt((latent**2).sum(1, keepdims=True)), 1e-9)
@@ -197,7 +258,7 @@ def weights_of(weight: np.ndarray, item: np.ndarray) -> np.ndarray:
     return weight[places(item)].astype(float) + 1e-6
 
 
-def build(passages: DataFrame, n: int, weight: np.ndarray, ids: list, texts: list[str]) -> Index:
+def build(docs: DataFrame, text: str, total: int, weight: np.ndarray, ids: list, texts: list[str]) -> Index:
     items, answers = word_hashes(texts), word_hashes([answer_of(t) for t in texts])
     place, item, share, least = [], [], [], np.zeros(len(items))
     for i, x in enumerate(items):
@@ -214,7 +275,13 @@ def build(passages: DataFrame, n: int, weight: np.ndarray, ids: list, texts: lis
     term, first = np.unique(place[by], return_index=True)
     column = np.full(TERMS, -1, np.int32)
     column[term] = np.arange(len(term))
-    spaces = [fit(passages, n, weight, items[lo : lo + GROUP]) for lo in range(0, len(items), GROUP)]
+    known = np.unique(np.concatenate([places(x) for x in items]))
+    known = known[weight[known] > 0]
+    numbers = np.full(TERMS, -1, np.int32)
+    numbers[known] = np.arange(len(known))
+    pairs = occurring(docs, text, total, weight, numbers, len(known))
+    n = int(pairs.where(F.col("i") == len(known)).agg(F.sum("v")).first()[0] or 0)
+    spaces = [fit(pairs, n, known, weight, items[lo : lo + GROUP]) for lo in range(0, len(items), GROUP)]
     return Index(ids, weight, spaces, items, answers, np.array([len(x) for x in items]), least, column, np.append(first, len(by)), item[by].astype(np.int32), share[by])
 
 
@@ -371,18 +438,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     spark = docs.sparkSession
     kind = next(f.dataType.simpleString() for f in benchmark.schema if f.name == item)
     counts = hashed_counts(docs, text, TERMS, _term_places)
-    total = counts.sum()
+    total = int(counts.sum())
     # Words much more frequent than every 300th weigh nothing
     weight = np.log1p((total + 1.0) / (300.0 * (counts + 1.0))).astype(np.float32)
     weight[weight < 0.05 * weight.max()] = 0
-    passages = sample(docs, text, total / (SEGMENT * SEGMENTS))
-    n = passages.count()
     known = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     out, block, done = docs, [], False
 
     def search(out: DataFrame, block: list, last: bool) -> DataFrame:
         sized = [(r.id, r.t) for r in block if len(word_hashes([r.t])[0])]
-        index = build(passages, n, weight, [x for x, _ in sized], [t for _, t in sized]) if sized else None
+        index = build(docs, text, total, weight, [x for x, _ in sized], [t for _, t in sized]) if sized else None
         shared = spark.sparkContext.broadcast(index)
 
         def make():

@@ -102,8 +102,8 @@ def test_all_texts_teach_weights(spark, monkeypatch):
     for parts in (1, 5):
         docs = frame(spark, many).repartition(parts).select("text")
         rows = mixing.merge(docs, sum(len(t) for _, t in many)).collect()
-        got = [x for row in rows for x in zip(*(np.frombuffer(row[c], np.int64 if c == "n" else np.uint64).tolist() for c in ("key", "word", "n")), strict=True)]
-        assert len(rows) > 5 and len(got) == len(want) and {(k, w): n for k, w, n in got} == want
+        got = {(x.key % (1 << 64), x.word % (1 << 64)): x.n for x in rows}
+        assert len({x.slice for x in rows}) > 5 and len(got) == len(rows) and got == want
 
 
 def test_scores_of_nothing(spark):

@@ -28,8 +28,8 @@ ORDER = 5
 KINDS = ORDER + 1
 #: Places of hashed (context, bits before) for each kind.
 SLOTS = 1 << 21
-#: Contexts that a task merges at once, and bytes of text whose contexts make a slice, about.
-MERGED, SHARE = 3 << 20, 8 << 20
+#: Contexts that a task merges at once, those sent in one row, and bytes of text whose contexts make a slice, about.
+MERGED, SENT, SHARE = 3 << 19, 1 << 16, 8 << 20
 EPOCHS, BATCH, RATE = 2, 2048, 0.03
 #: Levels of the adaptive map.
 LEVELS = 33
@@ -293,17 +293,13 @@ class Scorer:
 
 
 def merge(texts: DataFrame, size: int) -> DataFrame:
-    """All different contexts of the column ``text`` and how often each stands there: rows of contexts by name, one per slice.
+    """All different contexts of the column ``text`` and how often each stands there, by slice and name.
 
     ``size``: bytes of text. The slices do not depend on how the texts are partitioned.
     """
     slices = max(1, size // SHARE)
     border = np.array([(i << 64) // slices for i in range(1, slices)], np.uint64)
-    fields = "slice int, key binary, word binary, n binary"
-    kinds = [np.uint64, np.uint64, np.int64]
-
-    def row(i, contexts):
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in contexts)], names=["slice", "key", "word", "n"])
+    names = ["slice", "key", "word", "n"]
 
     def together_of(held):
         return distinct(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -314,7 +310,9 @@ def merge(texts: DataFrame, size: int) -> DataFrame:
         def close():
             at = np.concatenate([[0], np.searchsorted(together(*held[0][:2]), border), [len(held[0][0])]])
             for i in np.flatnonzero(np.diff(at)).tolist():
-                yield row(i, [x[at[i] : at[i + 1]] for x in held[0]])
+                for lo in range(at[i], at[i + 1], SENT):
+                    data = [x[lo : min(lo + SENT, at[i + 1])].tobytes() for x in held[0]]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=names)
 
         for batch in batches:
             for _, _, b, o in words.pieces(*words.texts(batch.column(0)), 1 << 20):
@@ -332,25 +330,44 @@ def merge(texts: DataFrame, size: int) -> DataFrame:
 
     def add(batches):
         now, held = None, []
+
+        def close():
+            contexts = together_of(held)
+            for lo in range(0, len(contexts[0]), SENT):
+                some = [pa.array(x[lo : lo + SENT].view(np.int64)) for x in contexts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), now, np.int32)), *some], names=names)
+
         for batch in batches:
             for i, *contexts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is not None and i != now:
-                    yield row(now, together_of(held))
+                    yield from close()
                     held = []
                 now = i
-                held.append([np.frombuffer(x, k) for x, k in zip(contexts, kinds, strict=True)])
+                held.append([np.frombuffer(x, k) for x, k in zip(contexts, (np.uint64, np.uint64, np.int64), strict=True)])
         if now is not None:
-            yield row(now, together_of(held))
+            yield from close()
 
     few = texts.select("text").coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, size >> 26))
-    return stored(few.mapInArrow(run, fields).repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(add, fields))
+    sent = few.mapInArrow(run, "slice int, key binary, word binary, n binary").repartition(slices, "slice")
+    return stored(sent.sortWithinPartitions("slice").mapInArrow(add, "slice int, key long, word long, n long"))
 
 
 def contexts_of(batches):
-    """(key, word, n) of every row of ``merge``."""
+    """(key, word, n) of every slice of ``merge``, whose rows follow each other."""
+    now, held = None, []
+    close = lambda: [np.concatenate(x).view(k) for x, k in zip(zip(*held, strict=True), (np.uint64, np.uint64, np.int64), strict=True)]
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield [np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((1, np.uint64), (2, np.uint64), (3, np.int64))]
+        i, *columns = (c.to_numpy() for c in batch.columns)
+        cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+            if hi > lo:
+                if held and i[lo] != now:
+                    yield close()
+                    held = []
+                now = i[lo]
+                held.append([c[lo:hi] for c in columns])
+    if held:
+        yield close()
 
 
 def tabulate(merged: DataFrame, size: int) -> np.ndarray:
@@ -421,6 +438,7 @@ def learn(merged: DataFrame, model: Model, epoch: int) -> None:
         yield from total(np.frombuffer(x) for batch in batches for x in batch.column(0).to_pylist())
 
     got = merged.mapInArrow(run, "learnt binary").repartition(4).mapInArrow(add, "learnt binary").toArrow()["learnt"]
+    shared.unpersist()
     if len(got):
         model.take(sum(np.frombuffer(x) for x in got.to_pylist()))
 
@@ -459,10 +477,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             done += len(start)
         return buf, offsets, np.concatenate(name), np.concatenate(first)
 
+    def numbered(name):
+        """Different names in their order, and the number of each name among them."""
+        by, at = groups(name)
+        which = np.empty(len(name), np.int32)
+        which[by] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(by))))
+        return name[by[at]], which
+
     def emit(group, table):
         _, _, name, first = vocabulary(table)
         learnt = ~table[held].combine_chunks().to_numpy(zero_copy_only=False)
-        different, which = np.unique(name, return_inverse=True)
+        different, which = numbered(name)
         n = np.bincount(which, weights=np.repeat(learnt, np.diff(first)).astype(float), minlength=len(different))
         return pa.table({
             "token": pa.array(different.view(np.int64)), "block": pa.array(np.full(len(different), group[0].as_py(), np.int32)),
@@ -483,17 +508,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         scorer = per_process("mixing", shared.value.name, lambda: Scorer(shared.value))
         left = left.select(columns).combine_chunks()
         buf, offsets, name, first = vocabulary(left)
-        different, which = np.unique(name, return_inverse=True)
+        different, which = numbered(name)
         c = np.zeros(len(different), np.int64)
         c[right["number"].to_numpy()] = right["c"].to_numpy()
-        c = c[which]
         below = math.log10(n + 0.5 * (v + 1))
-        base = words.sums(np.log10(c + 0.5) - below, first) + math.log10(learnt + 0.5) - below
+        base = words.sums((np.log10(c + 0.5) - below)[which], first) + math.log10(learnt + 0.5) - below
+        known = words.sums((c > 0).astype(np.int64)[which], first) + (learnt > 0)
+        del name, different, which
         own = np.concatenate([scorer.score(b, o) for _, _, b, o in words.pieces(buf, offsets)])
         rows = left.num_rows
         return pa.table({
             columns[0]: left[columns[0]], held: left[held], "n_tokens": pa.array(np.diff(first) + 1),
-            "n_known": pa.array(words.sums((c > 0).astype(np.int64), first) + (learnt > 0)),
+            "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(rows, n)), "base_score": pa.array(base), "score": pa.array(own)})
 
     kind = next(f.dataType.simpleString() for f in plain.schema if f.name == columns[0])

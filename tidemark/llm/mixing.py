@@ -35,7 +35,7 @@ EPOCHS, BATCH, RATE = 2, 2048, 0.03
 LEVELS = 33
 #: Costs of bytes, and of words after what is before them, that a worker remembers.
 CACHE = 1 << 21
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 END, GAP = 10, 32
 
 
@@ -222,12 +222,13 @@ class Model:
                     gate += rate * steep / np.sqrt(square)
                     of += np.bincount(at, weight, len(gate))
                 low, part = mine.level(logit)
-                cell, here = np.unique(where * LEVELS + np.where(part < 0.5, low, low + 1), return_inverse=True)
-                off = bit - 1 / (1 + np.exp(-mine.refined.take(cell)))[here]
-                heavy = np.bincount(here, weight)
+                cell = where * LEVELS + np.where(part < 0.5, low, low + 1)
+                off = bit - 1 / (1 + np.exp(-mine.refined.take(cell)))
+                heavy, far = np.bincount(cell, weight, mine.refined.size), np.bincount(cell, weight * off, mine.refined.size)
+                at = np.flatnonzero(heavy)
                 # However often a context stands, a cell goes no farther than it is off
-                mine.refined.ravel()[cell] += np.bincount(here, weight * off) / heavy * -np.expm1(-rate * heavy)
-                seen[2].ravel()[cell] += heavy
+                mine.refined.ravel()[at] += far[at] / heavy[at] * -np.expm1(-rate * heavy[at])
+                seen[2].ravel()[at] += heavy[at]
         learnt = [gate * of[:, None] for gate, of in zip(gates, seen)] + [mine.refined * seen[2]]
         return np.concatenate([x.ravel() for x in learnt + seen])
 
@@ -306,6 +307,7 @@ def merge(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
+        per_process("mixing", "", lambda: None)  # an earlier model's scorer is not needed any more
 
         def close():
             at = np.concatenate([[0], np.searchsorted(together(*held[0][:2]), border), [len(held[0][0])]])
@@ -513,12 +515,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         c[right["number"].to_numpy()] = right["c"].to_numpy()
         below = math.log10(n + 0.5 * (v + 1))
         base = words.sums((np.log10(c + 0.5) - below)[which], first) + math.log10(learnt + 0.5) - below
+        n_tokens = np.diff(first) + 1
         known = words.sums((c > 0).astype(np.int64)[which], first) + (learnt > 0)
         del name, different, which
         own = np.concatenate([scorer.score(b, o) for _, _, b, o in words.pieces(buf, offsets)])
         rows = left.num_rows
         return pa.table({
-            columns[0]: left[columns[0]], held: left[held], "n_tokens": pa.array(np.diff(first) + 1),
+            columns[0]: left[columns[0]], held: left[held], "n_tokens": pa.array(n_tokens),
             "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(rows, n)), "base_score": pa.array(base), "score": pa.array(own)})
 

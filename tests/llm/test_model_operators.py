@@ -56,6 +56,10 @@ def test_components_and_counts(spark):
     assert got[97] == 2 and got[98] == 2 and got.sum() == 4
 
 
+def test_empty_text_may_come_first():
+    assert len(words.powers(0x1234567, 0)) == 0 and words.powers(0x1234567, 2).tolist() == [1, 0x1234567]
+
+
 # 1 Context mixing
 
 

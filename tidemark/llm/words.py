@@ -49,7 +49,7 @@ LOWER[65:91] += 32
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; remembered by the process, and outside this module, which travels with every function."""
     kept = sys.modules.setdefault("tidemark_llm_powers", ModuleType("tidemark_llm_powers")).__dict__
-    if len(kept.get(base, ())) < n:
+    if base not in kept or len(kept[base]) < n:
         size = 1 << max(10, (n - 1).bit_length())
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1

@@ -73,6 +73,27 @@ def test_probabilities_sum_to_one(spark):
         assert abs((10 ** model.costs(every, np.full(256, w))).sum() - 1) < 1e-6
 
 
+def test_names_in_order():
+    r = np.random.default_rng(0)
+    for high, low in ((1 << 60, 1 << 3), (4, 1 << 3), (1, 1 << 9), (1, 1)):  # names that differ in few high or in few low bits
+        name = r.integers(0, high, 999, np.uint64) * np.uint64(16) + r.integers(0, low, 999, np.uint64)
+        by, first = mixing.groups(name)
+        assert np.array_equal(name[by], np.sort(name)) and np.array_equal(np.sort(by), np.arange(999))
+        assert np.array_equal(name[by[first]], np.unique(name))
+    assert [len(x) for x in mixing.groups(np.zeros(0, np.uint64))] == [0, 0]
+
+
+def test_places_of_half_a_byte_lie_together():
+    key, word = mixing.contexts(*mixing.stream(*words.texts(pa.array(["The cat sat on the mat", "ÄB"]))))
+    got = list(mixing.bits(mixing.kinds(key, word), key & np.uint64(255)))
+    byte = (key & np.uint64(255)).astype(int)
+    for j, (node, bit, at) in enumerate(got):
+        assert (node == (256 + byte) >> 8 - j).all() and (bit == byte >> 7 - j & 1).all()
+        assert (at // 16 == got[j // 4 * 4][2] // 16).all() and (at // mixing.SLOTS == np.arange(mixing.KINDS)[:, None]).all()
+    # Places of one context differ from bit to bit
+    assert all((got[a][2] != got[b][2]).all() for half in (0, 4) for a in range(half, half + 4) for b in range(half, a))
+
+
 def test_scores(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 400)
     r = random.Random(1)

@@ -90,10 +90,26 @@ def together(key: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def groups(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal names together, and where each of them begins in it."""
-    by = np.argsort(name)
+    """The order of the names, and where each of them begins in it.
+
+    Numbers sort faster than places do, so each place takes the low bits of its name; names that share all others are put in order after that.
+    """
+    if not len(name):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.uint64((1 << len(name).bit_length()) - 1)
+    packed = np.sort(name & ~low | np.arange(len(name), dtype=np.uint64))
+    by = (packed & low).view(np.int64)
     name = name[by]
-    return by, np.flatnonzero(np.append(np.ones(min(1, len(name)), bool), name[1:] != name[:-1]))
+    differ = name[1:] != name[:-1]
+    mixed = np.flatnonzero(differ & (packed[1:] ^ packed[:-1] <= low))
+    if len(mixed):
+        high = packed & ~low
+        lo, hi = np.searchsorted(high, np.unique(high[mixed])), np.searchsorted(high, np.unique(high[mixed]), "right")
+        at, _ = words.gather(np.arange(len(by)), lo, hi - lo)
+        by[at] = by[at][np.argsort(name[at], kind="stable")]
+        name[at] = np.sort(name[at])
+        differ = name[1:] != name[:-1]
+    return by, np.flatnonzero(np.append(True, differ))
 
 
 def distinct(key: np.ndarray, word: np.ndarray, n: np.ndarray):
@@ -123,15 +139,23 @@ def kinds(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out
 
 
-def slots(hashes: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Places of (context, bits before) in a kind's table."""
-    return ((hashes + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
+def bits(hashes: np.ndarray, byte: np.ndarray):
+    """(node, bit, places) for each of the eight bits, highest first; ``hashes``: see ``kinds``.
 
-def bits(byte: np.ndarray):
-    """(node, bit) for each of the eight bits, highest first; a node is 1 and the bits before."""
-    for j in range(7, -1, -1):
-        yield (byte >> np.uint64(j + 1)) | np.uint64(1 << (7 - j)), ((byte >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+    A node is 1 and the bits before; places are those of (context, bits before) in the tables of all kinds, one after the other.
+    Those of half a byte lie among 16 next to each other, so that memory is fetched twice a byte and not eight times.
+    """
+    byte = byte.astype(np.int64)
+    table = np.arange(KINDS)[:, None] * SLOTS
+    for half in (0, 4):
+        if half:
+            hashes = (hashes + ((byte >> 4) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        run = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).view(np.int64)
+        run += table
+        for j in range(4):
+            left = 8 - half - j
+            node = byte >> left | 1 << half + j
+            yield node, byte >> left - 1 & 1, run ^ (node & (1 << j) - 1 | 1 << j)
 
 
 def logits() -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +164,7 @@ def logits() -> tuple[np.ndarray, np.ndarray]:
     Then of all pairs less a zero of their own, and of all pairs less a one; what is more than 32 stays.
     """
     log = np.log(words.COUNT + 0.4).astype(np.float32)
-    sure = np.digitize(words.COUNT, [1, 4, 32])
+    sure = np.digitize(words.COUNT, [1, 4, 32]).astype(np.uint8)
     pair = np.arange(1 << 16)
     zeros, ones = pair & 255, pair >> 8
     less = lambda n: np.where((n > 0) & (n <= 32), n - 1, n)
@@ -168,59 +192,66 @@ class Model:
         self.__dict__ |= state | {"tables": np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape)}
         self.__post_init__()
 
-    def inputs(self, hashes: np.ndarray, node: np.ndarray, own: np.ndarray | None = None):
+    def inputs(self, places: np.ndarray, own: np.ndarray | None = None):
         """Logits of all kinds and a constant, and the gate chosen by how much the longest contexts have seen; own: bits not to count."""
-        x = np.empty((hashes.shape[1], KINDS + 1), np.float32)
-        trust = np.zeros(hashes.shape[1], np.int64)
-        pairs = self.tables.view("<u2")
-        for i in range(KINDS):
-            at = pairs[i, :, 0].take(slots(hashes[i], node)).astype(np.int64)
-            if own is not None:
-                at += own + 1 << 16
-            x[:, i] = self.logit.take(at)
-            if i >= ORDER - 2:
-                trust = trust * 4 + self.sure.take(at)
-        x[:, KINDS] = 0.3
-        return x, trust
-
-    def mixed(self, x: np.ndarray, node: np.ndarray, trust: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", self.by_node.take(node, 0) + self.by_trust.take(trust, 0), x), -12, 12)
+        at = self.tables.view("<u2").ravel().take(places)
+        if own is not None:
+            at = at + (own + 1 << 16)
+        x = np.empty((KINDS + 1, places.shape[1]), np.float32)
+        x[:KINDS] = self.logit.take(at)
+        x[KINDS] = 0.3
+        first, second, third = self.sure.take(at[ORDER - 2 :])
+        return x, first << 4 | second << 2 | third
+
+    def gates(self) -> np.ndarray:
+        """Weights of all inputs for every (node, trust)."""
+        return np.ascontiguousarray((self.by_node[:, None] + self.by_trust[None]).reshape(-1, KINDS + 1).T.astype(np.float32))
+
+    def mixed(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        weight *= x
+        return np.clip(weight.sum(0), -12, 12)
 
     def level(self, logit: np.ndarray):
-        at = np.clip((logit + 8) * (LEVELS - 1) / 16, 0, LEVELS - 1.001)
+        at = np.clip((logit + 8) * ((LEVELS - 1) / 16), 0, LEVELS - 1.001)
         low = at.astype(np.int64)
         return low, at - low
 
-    def refine(self, logit: np.ndarray, node: np.ndarray):
+    def refine(self, logit: np.ndarray, node: np.ndarray, refined: np.ndarray):
         low, part = self.level(logit)
-        at = node * LEVELS + low
-        return 0.5 * logit + 0.5 * (self.refined.take(at) * (1 - part) + self.refined.take(at + 1) * part), low, part
+        low += node * LEVELS
+        left = refined.take(low)
+        low += 1
+        return 0.5 * (logit + left + (refined.take(low) - left) * part)
 
     def learn(self, key: np.ndarray, word: np.ndarray, count: np.ndarray, epoch: int) -> np.ndarray:
         """What contexts that stand ``count`` times each teach, one online step per batch of bits; this model stays as it is.
 
         The gates and the map, each cell times the weight of what it has seen, and then these weights.
         """
-        gates = self.by_node.copy(), self.by_trust.copy()
-        mine = Model(self.tables, *gates, self.refined.copy(), self.name)
+        gates = self.by_node.T.copy(), self.by_trust.T.copy()
+        mine = Model(self.tables, self.by_node, self.by_trust, self.refined.copy(), self.name)
         squares = [np.ones(g.shape) for g in gates]
-        seen = [np.zeros(len(g)) for g in gates] + [np.zeros(self.refined.shape)]
+        seen = [np.zeros(g.shape[1]) for g in gates] + [np.zeros(self.refined.shape)]
         rate = RATE / (1 + epoch)
         order = np.random.default_rng(9 + epoch).permutation(len(key))
         mean = count.sum() / max(len(count), 1)
+        every = np.arange(KINDS + 2)[:, None]
         for lo in range(0, len(order), BATCH):
             some = order[lo : lo + BATCH]
             hashes, weight = kinds(key[some], word[some]), count[some] / mean
-            for node, bit in bits(key[some] & np.uint64(255)):
-                x, trust = self.inputs(hashes, node, bit)
-                where = node.astype(np.int64)
-                logit = mine.mixed(x, where, trust)
-                slope = ((bit - 1 / (1 + np.exp(-logit))) * weight)[:, None] * x
+            step = np.empty((KINDS + 2, len(some)))
+            step[KINDS + 1] = weight
+            for where, bit, places in bits(hashes, key[some] & np.uint64(255)):
+                x, trust = self.inputs(places, bit)
+                logit = self.mixed(x, gates[0].take(where, 1) + gates[1].take(trust, 1))
+                np.multiply((bit - 1 / (1 + np.exp(-logit))) * weight, x, out=step[: KINDS + 1])
                 for gate, at, square, of in zip(gates, (where, trust), squares, seen):
-                    steep = np.stack([np.bincount(at, slope[:, i], len(gate)) for i in range(KINDS + 1)], 1)
+                    width = len(of)
+                    total = np.bincount((every * width + at).ravel(), step.ravel(), len(step) * width).reshape(-1, width)
+                    steep = total[:-1]
                     square += steep * steep
                     gate += rate * steep / np.sqrt(square)
-                    of += np.bincount(at, weight, len(gate))
+                    of += total[-1]
                 low, part = mine.level(logit)
                 cell = where * LEVELS + np.where(part < 0.5, low, low + 1)
                 off = bit - 1 / (1 + np.exp(-mine.refined.take(cell)))
@@ -229,7 +260,7 @@ class Model:
                 # However often a context stands, a cell goes no farther than it is off
                 mine.refined.ravel()[at] += far[at] / heavy[at] * -np.expm1(-rate * heavy[at])
                 seen[2].ravel()[at] += heavy[at]
-        learnt = [gate * of[:, None] for gate, of in zip(gates, seen)] + [mine.refined * seen[2]]
+        learnt = [gate.T * of[:, None] for gate, of in zip(gates, seen)] + [mine.refined * seen[2]]
         return np.concatenate([x.ravel() for x in learnt + seen])
 
     def take(self, total: np.ndarray) -> None:
@@ -243,14 +274,19 @@ class Model:
 
     def costs(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's byte after its context."""
+        gates, refined = self.gates(), self.refined.astype(np.float32)
+        some = [slice(lo, lo + 8192) for lo in range(0, len(key), 8192)]
+        return np.concatenate([self.cost(key[x], word[x], gates, refined) for x in some] or [np.zeros(0)])
+
+    def cost(self, key: np.ndarray, word: np.ndarray, gates: np.ndarray, refined: np.ndarray) -> np.ndarray:
         hashes = kinds(key, word)
-        total = np.zeros(len(key))
-        for node, bit in bits(key & np.uint64(255)):
-            x, trust = self.inputs(hashes, node)
-            where = node.astype(np.int64)
-            logit, _, _ = self.refine(self.mixed(x, where, trust), where)
-            total -= np.logaddexp(0, np.where(bit == 1, -logit, logit))
-        return total / math.log(10)
+        total = np.ones(len(key))
+        for node, bit, places in bits(hashes, key & np.uint64(255)):
+            x, trust = self.inputs(places)
+            logit = self.refine(self.mixed(x, gates.take(node * len(self.by_trust) + trust, 1)), node, refined)
+            # Logits are at most 12, so the product of eight is no larger than exp(97)
+            total *= 1 + np.exp(np.where(bit == 1, -logit, logit).astype(float))
+        return -np.log10(total)
 
 
 class Memory:
@@ -269,9 +305,7 @@ class Memory:
             one = missing[by[first]]
             fresh = make(one)
             cost[missing[by]] = np.repeat(fresh, np.diff(np.append(first, len(by))))
-            place, last = np.unique(at[one][::-1], return_index=True)
-            last = len(one) - 1 - last
-            self.name[place], self.cost[place] = name[one][last], fresh[last]
+            self.name[at[one]], self.cost[at[one]] = name[one], fresh
         return cost
 
 
@@ -287,7 +321,7 @@ class Scorer:
 
         def cost(some):
             k, w, first = expand(key, running, word_at[:-1][some], word_at[1:][some])
-            new = lambda one: np.concatenate([self.model.costs(k[one[lo : lo + 8192]], w[one[lo : lo + 8192]]) for lo in range(0, len(one), 8192)])
+            new = lambda one: self.model.costs(k[one], w[one])
             return words.sums(self.bytes.get(together(k, w), new), first)
 
         return words.sums(self.words.get(placed(key, running, word_at), cost), np.searchsorted(word_at, row_at))
@@ -384,12 +418,11 @@ def tabulate(merged: DataFrame, size: int) -> np.ndarray:
         table = np.zeros((KINDS, cells), np.float32)
         for key, word, n in contexts_of(batches):
             n = n.astype(np.float32)
-            for lo in range(0, len(key), 1 << 15):
-                some = slice(lo, lo + (1 << 15))
-                hashes = kinds(key[some], word[some])
-                for node, bit in bits(key[some] & np.uint64(255)):
-                    for kind in range(KINDS):
-                        np.add.at(table[kind], slots(hashes[kind], node) * 2 + bit, n[some])
+            for lo in range(0, len(key), 8192):
+                some = slice(lo, lo + 8192)
+                times = np.tile(n[some], KINDS)
+                for _, bit, places in bits(kinds(key[some], word[some]), key[some] & np.uint64(255)):
+                    np.add.at(table.ravel(), (places * 2 + bit).ravel(), times)
         for kind in range(KINDS):
             for i in range(SLICES):
                 mine = table[kind, i * width : (i + 1) * width]

@@ -324,6 +324,56 @@ def found_items(docs, bench):
     return {(x.doc_id, m.item_id) for x in contamination.find_items(docs, bench, carry=False).collect() for m in x.matches}
 
 
+def index_of(texts, weight, share_least):
+    items, answers = contamination.word_hashes(texts), contamination.word_hashes([contamination.answer_of(t) for t in texts])
+    place, item, share, column = [], [], [], np.full(contamination.TERMS, -1, np.int32)
+    for i, x in enumerate(items):
+        at, one = np.unique(contamination.places(x), return_index=True)
+        each = contamination.weights_of(weight, x)
+        place, item, share = [*place, *at], [*item, *[i] * len(at)], [*share, *each[one] / each.sum()]
+    place, item, share = np.array(place), np.array(item), np.array(share)
+    by = np.argsort(place, kind="stable")
+    term, first = np.unique(place[by], return_index=True)
+    column[term] = np.arange(len(term))
+    index = contamination.Index(list(range(len(texts))), weight, [], items, answers, np.array([len(x) for x in items]), np.full(len(texts), share_least), column, np.append(first, len(by)), item[by], share[by])
+    return index, [dict(zip(place[item == i].tolist(), share[item == i].tolist(), strict=True)) for i in range(len(texts))]
+
+
+def test_weights_of_an_item_are_looked_up_once(monkeypatch):
+    index, _ = index_of([" ".join(f"w{i}" for i in range(20))], np.ones(contamination.TERMS, np.float32), 0.5)
+    docs = [" ".join(["w3"] * 30)] * 40 + [" ".join(f"w{i}" for i in range(20))]  # the first bound an item, and do not hold it
+    h, first, _ = contamination.terms(*words.texts(pa.array(docs)))
+    calls, real = [], contamination.weights_of
+    monkeypatch.setattr(contamination, "weights_of", lambda *x: calls.append(1) or real(*x))
+    found = contamination.check(index, h, first, [{w: 1 << i for i, w in enumerate(index.items[0].tolist())}])
+    assert [x[:2] for x in found] == [(40, 0)] and found[0][3] == pytest.approx(1) and len(calls) < 10
+
+
+def test_windows_are_bounded_by_all_their_words():
+    r = random.Random(4)
+    sizes = [30, 3, 70, 16, 17, 700, 30, 5]  # not by size, with windows of several kinds
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(n)) for n in sizes]
+    index, of = index_of(texts, np.random.default_rng(2).random(contamination.TERMS).astype(np.float32) + 0.1, 0.3)
+    column = index.column
+    docs = [" ".join(f"w{r.randrange(800)}" for _ in range(n)) for n in (300, 1, 0, 90)] + [texts[2], texts[5]]
+    h, rows, _ = contamination.terms(*words.texts(pa.array(docs)))
+    start, at = contamination.segments(rows, len(h))
+    got = {(s, i, bool(w)): b for s_, i_, b_, w in contamination.bounds(index, column[contamination.places(h)], start, at) for s, i, b in zip(s_.tolist(), i_.tolist(), b_.tolist(), strict=True)}
+    want = {}
+    for row in range(len(docs)):
+        for s in range(at[row], at[row + 1]):
+            for i in range(8):
+                side = -(-sizes[i] // contamination.SEGMENT)
+                for wide, lo, hi in ((False, s, s + contamination.windows(index)[i]), (True, s - side, s + side + contamination.SEGMENTS)):
+                    some = h[start[max(lo, at[row])] : start[min(hi, at[row + 1])]]
+                    bound = sum(of[i].get(p, 0.0) for p in contamination.places(some).tolist())
+                    if bound >= 0.3:
+                        want[s, i, wide] = bound
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+
 @pytest.mark.parametrize("n", [200, 1000, 2000])
 def test_recall_does_not_fall_with_items(spark, n):
     sizes = [16 + i % 44 for i in range(n)]

@@ -33,7 +33,7 @@ RANK, GROUP = 192, 128
 PAIRS, SUMMED, SENT = 1 << 21, 3 << 19, 1 << 16
 #: Segments times items that are bounded at once, about, and how far sums of small numbers may be off.
 CELLS, SLACK = 1 << 20, 1e-3
-#: Passages multiplied, and bytes of text searched, at once.
+#: Passages multiplied, and bytes of text read, at once.
 FEW, PIECE = 300, 1 << 17
 #: Items compared in one pass over the documents; more make more passes.
 ITEMS = 2000
@@ -43,13 +43,14 @@ NEAR, COVERED, PARTLY, ANSWERED = 0.27, 0.8, 0.5, 0.8
 _INNER = np.zeros(256, bool)
 _INNER[48:58] = _INNER[65:91] = _INNER[97:123] = True
 _INNER[128:] = True
+#: Numbers of bytes for hashes that do not tell A-Z from a-z.
+_BYTE = words.BYTE[words.LOWER]
 
 
 def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of letters and digits, without case of A-Z), first word of every row, starts."""
-    low = words.LOWER[buf]
-    start, end, first = words.spans(_INNER[low], offsets)
-    return words.span_hashes(words.prefix(low), start, end), first, start
+    start, end, first = words.spans(_INNER[buf], offsets)
+    return words.span_hashes(words.prefix(buf, _BYTE), start, end), first, start
 
 
 def places(h: np.ndarray) -> np.ndarray:
@@ -135,16 +136,24 @@ def occurring(docs: DataFrame, text: str, total: int, weight: np.ndarray, column
         cut = np.append(begin, len(at))
         norm = np.sqrt(np.maximum(words.sums(weight[at].astype(float) ** 2, cut), 1e-9))
         mine = np.flatnonzero(column[at] >= 0)
-        passage = np.searchsorted(cut, mine, "right") - 1
+        edge = np.searchsorted(mine, cut)
+        passage = np.repeat(np.arange(len(cut) - 1), np.diff(edge))
         col, value = column[at[mine]].astype(np.int64), (weight[at[mine]] / norm[passage]).astype(np.float32)
-        length = np.searchsorted(passage, passage, "right") - np.arange(len(mine))
-        for lo in range(0, len(mine), 1 << 15):
-            some = np.arange(lo, min(lo + (1 << 15), len(mine)))
-            a = np.repeat(some, length[some])
-            b, _ = words.gather(np.arange(len(mine)), some, length[some])
-            v = value[a] * value[b] * np.where((col[a] == col[b]) & (a != b), np.float32(2), np.float32(1))
-            code = np.minimum(col[a], col[b]) * size + np.maximum(col[a], col[b])
-            yield code.astype(np.uint64) << np.uint64(28) | (v.astype(np.float32).view(np.uint32) >> np.uint32(3)).astype(np.uint64)
+        # By word inside each passage, so that the smaller word of a pair comes first
+        by = np.argsort(passage * size + col, kind="stable")
+        col, value = col[by], value[by]
+        length = edge[1:][passage] - np.arange(len(mine))
+        for lo in range(0, len(mine), 1 << 13):
+            hi = min(lo + (1 << 13), len(mine))
+            each = length[lo:hi]
+            own = np.cumsum(each) - each
+            b = np.arange(each.sum()) + np.repeat(np.arange(lo, hi) - own, each)
+            first_word, other = np.repeat(col[lo:hi], each), col[b]
+            v = np.repeat(value[lo:hi], each) * value[b]
+            # A word twice in a passage is one pair in both orders, and a word with itself only one
+            v[first_word == other] *= 2
+            v[own] *= np.float32(0.5)
+            yield (first_word * size + other << 28 | v.view(np.int32) >> 3).view(np.uint64)
 
     def added(packed):
         x = np.sort(np.concatenate(packed))
@@ -165,7 +174,7 @@ def occurring(docs: DataFrame, text: str, total: int, weight: np.ndarray, column
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["part", "code", "value"])
 
         for batch in batches:
-            for _, _, b, o in words.pieces(*words.texts(batch.column(0))):
+            for _, _, b, o in words.pieces(*words.texts(batch.column(0)), PIECE):
                 h, first, _ = terms(b, o)
                 passages += int((-(-np.diff(first) // (SEGMENT * SEGMENTS))).sum())
                 for x in products(places(h), first, weight, column) if len(h) else ():
@@ -322,11 +331,15 @@ def bounds(index: Index, col: np.ndarray, start: np.ndarray, at: np.ndarray):
     m, n = at[-1], len(index.items)
     row = words.row_of(at)
     begin, end = at[:-1][row], at[1:][row]
-    own = windows(index)
-    side = -(-index.sizes // SEGMENT)
+    # Items by size, so that those with windows of one kind are next to each other
+    order = np.argsort(index.sizes, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    own, side, least = windows(index)[order], -(-index.sizes[order] // SEGMENT), index.least[order]
     most = int(max(own.max(), side.max() + SEGMENTS))
-    kinds = [(k, np.flatnonzero(own == k), 0, k, False) for k in np.unique(own)]
-    kinds += [(k, np.flatnonzero(side == k), k, k + SEGMENTS, True) for k in np.unique(side)]
+    span = lambda of, k: slice(*np.searchsorted(of, [k, k + 1]))
+    kinds = [(span(own, k), 0, k, False) for k in np.unique(own)]
+    kinds += [(span(side, k), k, k + SEGMENTS, True) for k in np.unique(side)]
     mine = np.flatnonzero(col >= 0)
     segment = np.searchsorted(start[1:], mine, "right")
     step = max(most, CELLS // n)
@@ -338,14 +351,16 @@ def bounds(index: Index, col: np.ndarray, start: np.ndarray, at: np.ndarray):
         c = col[mine[some]]
         length = index.first[c + 1] - index.first[c]
         posting, _ = words.gather(np.arange(len(index.item)), index.first[c], length)
-        cell = np.repeat((segment[some] - a) * n, length) + index.item[posting]
+        cell = np.repeat((segment[some] - a) * n, length) + rank[index.item[posting]]
         total = np.zeros((b - a + 1, n))
         np.cumsum(np.bincount(cell, index.share[posting], (b - a) * n).reshape(b - a, n), axis=0, out=total[1:])
         now = np.arange(lo, hi)
-        for _, which, before, after, wide in kinds:
-            bound = total[np.minimum(now + after, end[lo:hi]) - a][:, which] - total[np.maximum(now - before, begin[lo:hi]) - a][:, which]
-            s, i = np.nonzero(bound >= index.least[which])
-            yield now[s], which[i], bound[s, i], wide
+        for which, before, after, wide in kinds:
+            bound = total[np.minimum(now + after, end[lo:hi]) - a, which]
+            bound -= total[np.maximum(now - before, begin[lo:hi]) - a, which]
+            hit = np.flatnonzero(bound >= least[which])
+            s, i = np.divmod(hit, bound.shape[1])
+            yield now[s], order[which][i], bound.ravel()[hit], wide
 
 
 def cosines(index: Index, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -354,8 +369,8 @@ def cosines(index: Index, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: n
     for g, space in enumerate(index.spaces):
         group = np.flatnonzero(item // GROUP == g)
         # Passages that several items are compared with are projected once
-        spans, which = np.unique(np.stack([lo[group], hi[group]]), axis=1, return_inverse=True)
-        which = which.ravel()
+        spans, which = np.unique(lo[group] * (len(h) + 1) + hi[group], return_inverse=True)
+        spans = np.stack(np.divmod(spans, len(h) + 1))
         by = np.argsort(which, kind="stable")
         for at in range(0, spans.shape[1], FEW):
             begin, end = spans[:, at : at + FEW]
@@ -396,25 +411,29 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray):
 def check(index: Index, h: np.ndarray, first: np.ndarray, masks: list[dict[int, int]]):
     """Per row and item that the row contains: (row, item, cosine, covered, answered, first and end word)."""
     found: dict[tuple[int, int], tuple] = {}
+    known: dict[int, tuple] = {}
     row, item, lo, hi, bound = candidates(index, h, first)
     by = np.lexsort((lo, -bound, item, row))
     for row, item, lo, hi, bound in zip(*(x[by].tolist() for x in (row, item, lo, hi, bound)), strict=True):
         old = found.get((row, item))
         if old is not None and old[0] >= min(1.0, bound) - 1e-6:
             continue
+        if item not in known:
+            weight = weights_of(index.weight, index.items[item])
+            known[item] = index.items[item].tolist(), weight, weight.sum()
         passage, mine, answer = h[lo:hi], index.items[item], index.answers[item]
-        held = np.isin(mine, passage)
-        weight = weights_of(index.weight, mine)
-        if (weight * held).sum() < PARTLY * weight.sum():
+        listed, weight, whole = known[item]
+        there = set(passage.tolist())
+        if (weight * np.array([x in there for x in listed])).sum() < PARTLY * whole:
             continue
         of = weights_of(index.weight, answer)
-        answered = float((of * np.isin(answer, passage)).sum() / of.sum()) if len(answer) else 0.0
+        answered = float((of * np.array([x in there for x in answer.tolist()])).sum() / of.sum()) if len(answer) else 0.0
         # So few words in order cannot be enough, were they the heaviest
-        enough = (PARTLY if answered >= ANSWERED else COVERED) * weight.sum()
+        enough = (PARTLY if answered >= ANSWERED else COVERED) * whole
         least = int(np.searchsorted(np.cumsum(np.sort(weight)[::-1]), enough * (1 - 1e-9))) + 1
         if common_length(masks[item], passage.tolist(), len(mine)) < least:
             continue
-        covered = common_weight(mine, weight, passage) / weight.sum()
+        covered = common_weight(mine, weight, passage) / whole
         if covered >= COVERED or covered >= PARTLY and answered >= ANSWERED:
             if old is None or covered > old[0]:
                 found[row, item] = (covered, answered, lo, hi)

@@ -1,6 +1,7 @@
 """The pipeline's stages on their own input, and as a whole."""
 
 import corpus_pipeline as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,24 @@ def test_run(spark, sf):
     full = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert full.where("n <> end or n > 2048").count() == 0
     assert got.count() > 100
+
+
+def test_stages_take_few_bytes_at_once(spark, sf, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, empty = spark.conf.get(setting), spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    try:
+        for _, stage in P.STAGES:
+            spark.conf.set(setting, before)
+            stage(spark, empty, sf)
+            got = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+            assert sum(got) >= 20_000_000 and max(got) < 6_000_000
+    finally:
+        spark.conf.set(setting, before)
+    monkeypatch.setattr(P, "STAGES", P.STAGES[:1])
+    P.run(spark, sf)
+    assert spark.conf.get(setting) == before

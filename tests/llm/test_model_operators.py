@@ -305,6 +305,19 @@ def test_all_passages_are_counted(spark, monkeypatch):
     assert np.allclose(contamination.product(rows, np.arange(len(known)), basis), want @ basis, rtol=1e-3, atol=1e-3)
 
 
+def test_products_of_few_rows_at_once(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "LOOKED", 40)
+    monkeypatch.setattr(contamination, "ROWS", 3)
+    rng = np.random.default_rng(4)
+    matrix = rng.random((30, 30)) * (rng.random((30, 30)) < 0.4)
+    rows = spark.createDataFrame([(i, j, float(matrix[i, j])) for i, j in zip(*(x.tolist() for x in np.nonzero(matrix)), strict=True)], "i long, j long, v double")
+    rows = rows.repartition(3, "i").sortWithinPartitions("i")
+    place = np.where(np.arange(30) % 4 == 0, -1, np.cumsum(np.arange(30) % 4 != 0) - 1)
+    some = np.flatnonzero(place >= 0)
+    basis = rng.standard_normal((len(some), 5))
+    assert np.allclose(contamination.product(rows, place, basis), matrix[np.ix_(some, some)] @ basis, atol=1e-4)
+
+
 def planted(spark, sizes, copies, seed, size=150):
     """Texts of frequent and rare words, of which some hold an item verbatim: documents, benchmark and the pairs (document, item)."""
     r = random.Random(seed)
@@ -373,6 +386,54 @@ def test_windows_are_bounded_by_all_their_words():
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("cells", [1, 4000])
+def test_windows_in_parts(monkeypatch, cells):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(n)) for n in (30, 3, 70, 200, 17)]
+    index, _ = index_of(texts, np.random.default_rng(3).random(contamination.TERMS).astype(np.float32) + 0.1, 0.3)
+    docs = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randrange(300))) for _ in range(20)] + texts
+    h, rows, _ = contamination.terms(*words.texts(pa.array(docs)))
+    start, at = contamination.segments(rows, len(h))
+
+    def bounded():
+        return sorted((s, i, w, round(b, 9)) for s_, i_, b_, w in contamination.bounds(index, index.column[contamination.places(h)], start, at) for s, i, b in zip(s_.tolist(), i_.tolist(), b_.tolist(), strict=True))
+
+    whole = bounded()
+    monkeypatch.setattr(contamination, "CELLS", cells)
+    monkeypatch.setattr(contamination, "BLOCK", 3)  # sums of blocks do not change what is found
+    assert bounded() == whole and len(whole) > 20
+
+
+def test_windows_without_enough_different_words_are_no_candidates(monkeypatch):
+    monkeypatch.setattr(contamination, "LOOKED", 50)
+    item = " ".join(f"w{i}" for i in range(20))
+    index, _ = index_of([item], np.ones(contamination.TERMS, np.float32), 0.5)
+    docs = [" ".join(["w3"] * 30)] * 40 + [item, " ".join(f"w{i}" for i in range(9)), " ".join(f"w{i}" for i in range(11))]
+    h, first, _ = contamination.terms(*words.texts(pa.array(docs)))
+    assert set(contamination.candidates(index, h, first)[0].tolist()) == {40, 42}
+
+
+def test_cosines_by_sums_over_words(monkeypatch):
+    monkeypatch.setattr(contamination, "LOOKED", 30)
+    r, rng = random.Random(9), np.random.default_rng(9)
+    h = contamination.word_hashes([" ".join(f"w{r.randrange(60)}" for _ in range(400))])[0]
+    weight = rng.random(contamination.TERMS).astype(np.float32)
+    weight[contamination.places(h[:5])] = 0
+    term = np.unique(contamination.places(h[::7]))
+    column = np.full(contamination.TERMS, -1, np.int32)
+    column[term] = np.arange(len(term))
+    index, _ = index_of(["w1", "w2", "w3"], weight, 0.5)
+    index.spaces.append(contamination.Space(column, rng.standard_normal((len(term), 3)).astype(np.float32)))
+    lo = np.array([r.randrange(300) for _ in range(50)] + [7])
+    hi, item = lo + np.array([r.randrange(1, 90) for _ in range(50)] + [0]), np.array([r.randrange(3) for _ in range(51)])
+    want = []
+    for a, b, i in zip(lo, hi, item, strict=True):
+        at = contamination.places(h[a:b])
+        mine = at[column[at] >= 0]
+        want.append((weight[mine] * index.spaces[0].cosine[column[mine], i]).sum() / np.sqrt(max((weight[at].astype(float) ** 2).sum(), 1e-9)))
+    assert np.allclose(contamination.cosines(index, h, lo, hi, item), want, atol=1e-5)
+
+
 
 @pytest.mark.parametrize("n", [200, 1000, 2000])
 def test_recall_does_not_fall_with_items(spark, n):

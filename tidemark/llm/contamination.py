@@ -14,6 +14,7 @@ words occur together in the passages; the SVD multiplies by that matrix, whose s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ SEGMENT, SEGMENTS = 16, 3
 RANK, GROUP = 192, 128
 #: Pairs of words in a passage that are sorted at once, those summed at once, and those sent in one row.
 PAIRS, SUMMED, SENT = 1 << 21, 3 << 19, 1 << 16
-#: Segments times items that are bounded at once, about, and how far sums of small numbers may be off.
-CELLS, SLACK = 1 << 20, 1e-3
-#: Passages multiplied, and bytes of text read, at once.
-FEW, PIECE = 300, 1 << 17
+#: Segments times items that are bounded at once, about, segments bounded together first, and how far sums of small numbers may be off.
+CELLS, BLOCK, SLACK = 1 << 20, 8, 1e-3
+#: Words of windows that are looked up, rows of a matrix multiplied, and bytes of text read, at once.
+LOOKED, ROWS, PIECE = 1 << 18, 32, 1 << 17
 #: Items compared in one pass over the documents; more make more passes.
 ITEMS = 2000
 #: Latent cosine of a candidate; share of an item's weight in order that counts alone; the share that counts with its answer, and that of the answer.
@@ -43,13 +44,14 @@ NEAR, COVERED, PARTLY, ANSWERED = 0.27, 0.8, 0.5, 0.8
 _INNER = np.zeros(256, bool)
 _INNER[48:58] = _INNER[65:91] = _INNER[97:123] = True
 _INNER[128:] = True
+_IS_INNER = _INNER.tobytes()
 #: Numbers of bytes for hashes that do not tell A-Z from a-z.
 _BYTE = words.BYTE[words.LOWER]
 
 
 def terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of letters and digits, without case of A-Z), first word of every row, starts."""
-    start, end, first = words.spans(_INNER[buf], offsets)
+    start, end, first = words.spans(np.frombuffer(buf.tobytes().translate(_IS_INNER), bool), offsets)
     return words.span_hashes(words.prefix(buf, _BYTE), start, end), first, start
 
 
@@ -76,8 +78,7 @@ class Space:
     """The latent space of a group of items."""
 
     column: np.ndarray  # of every hashed word its place among the group's words, or -1
-    loadings: np.ndarray  # group's words x dimensions
-    latent: np.ndarray  # items x dimensions, of length 1
+    cosine: np.ndarray  # group's words x items: what a word of weight 1 adds to the product with the item's vector of length 1
 
 
 @dataclass
@@ -96,6 +97,24 @@ class Index:
     item: np.ndarray
     share: np.ndarray  # of the item's weight, that the word has each time it stands there
 
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """Place and item of every posting as one number, in order."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) * len(self.items) + self.item
+
+    @cached_property
+    def whole(self) -> np.ndarray:
+        """Share of the item's weight that the word of every posting has in all its places there."""
+        col = self.column[places(np.concatenate(self.items))]
+        key = (col.astype(np.int64) * len(self.items) + np.repeat(np.arange(len(self.items)), self.sizes))[col >= 0]
+        at, there = self.postings(key)
+        return self.share * np.bincount(at[there], minlength=len(self.keys))
+
+    def postings(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The posting of every key, and whether there is one."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, self.keys[at] == key
+
 
 def answer_of(text: str) -> str:
     """The last sentence, or the second half of a single one."""
@@ -112,8 +131,8 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def summed(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different codes in order and the sums of their values."""
-    by = np.argsort(code)
+    """Different codes in order and the sums of their values. Runs in order are merged."""
+    by = np.argsort(code, kind="stable")
     code = code[by]
     first = np.flatnonzero(np.append(np.ones(min(1, len(code)), bool), code[1:] != code[:-1]))
     return code[first], np.add.reduceat(value[by], first) if len(first) else value
@@ -139,28 +158,36 @@ def occurring(docs: DataFrame, text: str, total: int, weight: np.ndarray, column
         edge = np.searchsorted(mine, cut)
         passage = np.repeat(np.arange(len(cut) - 1), np.diff(edge))
         col, value = column[at[mine]].astype(np.int64), (weight[at[mine]] / norm[passage]).astype(np.float32)
-        # By word inside each passage, so that the smaller word of a pair comes first
-        by = np.argsort(passage * size + col, kind="stable")
-        col, value = col[by], value[by]
-        length = edge[1:][passage] - np.arange(len(mine))
-        for lo in range(0, len(mine), 1 << 13):
-            hi = min(lo + (1 << 13), len(mine))
+        # By word inside each passage, each word once, so that the smaller word of a pair comes first
+        word = passage * size + col
+        by = np.argsort(word, kind="stable")
+        word, value = word[by], value[by]
+        once = np.flatnonzero(np.append(np.ones(min(1, len(word)), bool), word[1:] != word[:-1]))
+        if not len(once):
+            return
+        value = np.add.reduceat(value, once)
+        passage, col = np.divmod(word[once], size)
+        length = np.searchsorted(passage, passage, "right") - np.arange(len(once))
+        high, low = col * size << 28, col << 28
+        for lo in range(0, len(once), 1 << 13):
+            hi = min(lo + (1 << 13), len(once))
             each = length[lo:hi]
             own = np.cumsum(each) - each
             b = np.arange(each.sum()) + np.repeat(np.arange(lo, hi) - own, each)
-            first_word, other = np.repeat(col[lo:hi], each), col[b]
             v = np.repeat(value[lo:hi], each) * value[b]
-            # A word twice in a passage is one pair in both orders, and a word with itself only one
-            v[first_word == other] *= 2
-            v[own] *= np.float32(0.5)
-            yield (first_word * size + other << 28 | v.view(np.int32) >> 3).view(np.uint64)
+            code = np.repeat(high[lo:hi], each)
+            code += low[b]
+            code |= v.view(np.int32) >> 3
+            yield code.view(np.uint64)
 
     def added(packed):
-        x = np.sort(np.concatenate(packed))
-        code = (x >> np.uint64(28)).astype(np.int64)
+        x = np.concatenate(packed)
+        x.sort()
+        code = x >> np.uint64(28)
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        value = ((x & np.uint64((1 << 28) - 1)).astype(np.uint32) << np.uint32(3)).view(np.float32)
-        return code[first], np.add.reduceat(value.astype(float), first)
+        # The shifts leave the lower 28 bits, in their place
+        value = (x.astype(np.uint32) << np.uint32(4) >> np.uint32(1)).view(np.float32)
+        return code[first].astype(np.int64), np.add.reduceat(value, first, dtype=float)
 
     def run(batches):
         weight, column = shared.value
@@ -218,17 +245,36 @@ def product(pairs: DataFrame, place: np.ndarray, basis: np.ndarray) -> np.ndarra
     shared = pairs.sparkSession.sparkContext.broadcast((place, basis.astype(np.float32)))
     columns = basis.shape[1]
 
+    def multiplied(i, j, v, basis):
+        """(i, row) of the entries' products: some rows at once as a matrix of the columns that they have."""
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(i))))
+        at = np.zeros(len(basis), np.int64)
+        for lo in range(0, len(first), ROWS):
+            rows = min(ROWS, len(first) - lo)
+            some = slice(first[lo], first[lo + rows] if lo + rows < len(first) else len(i))
+            mine = np.zeros(len(basis), bool)
+            mine[j[some]] = True
+            col = np.flatnonzero(mine)
+            at[col] = np.arange(len(col))
+            matrix = np.bincount((row[some] - lo) * len(col) + at[j[some]], v[some], rows * len(col)).reshape(rows, len(col))
+            out = matrix.astype(np.float32) @ basis[col]
+            yield pa.RecordBatch.from_arrays([pa.array(i[first[lo : lo + rows]], pa.int32()), pa.array([x.tobytes() for x in out.astype(float)], pa.binary())], names=["i", "data"])
+
     def run(batches):
         place, basis = shared.value
+        held, n = [], 0
         for batch in batches:
             i, j, v = (c.to_numpy() for c in batch.columns)
             i, j = place[i], place[j]
             mine = (i >= 0) & (j >= 0)
-            i, j, v = i[mine], j[mine], v[mine]
-            if len(i):
-                first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-                out = np.add.reduceat(basis[j] * v[:, None], first)
-                yield pa.RecordBatch.from_arrays([pa.array(i[first], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["i", "data"])
+            held.append((i[mine], j[mine], v[mine]))
+            n += len(held[-1][0])
+            if n > LOOKED:
+                yield from multiplied(*(np.concatenate(x) for x in zip(*held, strict=True)), basis)
+                held, n = [], 0
+        if n:
+            yield from multiplied(*(np.concatenate(x) for x in zip(*held, strict=True)), basis)
 
     out = np.zeros((len(basis), columns))
     got = pairs.where(F.col("i") < len(place)).mapInArrow(run, "i int, data binary").toArrow()
@@ -259,7 +305,7 @@ def fit(pairs: DataFrame, n: int, known: np.ndarray, weight: np.ndarray, items:
     loadings = basis @ vectors[:, ::-1][:, :RANK]
     latent = matrix @ loadings
     latent /= np.maximum(np.sqrt((latent**2).sum(1, keepdims=True)), 1e-9)
-    return Space(column, loadings.astype(np.float32), latent.astype(np.float32))
+    return Space(column, (loadings @ latent.T).astype(np.float32))
 
 
 def weights_of(weight: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -343,24 +389,49 @@ def bounds(index: Index, col: np.ndarray, start: np.ndarray, at: np.ndarray):
     mine = np.flatnonzero(col >= 0)
     segment = np.searchsorted(start[1:], mine, "right")
     step = max(most, CELLS // n)
+    line = rank[index.item]
     for lo in range(0, m, step):
         hi = min(m, lo + step)
-        # Segments of the part and of all windows that begin in it
-        a, b = max(0, lo - most), min(m, hi + most)
-        some = slice(*np.searchsorted(segment, [a, b]))
+        # Segments of the part and of all windows that begin in it, in blocks; a line for every item
+        count, margin = -(-(hi - lo) // BLOCK), -(-most // BLOCK) + 1
+        width = count + 2 * margin
+        some = slice(*np.searchsorted(segment, [lo - most, hi + most]))
         c = col[mine[some]]
         length = index.first[c + 1] - index.first[c]
-        posting, _ = words.gather(np.arange(len(index.item)), index.first[c], length)
-        cell = np.repeat((segment[some] - a) * n, length) + rank[index.item[posting]]
-        total = np.zeros((b - a + 1, n))
-        np.cumsum(np.bincount(cell, index.share[posting], (b - a) * n).reshape(b - a, n), axis=0, out=total[1:])
-        now = np.arange(lo, hi)
-        for which, before, after, wide in kinds:
-            bound = total[np.minimum(now + after, end[lo:hi]) - a, which]
-            bound -= total[np.maximum(now - before, begin[lo:hi]) - a, which]
-            hit = np.flatnonzero(bound >= least[which])
-            s, i = np.divmod(hit, bound.shape[1])
-            yield now[s], order[which][i], bound.ravel()[hit], wide
+        posting = np.arange(length.sum()) + np.repeat(index.first[c] - np.cumsum(length) + length, length)
+        place, share = np.repeat(segment[some] - lo + margin * BLOCK, length), index.share[posting]
+        cell = line[posting] * width + place // BLOCK
+        total = np.zeros((n, width + 1))
+        np.cumsum(np.bincount(cell, share, n * width).reshape(n, width), axis=1, out=total[:, 1:])
+        # Whole blocks around have no less than a window, whatever text they are of; the few that could do are summed by segment
+        need, where = np.zeros((n, width), bool), []
+        for which, before, after, _ in kinds:
+            back, on = -(-before // BLOCK), (BLOCK - 2 + after) // BLOCK + 1
+            bound = total[which, margin + on : margin + on + count] - total[which, margin - back : margin - back + count]
+            i, block = np.nonzero(bound >= least[which, None] - 1e-9)
+            where.append((i + which.start, block + margin))
+            for k in range(-back, on):
+                need[where[-1][0], where[-1][1] + k] = True
+        number = np.cumsum(need) - 1
+        mark = np.flatnonzero(need.ravel()[cell])
+        total = np.bincount(number[cell[mark]] * BLOCK + place[mark] % BLOCK, share[mark], (number[-1] + 1) * BLOCK)
+        total = np.append(0, np.cumsum(total))
+        for (i, block), (_, before, after, wide) in zip(where, kinds, strict=True):
+            s = ((block - margin)[:, None] * BLOCK + np.arange(lo, lo + BLOCK)).ravel()
+            here = (number[i * width + block][:, None] * BLOCK + np.arange(BLOCK)).ravel()[s < hi]
+            i, s = np.repeat(i, BLOCK)[s < hi], s[s < hi]
+            bound = total[here + np.minimum(after, end[s] - s)] - total[here - np.minimum(before, s - begin[s])]
+            hit = bound >= least[i]
+            yield s[hit], order[i[hit]], bound[hit], wide
+
+
+def looked(length: np.ndarray):
+    """Slices of windows of so many words that have about ``LOOKED`` words together."""
+    total, at = np.append(0, np.cumsum(length)), 0
+    while at < len(length):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + LOOKED, "right")) - 1)
+        yield slice(at, end)
+        at = end
 
 
 def cosines(index: Index, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -368,20 +439,31 @@ def cosines(index: Index, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: n
     out = np.zeros(len(lo))
     for g, space in enumerate(index.spaces):
         group = np.flatnonzero(item // GROUP == g)
-        # Passages that several items are compared with are projected once
-        spans, which = np.unique(lo[group] * (len(h) + 1) + hi[group], return_inverse=True)
-        spans = np.stack(np.divmod(spans, len(h) + 1))
-        by = np.argsort(which, kind="stable")
-        for at in range(0, spans.shape[1], FEW):
-            begin, end = spans[:, at : at + FEW]
-            part, first = words.gather(places(h), begin, end - begin)
+        for some in looked((hi - lo)[group]):
+            who = group[some]
+            part, first = words.gather(h, lo[who], (hi - lo)[who])
+            part = places(part)
             weight = index.weight[part]
             length = np.sqrt(np.maximum(words.sums(weight.astype(float) ** 2, first), 1e-9))
             mine = np.flatnonzero((space.column[part] >= 0) & (weight > 0))
-            z = words.sums(space.loadings[space.column[part[mine]]] * weight[mine][:, None], np.searchsorted(mine, first))
-            pair = by[slice(*np.searchsorted(which[by], [at, at + len(begin)]))]
-            here = which[pair] - at
-            out[group[pair]] = (z[here] * space.latent[item[group[pair]] - g * GROUP]).sum(1) / length[here]
+            passage = np.searchsorted(first[1:], mine, "right")
+            near = space.cosine[space.column[part[mine]], item[who][passage] - g * GROUP] * weight[mine]
+            out[who] = np.bincount(passage, near, len(who)) / length
+    return out
+
+
+def there(index: Index, col: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Share of the items' weight that all of their words have that stand from ``lo`` to ``hi``; ``col``: see ``bounds``."""
+    out = np.zeros(len(lo))
+    for some in looked(hi - lo):
+        part, first = words.gather(col, lo[some], (hi - lo)[some])
+        mine = np.flatnonzero(part >= 0)
+        window = np.searchsorted(first[1:], mine, "right")
+        at, known = index.postings(part[mine].astype(np.int64) * len(index.items) + item[some][window])
+        # A word counts once in a window
+        both = np.sort(window[known] * len(index.keys) + at[known])
+        window, at = np.divmod(both[np.append(np.ones(min(1, len(both)), bool), both[1:] != both[:-1])], len(index.keys))
+        out[some] = np.bincount(window, index.whole[at], len(first) - 1)
     return out
 
 
@@ -392,10 +474,11 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray):
     out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
     if not at[-1]:
         return out[0]
+    col = index.column[places(h)]
     end = first[1:][row]
     last = at[1:][row]
     own = windows(index)
-    for s, item, bound, wide in bounds(index, index.column[places(h)], start, at):
+    for s, item, bound, wide in bounds(index, col, start, at):
         if wide:
             # Segments of one row are next to each other
             near = cosines(index, h, start[s], np.minimum(start[s] + SEGMENT * SEGMENTS, end[s]), item) >= NEAR
@@ -404,7 +487,8 @@ def candidates(index: Index, h: np.ndarray, first: np.ndarray):
             hi = np.minimum(end[s], start[s] + SEGMENT * SEGMENTS + index.sizes[item])
         else:
             lo, hi = start[s], np.minimum(start[s] + SEGMENT * np.minimum(own[item], last[s] - s), end[s])
-        out.append((row[s], item, lo, hi, bound))
+        held = there(index, col, lo, hi, item) >= index.least[item]
+        out.append(tuple(x[held] for x in (row[s], item, lo, hi, bound)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,40 @@ def test_lines_edges(spark):
     assert sorted(lines.dedup_lines(frame(spark, rows)).columns) == sorted(frame(spark, []).columns)
 
 
+def bucket(entries):
+    """A bucket's table; ``entries``: (word, name, size, place, map)."""
+    word, name, size, place, seen = zip(*entries, strict=True)
+    column = lambda x, kind: pa.array([np.array(x, kind).tobytes()], pa.binary())
+    return pa.table({"word": column(word, np.int32), "tiles": column([0] * len(word), np.int64), "name": column(name, np.int64),
+                     "size": column(size, np.int32), "place": column(place, np.int32), "seen": column(seen, np.uint64)})
+
+
+def test_lines_of_a_large_group_need_no_memory_for_their_pairs():
+    n = 4000
+    table = bucket([(1, 7 * i - n, 30, 0, 5) for i in range(n)] + [(2, 7 * n + i, 30, 0, (1 << (i * 20)) - 1) for i in range(3)])
+    tracemalloc.start()
+    try:
+        got = lines.match(table, 0.8)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(*got.to_pydict().values(), strict=True)) == [(7 * i - n, -n) for i in range(1, n)]
+    assert peak < 64 << 20  # its 8 million pairs alone are twice as much
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_lines_that_no_filter_can_part(least):
+    r = random.Random(3)
+    entries = sorted({(r.randrange(3), i, r.randrange(1, 40)): 0 for i in range(300)}, key=lambda e: (e[0], e[2]))
+    entries = [(w, i, size, r.randrange(size - int(np.ceil(least * size - 1e-9)) + 1), 0) for w, i, size in entries]
+    word, name, size, place, seen = (np.array(x) for x in zip(*entries, strict=True))
+    maps = lines.Maps(seen.astype(np.uint64), np.arange(len(seen) + 1))
+    got = {(int(x), int(y)) for a, b in lines.suspects(word, np.zeros_like(word), name, size, place, maps, least) for x, y in zip(a, b, strict=True)}
+    share = lambda a, b: np.ceil(least / (1 + least) * (size[a] + size[b]) - 1e-9)
+    assert got == {(a, b) for a in range(len(word)) for b in range(a + 1, len(word)) if word[a] == word[b]
+                   and min(size[a] - place[a], size[b] - place[b]) >= share(a, b)}
+
+
 # Lattice near-dedup
 
 

@@ -151,7 +151,9 @@ class Maps:
         for k in np.unique(small):
             mine = np.flatnonzero(small == k)
             x, place = self.level[k], self.at[k]
-            out[mine] = np.bitwise_count(x[place[a[mine]]] ^ x[place[b[mine]]]).sum(1)
+            for lo in range(0, len(mine), CHUNK >> int(k)):  # wide maps, fewer pairs
+                some = mine[lo : lo + (CHUNK >> int(k))]
+                out[some] = np.bitwise_count(x[place[a[some]]] ^ x[place[b[some]]]).sum(1)
         return out
 
 
@@ -175,11 +177,12 @@ def suspects(word: np.ndarray, tile: np.ndarray, name: np.ndarray, size: np.ndar
     n = len(word)
     group = np.zeros(n, np.int64)
     group[1:] = np.cumsum((word[1:] != word[:-1]) | (tile[1:] != tile[:-1]))
-    # A partner is at most 1 / least times as long: partners are a run behind each entry
+    # Partners are a run behind each entry: what stands behind its place must be enough to share with one so long, so a
+    # partner is at most 1 / least times as long, and the longer the place is down the list, the shorter
     wide = int(size.max()) + 2
-    farthest = np.minimum(np.floor(size / least + 1e-9).astype(np.int64), wide - 1)
+    farthest = np.clip(np.floor((size - place) * ((1 + least) / least) - size + 1e-6).astype(np.int64), 0, wide - 1)
     stop = np.searchsorted(group * wide + size, group * wide + farthest, "right")
-    count = stop - np.arange(n) - 1
+    count = np.maximum(0, stop - np.arange(n) - 1)
     total = np.concatenate([[0], np.cumsum(count)])
     lo = 0
     while lo < n:
@@ -194,6 +197,14 @@ def suspects(word: np.ndarray, tile: np.ndarray, name: np.ndarray, size: np.ndar
         lo = hi
 
 
+def together(root: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``root``, the smallest node known of each node's group, after links between roots."""
+    if not sum(len(a) for a, _ in held):
+        return root
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    return roots(len(root), a, b)[root]
+
+
 def match(table: pa.Table, least: float) -> pa.Table:
     """Links that hold the suspicious lines of a bucket's lists together."""
     joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
@@ -204,9 +215,17 @@ def match(table: pa.Table, least: float) -> pa.Table:
     by = np.lexsort((size, tiles, word))
     flat, at = words.gather(flat, (np.cumsum(width) - width)[by], width[by])
     word, tiles, name, size, place = word[by], tiles[by], name[by], size[by], place[by]
-    a, b = (np.concatenate(x) for x in zip(*suspects(word, tiles, name, size, place, Maps(flat, at), least), strict=True))
-    near, at = np.unique(np.concatenate([name[a], name[b]]), return_inverse=True)
-    root = roots(len(near), at[: len(a)], at[len(a) :])
+    seen = Maps(flat, at)
+    # Only pairs that join what was apart are held: the pairs of a group grow with the square of its lines
+    near, at = np.unique(name, return_inverse=True)
+    root, held, n = np.arange(len(near)), [], 0
+    for a, b in suspects(word, tiles, name, size, place, seen, least):
+        a, b = root[at[a]], root[at[b]]
+        held.append((a[a != b], b[a != b]))
+        n += len(held[-1][0])
+        if n >= CHUNK:
+            root, held, n = together(root, held), [], 0
+    root = together(root, held)
     apart = np.flatnonzero(root != np.arange(len(near)))
     return pa.table({"a": pa.array(near[apart]), "b": pa.array(near[root[apart]])})
 

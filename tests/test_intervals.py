@@ -94,3 +94,16 @@ def test_reachability_of_many_starts(spark):
     got = T.downstream_of_each(df, ends, "id", "parent_id", "position", "kind")
     assert rows(got, "start", "id") == sorted([(i, j) for i in tree if not kids[i] for j in after(i)], key=repr)
     assert leaves(tree, kids, 0, "first")
+
+
+def test_estimates_of_size_do_not_grow_with_the_rounds(spark):
+    df = spark.range(120).select("id", F.expr("case when id > 0 then (id - 1) div 2 end").alias("parent_id"), F.lit(0).alias("position"))
+    got = T.labels(df, "id", "parent_id", "position")
+    assert got.count() == 120
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 300
+
+
+def test_labels_of_keys_that_occur_twice(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, 1, 0), (2, 1, 0), (3, 2, 1)], "id long, parent_id long, position int")
+    got = T.descendants_of_each(df, df.where("id = 1"), "id", "parent_id", "position").distinct()
+    assert rows(got, "start", "id") == [(1, 2), (1, 3)]

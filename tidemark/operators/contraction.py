@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import settle_any
+from tidemark.session import add_piece, settle_any
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,18 @@ class Monoid:
         return self.merge(outer, inner)
 
 
+@dataclass(frozen=True)
+class Sizes(Monoid):
+    """A node is the number of nodes in its subtree, itself included; leaves must have 1."""
+
+    op: str = "sum"
+
+    def close(self, spec: Column, known: Column) -> Column:
+        return F.coalesce(known, F.lit(0)) + F.lit(1)
+
+    opened = close
+
+
 @dataclass(frozen=True)
 class Levels:
     """Values 1 to ``n`` or NULL; a node with children is ``finish(least, greatest)`` of theirs, NULLs left out.
@@ -122,16 +134,18 @@ def contract(nodes: DataFrame, key: str, parent: str, value: str, fold: Monoid |
         F.when(F.coalesce("open", F.lit(0)) == 0, said(fold.close(F.col("spec"), F.col("got"))))
         .when(F.col("found").isNotNull(), said(fold.apply(F.col("fn"), F.col("found.v")))).alias("known"),
     ]
-    done = [state.where(~unknown)]
+    # What a node that is known depends on is of no use any more
+    finished = lambda: state.where(~unknown).select("k", "known")
+    done = [finished()]
     while more:
         before = more
         # Nodes known since the last round tell their parents; those still unknown are counted
         told = state.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("p")).agg(*news)
-        at = reduce(DataFrame.unionByName, done, state.where(unknown)).select(*seen)
+        at = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done, state.where(unknown).select("k", "below", "fn", "known")).select(*seen)
         joined = state.where(unknown).join(told, F.col("k") == F.col("p"), "left").join(at, F.col("below") == F.col("bk"), "left")
         state, more = settle_any(joined.withColumn("got", joint).select(*step), unknown)
         if more == before:
             raise ValueError("the parents form a cycle")
-        done.append(state.where(~unknown))
+        done = add_piece(done, finished())
     values = reduce(DataFrame.unionByName, done).select(F.col("k").alias("__k"), F.col("known.v").cast(nodes.schema[value].dataType).alias("__v"))
     return nodes.join(values, F.col(key) == F.col("__k")).select(*[F.col("__v").alias(value) if c == value else F.col(c) for c in nodes.columns])

@@ -15,12 +15,12 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.contraction import Monoid, contract
+from tidemark.operators.contraction import Monoid, Sizes, contract
 from tidemark.operators.intervals import join_in_blocks
-from tidemark.operators.ordered import GROUP_ROWS, row_number
+from tidemark.operators.ordered import GROUP_ROWS, By, largest_group, row_number, running_sum
 from tidemark.operators.projection import label_indented
 from tidemark.operators.skew import lookup
-from tidemark.session import settle, settle_any
+from tidemark.session import add_piece, settle, settle_any
 
 # Node kinds.
 SEQUENCE, PARALLEL, ATOM = 0, 1, 2
@@ -45,7 +45,7 @@ def climb(nodes: DataFrame, key: Column, parent: Column, value: Column, join: Ca
         state, more = settle_any(longer, unfinished)
         if more == before:
             raise ValueError("the parents form a cycle")
-        known.append(state.where(~unfinished))
+        known = add_piece(known, state.where(~unfinished))
     return reduce(DataFrame.unionByName, known).select("__k", "__v")
 
 
@@ -87,6 +87,17 @@ def predecessors(edges: DataFrame, starts: DataFrame, src: str, dst: str) -> Dat
     return reachable(edges, starts, dst, src)
 
 
+def placed_among_siblings(nodes: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``nodes`` (__key, __up, __among, __p) with __size, the nodes in the subtree, and __off: 1 and the sizes of the siblings before.
+
+    The sum of __off from the root down to a node is its number in pre-order.  Siblings, which share ``__among``, follow by
+    position, NULL first, and then by key.  Keys must be unique; nodes whose chain of parents breaks off count nowhere else.
+    """
+    sized = settle(contract(nodes.withColumn("__size", F.lit(1).cast("bigint")), "__key", "__up", "__size", Sizes()))
+    upto = running_sum(sized, ["__among"], [By("__p", nulls_first=True), "__key"], "__size", "__upto", group_rows)
+    return upto.withColumn("__off", F.col("__upto") - F.col("__size") + 1).drop("__upto")
+
+
 def tree_flatten(
     nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int = GROUP_ROWS, forest: Sequence[str] = ()
 ) -> DataFrame:
@@ -208,7 +219,20 @@ def labels(nodes: DataFrame, key: str, parent: str, position: str) -> DataFrame:
     """(key, first, last): nodes numbered in pre-order over the whole forest, and the last number in each one's subtree.
 
     One node lies below another exactly if its number is within the other's.  Siblings follow by position, then key.
+    Numbers are sums of the sizes of subtrees; only where a key occurs twice they come from whole paths.
     """
+    own = settle(nodes.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("__key"), F.col(parent).alias("__up"), F.col(parent).alias("__among"), F.col(position).alias("__p")))
+    if largest_group(own, ["__key"]) > 1:
+        return _labels_by_paths(nodes, key, parent, position)
+    value = F.struct(F.col("__off").alias("n"), F.col("__size").alias("size"))
+    walked = climb(placed_among_siblings(own), F.col("__key"), F.col("__up"), value, lambda upper, lower: F.struct(
+        (upper["n"] + lower["n"]).alias("n"), lower["size"].alias("size")))
+    return walked.select(F.col("__k").alias(key), F.col("__v.n").alias("first"), (F.col("__v.n") + F.col("__v.size") - 1).alias("last"))
+
+
+def _labels_by_paths(nodes: DataFrame, key: str, parent: str, position: str) -> DataFrame:
+    """``labels`` for keys that may occur twice."""
     paths = root_paths(nodes, key, parent, F.struct(F.col(position).alias("p"), F.col(key).alias("k")), "__path")
     numbered = row_number(paths, [], ["__path"], "first").select(F.col(key).alias("__k"), "first")
     placed = nodes.select(key, parent).join(numbered, F.col(key) == F.col("__k")).select(key, parent, "first", F.col("first").alias("last"))

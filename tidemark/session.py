@@ -6,6 +6,7 @@ import os
 import tempfile
 import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +56,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and cut its lineage.
+
+    Spark takes a join to be as large as its sides multiplied and keeps that estimate with the table, so from round to round it
+    has twice as many digits, until they fill the driver.  One that is beyond any size is dropped.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() >= 1 << 63:
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), out._jdf.schema(), False), spark)
+    return out
 
 
 def settle_any(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
@@ -67,6 +77,16 @@ def settle_any(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+#: Tables that rounds add to are written as one when they are more than this, so that plans don't grow from round to round.
+PIECES = 6
+
+
+def add_piece(pieces: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """``pieces`` of one table with another; all but the first, which often is the largest, are put together when they are many."""
+    pieces = [*pieces, new]
+    return pieces if len(pieces) <= PIECES else [pieces[0], settle(reduce(DataFrame.unionByName, pieces[1:]))]
+
+
 def slices(spark: SparkSession) -> int:
     """Number of slices for an explicit range partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,5 +1,6 @@
 """Folds by contraction and inheritance by composition, against plain recursion and by the number of jobs."""
 
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from conftest import rows
 from tidemark.operators import contraction as C
 from tidemark.operators import hierarchy as T
 from tidemark.operators import runlog as L
+from tidemark.session import shared_folder
 
 SHAPES = {
     "chain": lambda r, i: i - 1,
@@ -217,3 +219,22 @@ def test_conditions_are_flattened_within_task_and_call(spark, group_rows):
     assert all(x["label"] == f"{x['task_id']}.{x['call_id']}.{x['id']}" for x in got.collect())
     again = T.flatten_conditions(got.select(*df.columns), group_rows)
     assert rows(again) == rows(got)
+
+
+def test_flattening_a_long_chain_writes_no_paths(spark):
+    n = 1500
+    df = spark.range(n).select(F.lit(1).alias("task_id"), F.lit(None).cast("int").alias("call_id"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"),
+                               F.col("id").alias("position"), F.expr("id div 500 % 2").alias("kind"))
+    folder = shared_folder(spark).removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(folder) for x in names)
+    before = size()
+    got = T.flatten_conditions(df)
+    assert rows(got, "id", "parent_id", "position", "kind") == [(0, None, 0, 0), (1000, 500, 0, 0), (500, 0, 0, 1)]
+    assert size() - before < 12 << 20, size() - before  # paths of this chain have a million steps
+
+
+def test_siblings_that_share_a_position_follow_by_their_paths(spark):
+    nodes = [(1, None, 0, 0), (2, 1, 0, 0), (3, 1, 0, 0), (4, 2, 0, 1), (5, 2, 1, 1), (6, 3, 0, 1), (7, 3, 1, 1)]
+    got = T.tree_flatten(spark.createDataFrame(nodes, "id long, parent_id long, position int, kind int"), "id", "parent_id", "position", "kind")
+    place = {x["id"]: x["position"] for x in got.where("parent_id = 1").collect()}
+    assert sorted(place) == [4, 5, 6, 7] and {place[4], place[6]} == {0, 1} and {place[5], place[7]} == {2, 3}

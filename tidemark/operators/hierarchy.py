@@ -106,8 +106,36 @@ def tree_flatten(
     Children of a merged node move to the nearest node that stays, numbered from 0
     in the order of their paths.  With ``forest``, keys count within one combination of its columns,
     where NULL is a value like any other; parents are looked for there, and roots are numbered there.
+
+    Paths are compared by pre-order numbers, so a node costs the same at any depth.  Only where a key occurs twice or
+    siblings share a position, in which case the order of paths is not that of a walk, whole paths are built.
     """
     of = [F.col(c) for c in forest]
+    among = F.struct(*of, F.col(parent).alias("id"))
+    own = settle(nodes.select(
+        F.struct(*of, F.col(key).alias("id")).alias("__key"), F.when(F.col(parent).isNotNull(), among).alias("__up"), among.alias("__among"),
+        F.col(position).cast("bigint").alias("__p"), F.col(kind).alias("__kind")))
+    if largest_group(own, ["__key"]) > 1 or largest_group(own.where(F.col("__up").isNotNull()), ["__up", "__p"]) > 1:
+        return _flatten_by_paths(nodes, key, parent, position, kind, group_rows, forest)
+    kinds = own.select(F.col("__key").alias("__pk"), F.col("__kind").alias("__above"))
+    joined = placed_among_siblings(own, group_rows).join(kinds, F.col("__up") == F.col("__pk"), "left")
+    stays = F.col("__up").isNull() | F.coalesce(F.col("__kind") != F.col("__above"), F.lit(False))
+    # near: the last node that stays; above: the last one before the end of the stretch
+    value = F.struct(
+        F.col("__off").alias("n"), F.when(stays, F.col("__key.id")).alias("near"), F.lit(None).cast(nodes.schema[key].dataType).alias("above"),
+        F.col("__kind").alias("kind"), stays.alias("stays"))
+    walked = climb(joined, F.col("__key"), F.col("__up"), value, lambda upper, lower: F.struct(
+        (upper["n"] + lower["n"]).alias("n"), F.coalesce(lower["near"], upper["near"]).alias("near"),
+        F.coalesce(lower["above"], upper["near"]).alias("above"), lower["kind"].alias("kind"), lower["stays"].alias("stays")))
+    kept = walked.where("__v.stays").select(
+        *[F.col("__k")[c].alias(c) for c in forest], F.col("__k.id").alias(key), F.col("__v.above").alias(parent), F.col("__v.kind").alias(kind), F.col("__v.n").alias("__at"))
+    numbered = row_number(kept, [*forest, parent], ["__at"], "__n", group_rows)
+    return numbered.select(*forest, key, parent, (F.col("__n") - 1).alias(position), kind)
+
+
+def _flatten_by_paths(nodes: DataFrame, key: str, parent: str, position: str, kind: str, group_rows: int, forest: Sequence[str]) -> DataFrame:
+    """``tree_flatten`` for any keys and positions, with the whole path in each row."""
+    of = [F.col(c) for c in forest]
     # Equality of structs takes two NULL parts as equal, as a condition on each part would not
     here = F.struct(*of, F.col(key).alias("id")) if forest else F.col(key)
     above_here = F.when(F.col(parent).isNotNull(), F.struct(*of, F.col(parent).alias("id"))) if forest else F.col(parent)
